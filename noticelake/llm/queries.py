@@ -5,12 +5,13 @@ from __future__ import annotations
 from noticelake.llm.bpe import op9_bpe
 from noticelake.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from noticelake.llm.packing import op2_packing
+from noticelake.llm.simhash import op5_simhash
 from noticelake.llm.token_files import op3_token_files
 from noticelake.llm.warc import op7_warc
 
 
 def queries() -> dict:
-    found = [op2_packing, op3_token_files, op6_exact_dedup, op7_warc, op9_bpe]
+    found = [op2_packing, op3_token_files, op5_simhash, op6_exact_dedup, op7_warc, op9_bpe]
     return {f.__name__: f for f in found}
 
 

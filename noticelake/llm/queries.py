@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from noticelake.llm.bpe import op9_bpe
 from noticelake.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from noticelake.llm.html_text import op1_html_text
 from noticelake.llm.language import op8_language
 from noticelake.llm.packing import op2_packing
 from noticelake.llm.simhash import op5_simhash
@@ -12,7 +13,16 @@ from noticelake.llm.warc import op7_warc
 
 
 def queries() -> dict:
-    found = [op2_packing, op3_token_files, op5_simhash, op6_exact_dedup, op7_warc, op8_language, op9_bpe]
+    found = [
+        op1_html_text,
+        op2_packing,
+        op3_token_files,
+        op5_simhash,
+        op6_exact_dedup,
+        op7_warc,
+        op8_language,
+        op9_bpe,
+    ]
     return {f.__name__: f for f in found}
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from noticelake.llm.shared import pages
 
 #: Share of the page's mean content score that a node has to reach.
-THRESHOLD = 0.3
+THRESHOLD = 0.15
 #: Weights of a node and its neighbours in the smoothing.
 KERNEL = (0.25, 0.5, 0.25)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from noticelake.llm.bpe import op9_bpe
 from noticelake.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from noticelake.llm.fingerprints import op10_fingerprints
 from noticelake.llm.html_text import op1_html_text
 from noticelake.llm.language import op8_language
 from noticelake.llm.packing import op2_packing
@@ -22,6 +23,7 @@ def queries() -> dict:
         op7_warc,
         op8_language,
         op9_bpe,
+        op10_fingerprints,
     ]
     return {f.__name__: f for f in found}
 

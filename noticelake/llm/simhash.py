@@ -288,3 +288,14 @@ def near_components(
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near(docs: DataFrame, words: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate component, that with the smallest id; all columns stay.
+
+    Only the ids that go are shuffled with the rows. Texts without words say nothing of each other, so
+    they all stay.
+    """
+    found = near_components(docs.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")), words, radius, id_col, text_col)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__nl_gone")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__nl_gone"), "left_anti")

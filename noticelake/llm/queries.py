@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from noticelake.llm.bpe import op9_bpe
+from noticelake.llm.context_mixing import op4_context_mixing
 from noticelake.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from noticelake.llm.fingerprints import op10_fingerprints
 from noticelake.llm.html_text import op1_html_text
@@ -18,6 +19,7 @@ def queries() -> dict:
         op1_html_text,
         op2_packing,
         op3_token_files,
+        op4_context_mixing,
         op5_simhash,
         op6_exact_dedup,
         op7_warc,

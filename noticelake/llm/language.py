@@ -26,6 +26,8 @@ EMBEDDING = 8
 #: Labelled rows that the network is fitted to, over all languages; and windows of each.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 4000, 4
 BUCKETS = 1 << 30
+#: Languages, the most frequent ones, that the network tells apart.
+MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 
 
@@ -143,7 +145,7 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("id"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
     share = F.lit(SAMPLE_ROWS / max(1, counts.count())) / F.col("n")
     kept = counts.select("lang", (F.least(F.lit(1.0), share) * BUCKETS).cast("long").alias("below"))
 
@@ -163,7 +165,7 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
                     ["id", "lang", "window"],
                 )
 
-    chosen = rows.join(kept, "lang").filter(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(BUCKETS)) < F.col("below"))
+    chosen = rows.join(F.broadcast(kept), "lang").filter(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(BUCKETS)) < F.col("below"))
     found = (
         chosen.select(F.col("id").cast("long"), "lang", "text")
         .mapInArrow(cut, "id long, lang string, window binary")

@@ -84,9 +84,9 @@ def completeness(fields: Sequence[Column]) -> Column:
 
 
 def ratio_of_sums(top: Column, bottom: Column, digits: int) -> Column:
-    """sum(top) / sum(bottom) as a rounded decimal; null where the lower sum is 0."""
+    """sum(top) / sum(bottom) rounded as a decimal; null where the lower sum is 0."""
     quotient = F.sum(top).cast("double") / F.nullif(F.sum(bottom).cast("double"), F.lit(0.0))
-    return F.round(quotient.cast("decimal(28,8)"), digits).cast(f"decimal(18,{digits})")
+    return F.round(quotient.cast("decimal(28,8)"), digits).cast("double")
 
 
 def runs(df: DataFrame, keys: Sequence[str], position: str) -> DataFrame:

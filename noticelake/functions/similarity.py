@@ -1,0 +1,27 @@
+"""String similarity by matching blocks (Ratcliff and Obershelp), in Arrow batches."""
+
+from __future__ import annotations
+
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+
+@F.pandas_udf(DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the matching characters over all characters; null if either is null."""
+    return pd.Series([
+        None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)
+    ], dtype="float64")
+
+
+def best_match(pairs: DataFrame, left: str, right: str, a: Column, b: Column, least: float, margin: float = 0.0) -> DataFrame:
+    """left, right, score: the candidate with the best score of at least ``least``, ahead by ``margin``."""
+    scored = pairs.select(left, right, similarity(a, b).alias("score"))
+    order = Window.partitionBy(left).orderBy(F.col("score").desc(), F.col(right))
+    ranked = scored.withColumn("rn", F.row_number().over(order)).withColumn("second", F.lead("score").over(order))
+    ahead = F.col("second").isNull() | (F.col("score") - F.col("second") >= margin)
+    return ranked.filter((F.col("rn") == 1) & (F.col("score") >= least) & ahead).drop("rn", "second")

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from noticelake.registry import QUERIES, SQL
 
-MODULES = ["listing", "joining", "aggregating", "scalars", "storing"]
+MODULES = ["listing", "joining", "aggregating", "scalars", "storing", "deciding"]
 for _name in MODULES:
     import_module(f"noticelake.plans.{_name}")
 

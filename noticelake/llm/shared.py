@@ -15,10 +15,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     It lies under ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a
     temporary folder takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="noticelake-")
-        spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,12 +42,8 @@ def clusters(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
 def _saved(df: DataFrame) -> DataFrame:
     """Cut from its lineage in the folder of spark.checkpoint.dir, or a local one where that is unset."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="noticelake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="noticelake-"))
     return df.checkpoint(eager=True)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +26,22 @@ def api_items(raw: DataFrame, item: str, column: str = "value") -> DataFrame:
     return raw.select(F.inline(checked))
 
 
-def delimited(spark: SparkSession, paths: list[str], columns: list[str], encoding: str = "CP949", sep: str = "|") -> DataFrame:
-    """Rows of delimited text with exactly as many fields as columns; others are dropped. Adds the file's name."""
-    lines = spark.read.option("encoding", encoding).option("sep", "\x01").option("quote", "").csv(paths, schema="line string")
+def delimited(spark: SparkSession, paths: list[str], columns: list[str], encoding: str = "cp949", sep: str = "|") -> DataFrame:
+    """Rows of delimited text with exactly as many fields as columns; others are dropped. Adds the file's name.
+
+    Spark's own readers know few encodings, so lines are read byte by byte and decoded in Arrow batches.
+    """
+    def decode(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            lines = [x.encode("latin-1").decode(encoding, "replace") for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), batch.column(1)], ["line", "file"])
+
+    raw = spark.read.option("encoding", "ISO-8859-1").option("sep", "\x01").option("quote", "").csv(paths, schema="line string")
+    named = raw.filter("line IS NOT NULL").select("line", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file"))
     fields = F.split("line", f"\\Q{sep}\\E", -1)
-    rows = lines.select(fields.alias("f"), F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file"))
+    rows = named.mapInArrow(decode, "line string, file string").select(fields.alias("f"), "file")
     return rows.filter(F.size("f") == len(columns)).select(*[F.col("f")[i].alias(c) for i, c in enumerate(columns)], "file")
 
 

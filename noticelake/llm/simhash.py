@@ -10,6 +10,7 @@ components.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -290,12 +291,84 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, words: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate component, that with the smallest id; all columns stay.
+def shared_passages(rows: DataFrame, least_words: int) -> DataFrame:
+    """Edges a, b between documents that hold one passage: each to the smallest and the largest id of it.
 
-    Only the ids that go are shuffled with the rows. Texts without words say nothing of each other, so
-    they all stay.
+    A passage is a sentence or line of ``least_words`` words or more. A passage of many documents gives
+    two edges for each of them, not one for each pair.
     """
-    found = near_components(docs.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")), words, radius, id_col, text_col)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__nl_gone")).distinct()
+    passages = F.filter(
+        F.split("text", r"\n|(?<=[.!?])\s+"), lambda p: F.size(F.split(F.trim(p), r"\s+")) >= least_words
+    )
+    held = rows.select("doc_id", F.explode(F.array_distinct(F.transform(passages, lambda p: F.xxhash64(F.trim(p))))).alias("p"))
+    groups = held.groupBy("p").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
+    ends = held.join(groups, "p").select(F.col("doc_id").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    return ends.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def similar(rows: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those edges whose texts have at least this Jaccard similarity of their sets of shingles."""
+    needed = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    split = F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+")
+    own = rows.join(needed, "doc_id", "left_semi").select("doc_id", F.filter(split, lambda w: w != "").alias("w"))
+    places = F.sequence(F.lit(1), F.greatest(F.size("w") - (words - 1), F.lit(1)))
+    sets = own.select(
+        "doc_id", F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))).alias("s")
+    )
+    sets = stored(sets, "shingles")
+    pairs = edges.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(
+        sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b"
+    )
+    common = F.size(F.array_intersect("sa", "sb"))
+    return pairs.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def near_groups(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id and group_id, the smallest id of the near duplicates that a document is connected with.
+
+    Two ways link documents. Fingerprints within ``radius`` bits are linked through the vantage-point
+    trees. As texts of this similarity often lie further apart, documents with a common passage are
+    looked at too: if their fingerprints agree in enough bits for it to be possible, their sets of
+    shingles are compared exactly. Ids must be distinct and not null; texts without words stay alone.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    prints = stored(with_fingerprints(rows, words), "fingerprints")
+    points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    same = prints.join(points, "fp").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    ends = [points.select(F.col("fp").alias(c), F.col("least").alias(f"doc_{c}")) for c in ("a", "b")]
+    near = links(points, radius).join(ends[0], "a").join(ends[1], "b").select(
+        F.greatest("doc_a", "doc_b").alias("a"), F.least("doc_a", "doc_b").alias("b")
+    )
+    sides = [prints.select(F.col("doc_id").alias(c), F.col("fp").alias(f"fp_{c}")) for c in ("a", "b")]
+    apart = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
+    passages = shared_passages(rows, words).join(sides[0], "a").join(sides[1], "b").filter(apart > radius)
+    possible = stored(passages.filter(apart <= farthest(similarity)).select("a", "b"), "candidates")
+    edges = same.union(near).union(similar(rows, possible, words, similarity)).distinct()
+    roots = components(edges)
+    return prints.join(roots, F.col("doc_id") == F.col("node"), "left").select(
+        "doc_id", F.coalesce("root", "doc_id").alias("group_id")
+    )
+
+
+def farthest(similarity: float) -> int:
+    """Bits that two fingerprints of such texts hardly ever exceed: their expected number and three deviations."""
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.ceil(64 * share + 3 * math.sqrt(64 * share * (1 - share)))
+
+
+def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that with the smallest id; all columns stay.
+
+    Texts without words, and rows without an id, say nothing of each other, so they all stay. Of rows that
+    repeat an id the texts are taken for one document.
+    """
+    gone = (
+        near_groups(docs, words, similarity, RADIUS, id_col, text_col)
+        .filter("doc_id <> group_id")
+        .select(F.col("doc_id").alias("__nl_gone"))
+        .distinct()
+    )
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__nl_gone"), "left_anti")

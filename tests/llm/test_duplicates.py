@@ -114,7 +114,7 @@ def test_links_over_shards_connect_what_is_linked(spark, shard_points):
 
 
 def test_drop_near_keeps_the_smallest_and_wordless_texts(spark):
-    kept = simhash.drop_near(awkward(spark), 5, 3)
+    kept = simhash.drop_near(awkward(spark), 5, 0.8)
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
     assert kept.columns == awkward(spark).columns
     assert {3, 4, 5} <= set(ids) and 1 in ids and 2 not in ids

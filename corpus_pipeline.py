@@ -17,9 +17,8 @@ from noticelake.llm.simhash import drop_near
 
 #: A text whose likeliest language is less likely than this belongs to none of those known.
 LEAST_SCORE = 0.3
-#: Near duplicates are told by shingles of so many words.
-SHINGLE_WORDS = 5
-RADIUS = 3
+#: Near duplicates share so much of their shingles of so many words.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +41,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
-    return drop_near(docs, SHINGLE_WORDS, RADIUS)
+    return drop_near(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,11 +133,15 @@ def coalesce_header_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_suppkey, CAST(a[CAST(len(a) // 2 AS INTEGER) + 1] AS DECIMAL(12,2))::DOUBLE AS upper_median, CAST(m AS DECIMAL(12,3))::DOUBLE AS median FROM (
 SELECT l_suppkey, list(l_quantity ORDER BY l_quantity) AS a, percentile_cont(0.5) WITHIN GROUP (ORDER BY l_quantity) AS m FROM lineitem GROUP BY 1)""")
 def upper_median_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.sort_array(F.collect_list("l_quantity"))
-    return line_items(spark, sf_dir).groupBy("l_suppkey").agg(
-        F.element_at(q, F.floor(F.size(q) / 2).cast("int") + 1).cast("decimal(12,2)").cast("double").alias("upper_median"),
-        F.percentile("l_quantity", 0.5).cast("decimal(12,3)").cast("double").alias("median"),
+    # values are counted first, so a group is as long as it has distinct values
+    counted = line_items(spark, sf_dir).groupBy("l_suppkey", "l_quantity").agg(F.count("*").alias("n"))
+    by_value = Window.partitionBy("l_suppkey").orderBy("l_quantity")
+    upto = counted.withColumn("upto", F.sum("n").over(by_value)).withColumn("all", F.sum("n").over(Window.partitionBy("l_suppkey")))
+    upper = upto.filter(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("l_suppkey").agg(
+        F.min("l_quantity").cast("decimal(12,2)").cast("double").alias("upper_median")
     )
+    middle = line_items(spark, sf_dir).groupBy("l_suppkey").agg(F.percentile("l_quantity", 0.5).cast("decimal(12,3)").cast("double").alias("median"))
+    return upper.join(middle, "l_suppkey")
 
 
 @query("""SELECT l_partkey, l_returnflag, count(*) AS n, CAST(min(l_quantity) AS BIGINT) AS low, CAST(nullif(max(l_quantity), min(l_quantity)) AS BIGINT) AS high

@@ -61,7 +61,11 @@ BOILERPLATE_WORDS = frozenset(
     "newsletter subscribe subscription signup login popup modal overlay search searchbox pagination pager widget toolbar "
     "copyright masthead topbar skip toc hidden paywall rail teaser trending popular".split()
 )
+#: Words in a name that speak of a layout around such parts, as in has-sidebar.
+LAYOUT_WORDS = frozenset("has with no without layout columns".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
+#: Words that make an article element a comment, an advert or a teaser.
+ARTICLE_MARKS = frozenset("comment comments reply replies ad advert sponsored promo related teaser".split())
 
 
 def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
@@ -85,10 +89,14 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         elif name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        elif tag not in ARTICLE_TAGS:
-            words = [w.lower() for w in NAME_PARTS.findall(value)]
-            if not BOILERPLATE_WORDS.isdisjoint(words) or (tag != "h1" and words == ["header"]):
-                return True
+        else:
+            for name in value.split():
+                words = [w.lower() for w in NAME_PARTS.findall(name)]
+                if not LAYOUT_WORDS.isdisjoint(words):
+                    continue
+                marks = ARTICLE_MARKS if tag in ARTICLE_TAGS else BOILERPLATE_WORDS
+                if not marks.isdisjoint(words) or (tag != "h1" and words == ["header"]):
+                    return True
     return False
 
 

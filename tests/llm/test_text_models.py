@@ -25,6 +25,13 @@ def test_pages_without_their_furniture():
     assert html_text.main_text(page) == "A heading\nFirst paragraph & more, with bold text and a link.\nSecond one; it isn't closed.\nOne item, long enough to read."
 
 
+def test_layouts_and_comments_by_their_names():
+    text = "A paragraph, with commas; and enough length to be one."
+    page = f"""<body class="home"><div class="layout-sidebar has-menu"><article class="post"><p>{text}</p></article>
+    <div><article class="comment"><p>Another, quite long, opinion of a reader.</p></article></div></div></body>"""
+    assert html_text.main_text(page) == text
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<", "<p", "plain", "</div></p>", "<p>a", "<a href='", "<!--", "<script>x", "&#x110000;&bogus;", "<p>" * 3000 + "deep"])
 def test_broken_pages_do_not_crash(page):
     assert isinstance(html_text.main_text(page), str)

@@ -64,16 +64,40 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u4")
 
 
+class FileBuilder:
+    """A file in the making; ids are packed block by block as they come, so only packed bytes pile up."""
+
+    def __init__(self, bits: int, block_ids: int = BLOCK_IDS):
+        self.bits, self.block_ids = bits, block_ids
+        self.names, self.ends, self.blocks = [], [], []
+        self.rest, self.n_ids = bytearray(), 0
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """Appends a document's ids, little-endian u32."""
+        self.n_ids += len(ids) // 4
+        self.names.append(NULL_ID if doc_id is None else doc_id)
+        self.ends.append(self.n_ids)
+        self.rest += ids
+        size = 4 * self.block_ids
+        whole = len(self.rest) // size * size
+        for at in range(0, whole, size):
+            self.blocks.append(pack(np.frombuffer(bytes(self.rest[at : at + size]), "<u4"), self.bits))
+        del self.rest[:whole]
+
+    def content(self) -> bytes:
+        last = [pack(np.frombuffer(bytes(self.rest), "<u4"), self.bits)] if self.rest else []
+        blocks = self.blocks + last
+        tables = (np.array(self.names, "<i8"), np.array(self.ends, "<u8"), np.cumsum([0, *map(len, blocks)], dtype="<u8"))
+        head = HEAD.pack(MAGIC, self.bits, self.block_ids, self.n_ids, len(self.names))
+        return b"".join([head, *(t.tobytes() for t in tables), *blocks])
+
+
 def to_file(docs: list[tuple[int | None, bytes]], bits: int, block_ids: int = BLOCK_IDS) -> bytes:
     """The file of (doc_id, little-endian u32 ids) pairs."""
-    ids = np.frombuffer(b"".join(x for _, x in docs), "<u4")
-    ends = np.cumsum([len(x) // 4 for _, x in docs], dtype="<u8") if docs else np.zeros(0, "<u8")
-    blocks = [pack(ids[i : i + block_ids], bits) for i in range(0, len(ids), block_ids)]
-    offsets = np.cumsum([0, *map(len, blocks)], dtype="<u8")
-    names = np.array([NULL_ID if d is None else d for d, _ in docs], "<i8")
-    return b"".join(
-        [HEAD.pack(MAGIC, bits, block_ids, len(ids), len(docs)), *(x.tobytes() for x in (names, ends, offsets)), *blocks]
-    )
+    made = FileBuilder(bits, block_ids)
+    for doc_id, ids in docs:
+        made.add(doc_id, ids)
+    return made.content()
 
 
 class TokenFile:
@@ -145,21 +169,21 @@ def write_token_files(
         encoder = byte_level_encoder(tokenizer)
         bits = bits_for(encoder.vocab_size)
         end = end_id.to_bytes(4, "little")
-        held, n_ids, files = [], 0, []
+        made, files = FileBuilder(bits, block_ids), []
 
         def flush() -> None:
             name = f"{uuid.uuid4().hex}.ids"
-            write_file(folder, name, to_file(held, bits, block_ids))
-            files.append((name, held[0][0], len(held), n_ids))
+            write_file(folder, name, made.content())
+            first = None if made.names[0] == NULL_ID else made.names[0]
+            files.append((name, first, len(made.names), made.n_ids))
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append((doc_id, encoder.encode(text) + end))
-                n_ids += len(held[-1][1]) // 4
-                if n_ids >= file_ids:
+                made.add(doc_id, encoder.encode(text) + end)
+                if made.n_ids >= file_ids:
                     flush()
-                    held, n_ids = [], 0
-        if held:
+                    made = FileBuilder(bits, block_ids)
+        if made.names:
             flush()
         types = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays(

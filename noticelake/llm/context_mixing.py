@@ -1,4 +1,4 @@
-"""Language-model scoring by logistic mixing of hashed-context bit predictors.
+"""Language-model scoring by logistic mixing of context bit predictors.
 
 A text's bytes, A to Z lower-cased, and an end symbol are spelt as the bits of a prefix code, one for each
 byte before, so that likely bytes take few steps. For every bit each of several contexts - the last three bytes, the last
@@ -9,13 +9,16 @@ probability by the last byte. The weights go on learning online within each docu
 segment, from the state that training left; so a document's score depends on its text and the model
 alone, not on where it lies.
 
-The counts are sums, so tasks count their own documents and the sums are shuffled by slot range: what is
-gathered grows with the corpus. The slots grow with it too, up to a bound on what each worker holds.
+Slots are exact at every size: a context's bytes and the place in the code fit 64 bits. No worker holds all of
+them. Documents are dealt into chunks; a chunk sends each distinct pair of context and symbol once, with its
+count, to the pair's range of contexts. There the sums over all chunks become predictions, and each
+chunk gets those that it asked for.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -28,16 +31,14 @@ from noticelake.llm.shared import crc32_of_id, documents, stored, text_or_empty
 #: Bytes that a context looks back; 0 stands for the word so far.
 CONTEXTS = (3, 5, 0)
 LOOK_BACK = 6
-#: Slots of a context, as a power of two, by the size of the corpus within these bounds.
-LEAST_SLOT_BITS, MOST_SLOT_BITS = 18, 22
-BLOCK = 65_536
-#: Training documents, at most, that set the mixer and not the counts; and the longest of them.
-TUNE_DOCS, TUNE_CHARS = 300, 20_000
+#: Bytes of text that a chunk has on average, and chunks at least, so that small corpora can learn from one another.
+CHUNK_BYTES, LEAST_CHUNKS = 8_000_000, 16
+#: Bytes of text for each range of contexts, and ranges at least.
+RANGE_BYTES, LEAST_RANGES = 64_000_000, 64
 #: Words whose scores every task holds; the others are joined.
 FREQUENT_WORDS = 65_536
 END = 256
-NODES = 256
-#: How many symbols of the whole sample count towards the code after each byte.
+#: How many symbols of the whole training text count towards the code after each byte.
 PRIOR = 16.0
 #: A slot's byte holds its natural logit times SCALE in the upper six bits; the lower two say whether it
 #: has been met never, up to twice, up to sixteen times or more, and these together gate the weights.
@@ -46,7 +47,9 @@ GATES = 4 ** len(CONTEXTS)
 SEGMENT_BITS = 16_384
 BATCH_BYTES = 48_000
 #: How far the weights move for a segment of a text, and in tuning.
-RATE, TUNE_RATE, TUNE_EPOCHS, TUNE_STEP = 0.02, 0.02, 3, 2048
+RATE, TUNE_RATE, TUNE_STEP = 0.02, 0.02, 2048
+#: Steps that a chunk takes in tuning at least, if so many passes over its texts give them.
+TUNE_STEPS, TUNE_EPOCHS = 3000, 20
 MAP_STEPS = 33
 
 
@@ -77,11 +80,10 @@ def huffman(weights: np.ndarray) -> list[list[tuple[int, int]]]:
 
 def pair_counts(texts: list[bytes]) -> np.ndarray:
     """How often each symbol follows each byte; a text follows a space."""
-    counts = np.zeros((256, END + 1), np.int64)
-    for t in texts:
-        here = np.append(np.frombuffer(t, np.uint8).astype(np.int64), END)
-        np.add.at(counts, (np.frombuffer(b" " + t, np.uint8), here), 1)
-    return counts
+    before = np.frombuffer(b"".join([b" " + t for t in texts]), np.uint8).astype(np.intp)
+    here = np.frombuffer(b"".join([t + b"\0" for t in texts]), np.uint8).astype(np.intp)
+    here[np.cumsum([len(t) + 1 for t in texts], dtype=np.intp) - 1] = END
+    return np.bincount(before * (END + 1) + here, minlength=256 * (END + 1)).reshape(256, END + 1)
 
 
 class PrefixCode:
@@ -101,68 +103,94 @@ class PrefixCode:
         starts = (np.cumsum(lengths) - lengths.ravel()).astype(np.int32).reshape(lengths.shape)
         # by the byte before, then the symbol
         self.length, self.start = lengths[tree_of].ravel(), starts[tree_of].ravel()
-        nodes = [k * NODES + n for k, tree in enumerate(trees) for p in tree for n, _ in p]
-        self.step = np.array(nodes, np.uint32) * np.uint32(0x9E3779B1)
+        self.node = np.array([n for tree in trees for p in tree for n, _ in p], np.uint8)
         self.bit = np.array([b for tree in trees for p in tree for _, b in p], np.uint8)
 
 
-class Bits:
-    """The bits of some texts: of each bit its value, the byte before, its slots; of each text how many."""
+    def path_starts(self, lengths: np.ndarray) -> np.ndarray:
+        """Where the path of each symbol starts if the paths lie one after the other."""
+        return np.cumsum(lengths, dtype=np.int64) - lengths
+
+    def spell(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the bits of some symbols, given by the byte before and the symbol: whose they are, which of its path, where in the code."""
+        lengths = self.length.take(places)
+        which = np.repeat(np.arange(len(places)), lengths)
+        step = np.arange(len(which)) - self.path_starts(lengths).take(which)
+        return which, step, self.start.take(places).take(which) + step
+
 
-    def __init__(self, texts: list[bytes], code: PrefixCode, slot_bits: int):
+def key_places(keys: np.ndarray, k: int) -> np.ndarray:
+    """The byte before and the symbol of keys, as places in a prefix code."""
+    context = keys >> np.uint64(9)
+    before = context & np.uint64(255)
+    if k == 0:  # between words the byte before stands in the second place
+        before = np.where(before == 0, context >> np.uint64(8) & np.uint64(255), before)
+    return (before * np.uint64(END + 1) + (keys & np.uint64(511))).astype(np.intp)
+
+
+class Symbols:
+    """The symbols of some texts: of each the byte before and, by context, a key of the context's bytes and the symbol."""
+
+    def __init__(self, texts: list[bytes]):
         lead = b" " * LOOK_BACK
-        raw = np.frombuffer(b"".join([part for t in texts for part in (lead, t, b"\0")]), np.uint8)
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        ends = np.cumsum(sizes + LOOK_BACK)
-        inside = np.ones(len(raw), bool)
-        inside[((ends - sizes)[:, None] - np.arange(1, LOOK_BACK + 1)).ravel()] = False
-        at = np.flatnonzero(inside)
-        symbols = raw[at].astype(np.int32)
-        last_of = np.cumsum(sizes) - 1
-        symbols[last_of] = END
-        place = raw[at - 1] * np.int32(END + 1)
-        place += symbols
-        lengths = code.length.take(place)
-        stops = np.cumsum(lengths, dtype=np.int32)
-        which = np.repeat(np.arange(len(at)), lengths)
-        spelt = np.arange(stops[-1])
-        spelt += (code.start.take(place) - (stops - lengths)).take(which)
-        node = code.step.take(spelt)
+        self.raw = np.frombuffer(b"".join([part for t in texts for part in (lead, t, b"\0")]), np.uint8)
+        self.sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        ends = np.cumsum(self.sizes + LOOK_BACK)
+        inside = np.ones(len(self.raw), bool)
+        inside[((ends - self.sizes)[:, None] - np.arange(1, LOOK_BACK + 1)).ravel()] = False
+        self.at = np.flatnonzero(inside)
+        self.before = self.raw[self.at - 1]
+        self.symbols = self.raw[self.at].astype(np.uint64)
+        self.last_of = np.cumsum(self.sizes) - 1
+        self.symbols[self.last_of] = END
+
+    def keys(self) -> Iterator[np.ndarray]:
+        """By context: its bytes, the last one lowest, then nine bits of the symbol. Of a word, LOOK_BACK bytes at most."""
+        at = self.at - LOOK_BACK
+        n = len(self.raw) - LOOK_BACK
+        for k in CONTEXTS:
+            context = np.zeros(n, np.uint64)
+            alive = np.ones(n, bool)
+            for j in range(1, (k or LOOK_BACK) + 1):
+                byte = self.raw[LOOK_BACK - j : len(self.raw) - j]
+                if not k:
+                    alive &= byte > 32
+                    byte = byte * alive
+                context |= byte.astype(np.uint64) << np.uint64(8 * (j - 1))
+            context = context.take(at)
+            if not k:
+                np.copyto(context, self.before.astype(np.uint64) << np.uint64(8), where=context == 0)
+            context <<= np.uint64(9)
+            context |= self.symbols
+            yield context
+
+
+def mixed_up(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits whose upper bits depend on all."""
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x
+
+
+class Bits:
+    """The bits of some texts: of each bit its value and the byte before; of each text how many.
+
+    ``slots`` are by context the exact contexts and places in the code, brought to ``slot_bits`` bits; with 0 there are none.
+    """
+
+    def __init__(self, texts: list[bytes], code: PrefixCode, slot_bits: int = 0):
+        own = Symbols(texts)
+        places = (own.before * np.uint64(END + 1) + own.symbols).astype(np.intp)
+        self.which, self.step, spelt = code.spell(places)
         self.bit = code.bit.take(spelt)
-        self.last = raw[at - 1].take(which)
-        self.per_doc = np.diff(stops[last_of], prepend=0)
+        self.last = own.before.take(self.which)
+        stops = np.cumsum(code.length.take(places), dtype=np.int64)
+        self.per_doc = np.diff(stops[own.last_of], prepend=0)
         self.slots = []
-        for context in self.contexts(raw, at):
-            mixed = context.take(which)
-            mixed ^= node
-            mixed *= np.uint32(0x85EBCA6B)
-            mixed >>= np.uint32(32 - slot_bits)
-            self.slots.append(mixed)
-
-    @staticmethod
-    def contexts(raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
-        """Hashes of the bytes before each place: the last few, or those of its word, LOOK_BACK at most."""
-        wide = raw.astype(np.uint32)
-        wide += np.uint32(1)
-        at = at - LOOK_BACK
-        shifted = [wide[LOOK_BACK - k : len(wide) - k] for k in range(1, LOOK_BACK + 1)]
-        plain: dict[int, np.ndarray] = {}
-        hashed = np.zeros(len(wide) - LOOK_BACK, np.uint32)
-        for k in range(1, max(CONTEXTS) + 1):
-            hashed ^= shifted[k - 1]
-            hashed *= np.uint32(0x2C1B3C6D)
-            hashed ^= hashed >> np.uint32(15)
-            if k in CONTEXTS:
-                plain[k] = hashed.take(at)
-        word = np.full(len(hashed), 77, np.uint32)
-        alive = np.ones(len(hashed), np.uint32)
-        for byte in shifted:
-            alive &= byte > 33
-            word ^= byte * alive
-            word *= np.uint32(0x2C1B3C6D)
-            word ^= word >> np.uint32(15)
-        for k in CONTEXTS:
-            yield plain[k] if k else word.take(at)
+        for key in own.keys() if slot_bits else ():
+            slot = (key >> np.uint64(9) << np.uint64(8)).take(self.which) | code.node.take(spelt)
+            self.slots.append((mixed_up(slot) >> np.uint64(64 - slot_bits)).astype(np.intp))
 
 
 def batches_by_size(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
@@ -177,13 +205,6 @@ def batches_by_size(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
-def pieces(text: bytes) -> Iterator[bytes]:
-    """A text in parts for counting; each part after the first repeats the bytes of its contexts."""
-    lead = LOOK_BACK
-    for at in range(0, max(1, len(text)), BATCH_BYTES):
-        yield text[max(0, at - lead) : at + BATCH_BYTES]
-
-
 def logits(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """What a slot's counts predict, as a byte."""
     value = np.clip(np.rint(np.log((ones + 0.4) / (zeros + 0.4)) * SCALE), -32, 31).astype(np.int8)
@@ -193,19 +214,20 @@ def logits(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Slot predictions, mixer weights and the refining map."""
+    """Mixer weights and the refining map; and dense tables of predictions where bits come with slots."""
 
-    def __init__(self, code: PrefixCode, slot_bits: int, tables: list[np.ndarray]):
+    def __init__(self, code: PrefixCode, slot_bits: int = 0, tables: list[np.ndarray] = ()):
         self.code, self.slot_bits, self.tables = code, slot_bits, tables
         self.weights = np.full((GATES, len(CONTEXTS) + 1), 0.4 / SCALE, np.float32)
         self.weights[:, -1] = 0
         self.map = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, MAP_STEPS))), (256, 1)).astype(np.float32)
 
-    def inputs(self, bits: Bits) -> tuple[list[np.ndarray], np.ndarray]:
+    def inputs(self, bits: Bits, predictions: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray]:
         """The stretched predictions of each context, and the gate of each bit."""
+        if predictions is None:
+            predictions = [table.take(slots) for table, slots in zip(self.tables, bits.slots, strict=True)]
         xs, gate = [], np.zeros(len(bits.bit), np.int8)
-        for k, (table, slots) in enumerate(zip(self.tables, bits.slots, strict=True)):
-            found = table.take(slots)
+        for k, found in enumerate(predictions):
             gate |= (found & np.int8(3)) << np.int8(2 * k)
             xs.append((found >> np.int8(2)).astype(np.float32))
         return xs, gate.astype(np.intp)
@@ -239,25 +261,27 @@ class Model:
         np.abs(p, out=p)
         return np.log(np.maximum(p, np.float32(1e-6), out=p), out=p)
 
-    def tune(self, texts: list[bytes]) -> None:
-        """Sets the weights and the map online over some texts that the counts have not seen."""
-        if not texts:
-            return
-        hits = np.full(self.map.size, 20.0)
-        ones = self.map.ravel().astype(np.float64) * 20
-        for epoch in range(TUNE_EPOCHS):
+    def tune(self, texts: list[bytes], predictions: Predictions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sets the weights online over some texts; returns the bits of each gate and the map's hits and ones."""
+        met, hits, ones = np.zeros(GATES, np.int64), np.zeros(self.map.size, np.int64), np.zeros(self.map.size, np.int64)
+        steps = max(1, 4 * sum(len(t) + 1 for t in texts) // TUNE_STEP)
+        epochs = min(TUNE_EPOCHS, max(1, -(-TUNE_STEPS // steps)))
+        for epoch in range(epochs):
+            first = 0
             for batch in batches_by_size(texts):
-                bits = Bits(batch, self.code, self.slot_bits)
-                xs, gate = self.inputs(bits)
+                bits = Bits(batch, self.code)
+                xs, gate = self.inputs(bits, predictions.of(bits, first))
+                first += sum(len(t) + 1 for t in batch)
                 for a in range(0, len(gate), TUNE_STEP):
                     part = slice(a, a + TUNE_STEP)
                     own = [x[part] for x in xs]
                     self.learn(self.weights, own, gate[part], bits.bit[part], TUNE_RATE, self.mixed(own, gate[part], self.weights))
-                if epoch == TUNE_EPOCHS - 1:
+                if epoch == epochs - 1:
                     _, cell = self.refined(self.mixed(xs, gate, self.weights), bits.last)
+                    met += np.bincount(gate, minlength=GATES)
                     hits += np.bincount(cell, minlength=self.map.size)
-                    ones += np.bincount(cell, weights=bits.bit, minlength=self.map.size)
-        self.map = (ones / hits).astype(np.float32).reshape(self.map.shape)
+                    ones += np.bincount(cell[bits.bit == 1], minlength=self.map.size)
+        return met, hits, ones
 
     def learn(self, weights: np.ndarray, xs: list, gate: np.ndarray, bit: np.ndarray, rate: float, mix: np.ndarray) -> None:
         """Moves a set of weights, in place, along the slope of the cost of some bits; ``mix`` is what the weights made of them."""
@@ -268,14 +292,14 @@ class Model:
             # inputs are SCALE times the logits, so their slopes count for SCALE squared less
             weights[:, k] += (rate * slope / root / (1 if x is None else SCALE**2)).astype(np.float32)
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def scores(self, texts: list[bytes], predictions: Predictions | None = None, first: int = 0) -> np.ndarray:
         """log10 of the probability of each text and its end.
 
         All first segments have the weights that training left; those after them what the text itself
         has taught since.
         """
         bits = Bits(texts, self.code, self.slot_bits)
-        xs, gate = self.inputs(bits)
+        xs, gate = self.inputs(bits, predictions and predictions.of(bits, first))
         firsts = np.concatenate([[0], np.cumsum(bits.per_doc)[:-1]])
         cost = np.empty(len(gate), np.float32)
 
@@ -298,6 +322,55 @@ class Model:
         return np.add.reduceat(cost, firsts, dtype=np.float64) / np.log(10)
 
 
+def dealt(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct keys by their contexts' range, then the key; and where each range starts and the last ends."""
+    part = mixed_up(keys >> np.uint64(9)) % np.uint64(ranges)
+    order = np.lexsort((keys, part))
+    return order, np.searchsorted(part[order], np.arange(ranges + 1, dtype=np.uint64))
+
+
+def packed(values: np.ndarray) -> bytes:
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    import pyarrow as pa
+
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
+
+
+class Predictions:
+    """The predictions for the bits of a chunk's texts. ``answers`` has them by context and range, for each distinct key in order."""
+
+    def __init__(self, texts: list[bytes], code: PrefixCode, answers: dict[tuple[int, int], bytes], ranges: int):
+        import pandas as pd
+
+        self.paths, self.begin = [], []
+        for c, (k, keys) in enumerate(zip(CONTEXTS, Symbols(texts).keys(), strict=True)):
+            inverse, distinct = pd.factorize(keys)
+            order, cuts = dealt(distinct, ranges)
+            lengths = code.length.take(key_places(distinct[order], k))
+            starts = code.path_starts(lengths)
+            ends = np.append(starts, lengths.sum(dtype=np.int64))[cuts]
+            parts = [unpacked(answers[c, r], int(ends[r + 1] - ends[r]), np.int8) for r in np.flatnonzero(np.diff(cuts)).tolist()]
+            begin = np.empty(len(distinct), np.int32)
+            begin[order] = starts
+            self.paths.append(np.concatenate([np.zeros(0, np.int8), *parts]))
+            self.begin.append(begin.take(inverse))
+
+    def of(self, bits: Bits, first: int) -> list[np.ndarray]:
+        """By context the predictions for the bits of texts whose symbols start with number ``first`` of the chunk."""
+        return [
+            paths.take(begin[first : first + len(bits.which)].take(bits.which) + bits.step)
+            for paths, begin in zip(self.paths, self.begin, strict=True)
+        ]
+
+
 def is_held_out(column: str) -> Column:
     return F.coalesce(crc32_of_id(column) % 5 == 1, F.lit(False))
 
@@ -327,70 +400,140 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def slot_tables(training: DataFrame, code: PrefixCode, slot_bits: int) -> list[np.ndarray]:
-    """The predictions of all slots, counted over the training texts.
+def all_pair_counts(training: DataFrame) -> np.ndarray:
+    """How often each symbol follows each byte in the training texts."""
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        held = np.zeros((256, END + 1), np.int64)
+        for texts in batches_by_size(lowered(t) for b in batches for t in b.column(0).to_pylist()):
+            held += pair_counts(texts)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held.ravel()[at])], ["place", "n"])
+
+    counts = np.zeros(256 * (END + 1), np.int64)
+    for r in training.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        counts[r.place] = r.n
+    return counts.reshape(256, END + 1)
 
-    Each task sends its counts by range of slots; a range's sums become bytes where they meet.
+
+def chunk_texts(table) -> tuple[list[bytes], list, list]:
+    """A chunk's texts in an order that depends on them alone, training texts first; their ids and whether held out."""
+    rows = [(flag, zlib.crc32(t), t, i) for t, i, flag in
+            zip(map(lowered, table["text"].to_pylist()), table["doc_id"].to_pylist(), table["held_out"].to_pylist(), strict=True)]
+    rows.sort(key=lambda r: r[:3])
+    return [r[2] for r in rows], [r[3] for r in rows], [r[0] for r in rows]
+
+
+def predictions_of(chunks: DataFrame, code, ranges: int) -> DataFrame:
+    """chunk, context, part and the predictions that the chunk needs of this range of contexts.
+
+    ``whole`` comes from the counts of all training texts, ``others`` from those of the other chunks.
     """
-    size = 1 << slot_bits
 
-    def count(batches: Iterable) -> Iterator:
+    def ask(table):
+        import pandas as pd
         import pyarrow as pa
 
-        tables = [np.zeros(2 * size, np.uint32) for _ in CONTEXTS]
-        texts = (p for b in batches for t in b.column(0).to_pylist() for p in pieces(lowered(t)))
-        for batch in batches_by_size(texts):
-            bits = Bits(batch, code, slot_bits)
-            for table, slots in zip(tables, bits.slots, strict=True):
-                np.add.at(table, (slots << np.uint32(1)) | bits.bit, np.uint32(1))
-        for k, table in enumerate(tables):
-            for at in range(0, size, BLOCK):
-                pair = table[2 * at : 2 * (at + BLOCK)].reshape(-1, 2).T
-                if not pair.any():
-                    continue
-                over = pair.max(axis=0) // 65_536 + 1  # keeps the share of ones where 16 bits don't do
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k]), pa.array([at // BLOCK]), pa.array([(pair // over).astype("<u2").tobytes()], pa.binary())],
-                    ["context", "block", "counts"],
-                )
-
-    def add(key, table):
+        texts, _, flags = chunk_texts(table)
+        own = Symbols(texts)
+        counted = np.repeat(~np.array(flags), own.sizes)
+        out = []
+        for c, keys in enumerate(own.keys()):
+            inverse, distinct = pd.factorize(keys)
+            counts = np.bincount(inverse[counted], minlength=len(distinct)).astype(np.uint32)
+            order, cuts = dealt(distinct, ranges)
+            distinct, counts = distinct[order], counts[order]
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(int(cuts[r]), int(cuts[r + 1]))
+                steps = np.diff(distinct[part], prepend=np.uint64(0))
+                out.append((c, r, part.stop - part.start, packed(steps), packed(counts[part])))
+        columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+        return pa.Table.from_arrays(
+            [pa.array([table["chunk"][0].as_py()] * len(out)), *columns], ["chunk", "context", "part", "n", "keys", "counts"]
+        )
+
+    def answer(key, table):
         import pyarrow as pa
 
-        total = np.zeros((2, BLOCK), np.int64)
-        for counts in table["counts"]:
-            total += np.frombuffer(counts.as_buffer(), "<u2").reshape(2, BLOCK)
-        return pa.table({"context": [key[0].as_py()], "block": [key[1].as_py()], "table": [logits(*total).tobytes()]})
-
-    counted = training.select("text").mapInArrow(count, "context long, block long, counts binary")
-    summed = counted.groupBy("context", "block").applyInArrow(add, "context long, block long, table binary")
-    tables = [np.zeros(size, np.int8) for _ in CONTEXTS]
-    for row in summed.toLocalIterator():
-        at = row.block * BLOCK
-        tables[row.context][at : at + BLOCK] = np.frombuffer(bytes(row.table), np.int8)
-    return tables
-
-
-def slot_bits_for(training_bytes: int) -> int:
-    return min(MOST_SLOT_BITS, max(LEAST_SLOT_BITS, (max(1, training_bytes) - 1).bit_length() - 1))
-
-
-def fit(training: DataFrame) -> Model:
-    """The model of the texts in ``training``: columns doc_id, text."""
-    sizes = training.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    rank = [F.xxhash64("doc_id", F.lit(9)), F.col("doc_id"), F.xxhash64("text")]
-    chosen = (
-        training.filter(F.length("text").between(1, TUNE_CHARS) & F.col("doc_id").isNotNull())
-        .orderBy(*rank)
-        .limit(min(TUNE_DOCS, sizes.n // 10))
-        .collect()
+        k, spelling = CONTEXTS[key[0].as_py()], code.value
+        sizes = table["n"].to_pylist()
+        asked = [np.cumsum(unpacked(x, n, np.uint64)) for x, n in zip(table["keys"].to_pylist(), sizes, strict=True)]
+        counts = [unpacked(x, n, np.uint32).astype(np.int64) for x, n in zip(table["counts"].to_pylist(), sizes, strict=True)]
+        distinct, at = np.unique(np.concatenate(asked), return_inverse=True)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, at, np.concatenate(counts))
+        places = key_places(distinct, k)
+        which, _, spelt = spelling.spell(places)
+        slots, slot = np.unique((distinct >> np.uint64(9) << np.uint64(8))[which] | spelling.node.take(spelt), return_inverse=True)
+        cell = 2 * slot + spelling.bit.take(spelt)
+        sums = np.zeros(2 * len(slots), np.int64)
+        np.add.at(sums, cell, total[which])
+        by_slot = logits(sums[::2], sums[1::2])
+        lengths = spelling.length.take(places).astype(np.int64)
+        starts = spelling.path_starts(lengths)
+        own = np.zeros(2 * len(slots), np.int64)
+        whole, others, stop = [], [], 0
+        for mine in counts:
+            start, stop = stop, stop + len(mine)
+            mine_at = at[start:stop]
+            steps = lengths[mine_at]
+            bits = np.repeat(starts[mine_at] - spelling.path_starts(steps), steps) + np.arange(steps.sum())
+            np.add.at(own, cell[bits], np.repeat(mine, steps))
+            there = 2 * slot[bits]
+            whole.append(packed(by_slot[slot[bits]]))
+            others.append(packed(logits(sums[there] - own[there], sums[there + 1] - own[there + 1])))
+            own[there] = own[there + 1] = 0
+        return pa.table({
+            "chunk": table["chunk"], "context": table["context"], "part": table["part"],
+            "whole": pa.array(whole, pa.binary()), "others": pa.array(others, pa.binary()),
+        })
+
+    requests = chunks.groupBy("chunk").applyInArrow(ask, "chunk long, context long, part long, n long, keys binary, counts binary")
+    return requests.groupBy("context", "part").applyInArrow(
+        answer, "chunk long, context long, part long, whole binary, others binary"
     )
-    texts = [lowered(r.text) for r in chosen]
-    code = PrefixCode(pair_counts(texts))
-    counted = training.filter(~F.col("doc_id").isin([r.doc_id for r in chosen])) if chosen else training
-    slot_bits = slot_bits_for(int(sizes.bytes))
-    model = Model(code, slot_bits, slot_tables(counted, code, slot_bits))
-    model.tune(texts)
+
+
+def over_chunks(chunks: DataFrame, found: DataFrame, column: str, code, ranges: int, work, schema: str) -> DataFrame:
+    """What ``work`` makes of each chunk's texts, ids, flags and predictions."""
+
+    def run(texts_of, answers):
+        texts, ids, flags = chunk_texts(texts_of)
+        got = zip(answers["context"].to_pylist(), answers["part"].to_pylist(), answers[column].to_pylist(), strict=True)
+        return work(texts, ids, flags, Predictions(texts, code.value, {(c, r): a for c, r, a in got}, ranges))
+
+    answers = found.select("chunk", "context", "part", column)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def fit(chunks: DataFrame, found: DataFrame, code, ranges: int) -> Model:
+    """The model of all training texts.
+
+    Each chunk learns over its texts from what the other chunks predict; the weights are averaged by how
+    many bits each gate has met, and the map's hits are added.
+    """
+    model = Model(code.value)
+    columns = len(CONTEXTS) + 1
+
+    def work(texts, ids, flags, predictions):
+        import pyarrow as pa
+
+        own = Model(code.value)
+        met, hits, ones = own.tune(texts[: flags.count(False)], predictions)
+        values = np.concatenate([(own.weights * met[:, None]).ravel(), met, hits, ones]).astype(np.float64)
+        at = np.flatnonzero(values)
+        return pa.table({"place": pa.array(at), "value": pa.array(values[at])})
+
+    learnt = over_chunks(chunks, found, "others", code, ranges, work, "place long, value double")
+    sums = np.zeros(GATES * (columns + 1) + 2 * model.map.size)
+    for r in learnt.groupBy("place").agg(F.sum("value").alias("value")).collect():
+        sums[r.place] = r.value
+    weights, met, hits, ones = np.split(sums, np.cumsum([GATES * columns, GATES, model.map.size]))
+    seen = met > 0
+    model.weights[seen] = weights.reshape(GATES, columns)[seen] / met[seen, None]
+    model.map = ((model.map.ravel() * 20 + ones) / (hits + 20)).astype(np.float32).reshape(model.map.shape)
     return model
 
 
@@ -416,45 +559,34 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     top = words.orderBy(F.col("n").desc(), "word").limit(FREQUENT_WORDS).collect()
     frequent = {bytes(r.word): float(base((r.n + 0.5) / bottom)) for r in top}
     end_score = float(base((ends + 0.5) / bottom))
-    shared = spark.sparkContext.broadcast((fit(training), frequent))
-
-    def run(batches: Iterable) -> Iterator:
+    size = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n)
+    ranges = max(LEAST_RANGES, size // RANGE_BYTES)
+    dealt_to = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(LEAST_CHUNKS, size // CHUNK_BYTES)))
+    chunks = rows.withColumn("chunk", dealt_to)
+    code = spark.sparkContext.broadcast(PrefixCode(all_pair_counts(training)))
+    found = stored(predictions_of(chunks, code, ranges), "predictions")
+    shared = spark.sparkContext.broadcast((fit(chunks, found, code, ranges), frequent))
+
+    def work(texts, ids, flags, predictions):
         import pyarrow as pa
 
         model, known = shared.value
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"]
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
-
-        def rows_of(ids: list, flags: list, texts: list[bytes]) -> pa.RecordBatch:
-            out = []
-            scores = model.scores(texts)
-            for doc_id, flag, text, score in zip(ids, flags, texts, scores.tolist(), strict=True):
-                tokens = text.split()
-                found = list(map(known.get, tokens))
-                rare = [t for t, f in zip(tokens, found, strict=True) if f is None]
-                got = [f for f in found if f is not None] if rare else found
-                out.append((doc_id, flag, len(tokens) + 1, len(got) + (ends > 0), sum(got) + end_score, score, rare))
-            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names)
-
-        held: tuple[list, list, list] = ([], [], [])
-        size = 0
-        for batch in batches:
-            columns = (batch.column(i).to_pylist() for i in range(3))
-            for doc_id, text, flag in zip(*columns, strict=True):
-                raw = lowered(text)
-                for into, value in zip(held, (doc_id, flag, raw), strict=True):
-                    into.append(value)
-                size += len(raw) + 1
-                if size >= BATCH_BYTES:
-                    yield rows_of(*held)
-                    held, size = ([], [], []), 0
-        if held[0]:
-            yield rows_of(*held)
-
-    scored = rows.mapInArrow(
-        run,
-        "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>",
-    ).withColumn("row", F.monotonically_increasing_id())
+        out, scores, first = [], [], 0
+        for batch in batches_by_size(texts):
+            scores += model.scores(batch, predictions, first).tolist()
+            first += sum(len(t) + 1 for t in batch)
+        for doc_id, flag, text, score in zip(ids, flags, texts, scores, strict=True):
+            tokens = text.split()
+            values = list(map(known.get, tokens))
+            rare = [t for t, f in zip(tokens, values, strict=True) if f is None]
+            got = [f for f in values if f is not None] if rare else values
+            out.append((doc_id, flag, len(tokens) + 1, len(got) + (ends > 0), sum(got) + end_score, score, rare))
+        return pa.Table.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names)
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
+    scored = over_chunks(chunks, found, "whole", code, ranges, work, schema).withColumn("row", F.monotonically_increasing_id())
     scored = stored(scored, "scored")
     value = F.log10((F.coalesce(F.col("n"), F.lit(0)) + 0.5) / F.lit(bottom))
     rest = (

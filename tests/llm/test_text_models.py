@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from noticelake.llm import context_mixing as cm
 from noticelake.llm import html_text, language, warc
@@ -200,3 +201,44 @@ def test_scores_of_awkward_tables(spark):
     assert len(got) == docs.count() and all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert len({r.score for r in got if r.doc_id in (3, 4)}) == 1
     assert cm.score_documents(empty(spark), cm.is_held_out("doc_id")).count() == 0
+
+
+def chunked(spark, rows, n):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    code = spark.sparkContext.broadcast(cm.PrefixCode(cm.all_pair_counts(docs.filter("not held_out"))))
+    chunks = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
+    return chunks, code, cm.predictions_of(chunks, code, 8)
+
+
+def test_predictions_are_of_exact_contexts(spark):
+    rows = [(i, prose(60, i) + chr(1000 + i) * 3, i % 5 == 1) for i in range(30)] + [(None, "no id, but words", False), (7, "", False)]
+    chunks, code, found = chunked(spark, rows, 4)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.chunk, {})[r.context, r.part] = (bytes(r.whole), bytes(r.others))
+    at = {(r.doc_id, r.text): r.chunk for r in chunks.collect()}
+
+    def slots(text):  # brute force: context, its bytes, the code so far
+        raw = cm.lowered(text)
+        for p, s in enumerate([*raw, cm.END]):
+            lead = b" " * 6 + raw[:p]
+            a = int(code.value.start[lead[-1] * 257 + s])
+            path = code.value.bit[a : a + int(code.value.length[lead[-1] * 257 + s])].tolist()
+            word = lead[-6:].translate(bytes(b if b > 32 else 32 for b in range(256))).rpartition(b" ")[2]
+            for j, bit in enumerate(path):
+                yield [(k, lead[-k:] if k else (word or lead[-1:] + b" "), lead[-1], tuple(path[:j])) for k in cm.CONTEXTS], bit
+
+    counts = Counter((at[i, t], slot, bit) for i, t, held in rows if not held for three, bit in slots(t) for slot in three)
+    whole = Counter()
+    for (_, slot, bit), n in counts.items():
+        whole[slot, bit] += n
+    for chunk, answers in got.items():
+        texts = sorted({t for (i, t), c in at.items() if c == chunk})
+        bits = cm.Bits([cm.lowered(t) for t in texts], code.value)
+        for which in (0, 1):
+            made = cm.Predictions([cm.lowered(t) for t in texts], code.value, {k: v[which] for k, v in answers.items()}, 8).of(bits, 0)
+            want = []
+            for three, _ in (s for t in texts for s in slots(t)):
+                pairs = [[whole[s, b] - which * counts[chunk, s, b] for b in (0, 1)] for s in three]
+                want.append([int(cm.logits(*map(np.array, pair))) for pair in pairs])
+            assert np.array(want).T.tolist() == [m.tolist() for m in made]

@@ -242,3 +242,11 @@ def test_predictions_are_of_exact_contexts(spark):
                 pairs = [[whole[s, b] - which * counts[chunk, s, b] for b in (0, 1)] for s in three]
                 want.append([int(cm.logits(*map(np.array, pair))) for pair in pairs])
             assert np.array(want).T.tolist() == [m.tolist() for m in made]
+
+
+def test_long_documents_and_rows_without_an_id_shape_the_model(spark):
+    rows = [(i if i % 2 else None, prose(5000, i), False) for i in range(6)]
+    chunks, code, found = chunked(spark, rows, 4)
+    model, plain = cm.fit(chunks, found, code, 8), cm.Model(code.value)
+    assert np.abs(model.weights - plain.weights).max() > 0.01 and np.abs(model.map - plain.map).max() > 0.01
+    assert cm.all_pair_counts(chunks)[32].sum() >= 6 * 4000

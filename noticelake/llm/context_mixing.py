@@ -5,8 +5,8 @@ byte before, so that likely bytes take few steps. For every bit each of several
 five, and the word so far - together with the place in the code names a slot, whose counts of zeros and ones
 over the training documents give a prediction. A mixer adds the predictions in the logistic domain with weights
 from a set that is gated by which contexts have been seen, and an adaptive map refines the mixed
-probability by the last byte. The weights go on learning online within each document, segment after
-segment, from the state that training left; so a document's score depends on its text and the model
+probability by the last byte. Weights and map go on learning online within each document, step after
+step, from the state that training left; so a document's score depends on its text and the model
 alone, not on where it lies.
 
 Slots are exact at every size: a context's bytes and the place in the code fit 64 bits. No worker holds all of
@@ -44,9 +44,12 @@ PRIOR = 16.0
 #: has been met never, up to twice, up to sixteen times or more, and these together gate the weights.
 SCALE = 4.0
 GATES = 4 ** len(CONTEXTS)
-SEGMENT_BITS = 16_384
-BATCH_BYTES = 48_000
-#: How far the weights move for a segment of a text, and in tuning.
+#: Bits after which a text's own weights and map have learnt from it; bytes of texts that do so side by side.
+STEP_BITS = 512
+BATCH_BYTES, SCORE_BYTES, BATCH_TEXTS = 48_000, 400_000, 512
+#: How many bits a cell of the map counts for before those of the text.
+MAP_HOLD = 60.0
+#: How far the weights move for a step of a text, and in tuning.
 RATE, TUNE_RATE, TUNE_STEP = 0.02, 0.02, 2048
 #: Steps that a chunk takes in tuning at least, if so many passes over its texts give them.
 TUNE_STEPS, TUNE_EPOCHS = 3000, 20
@@ -193,12 +196,12 @@ class Bits:
             self.slots.append((mixed_up(slot) >> np.uint64(64 - slot_bits)).astype(np.intp))
 
 
-def batches_by_size(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+def batches_by_size(texts: Iterable[bytes], limit: int = BATCH_BYTES) -> Iterator[list[bytes]]:
     held, size = [], 0
     for t in texts:
         held.append(t)
         size += len(t) + 1
-        if size >= BATCH_BYTES:
+        if size >= limit or len(held) >= BATCH_TEXTS:
             yield held
             held, size = [], 0
     if held:
@@ -241,23 +244,26 @@ class Model:
             mix += own
         return np.clip(mix, -11, 11, out=mix)
 
-    def refined(self, mix: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The probability of a one after the map, and the map's cell."""
+    def refined(self, mix: np.ndarray, last: np.ndarray, maps: np.ndarray | None = None, base: np.ndarray | int = 0) -> tuple:
+        """The probability of a one after the map, and the map's cell; of several maps in a row that which starts at ``base``."""
         step = np.clip(mix, -8, 8)
         step *= np.float32((MAP_STEPS - 1) / 16)
         step += np.float32(MAP_STEPS // 2 + 0.5)
         cell = step.astype(np.intp)
         cell += last * np.int16(MAP_STEPS)
+        cell += base
         p = sigmoid(mix)
-        p += self.map.ravel().take(cell)
+        p += (self.map.ravel() if maps is None else maps).take(cell)
         p *= np.float32(0.5)
         return p, cell
 
     def cost(self, mix: np.ndarray, bits: Bits, rows: slice) -> np.ndarray:
         """The natural logarithm of the probability that each bit had."""
-        p, _ = self.refined(mix, bits.last[rows])
-        zero = np.float32(1) - bits.bit[rows]
-        p -= zero  # the probability of the bit, but for the sign
+        return self.logs(self.refined(mix, bits.last[rows])[0], bits.bit[rows])
+
+    @staticmethod
+    def logs(p: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        p -= np.float32(1) - bit  # the probability of the bit, but for the sign
         np.abs(p, out=p)
         return np.log(np.maximum(p, np.float32(1e-6), out=p), out=p)
 
@@ -286,39 +292,60 @@ class Model:
     def learn(self, weights: np.ndarray, xs: list, gate: np.ndarray, bit: np.ndarray, rate: float, mix: np.ndarray) -> None:
         """Moves a set of weights, in place, along the slope of the cost of some bits; ``mix`` is what the weights made of them."""
         wrong = bit - sigmoid(mix)
-        root = np.sqrt(np.bincount(gate, minlength=GATES) + 1)
+        root = np.sqrt(np.bincount(gate, minlength=len(weights)) + 1)
         for k, x in enumerate([*xs, None]):
-            slope = np.bincount(gate, weights=wrong if x is None else wrong * x, minlength=GATES)
+            slope = np.bincount(gate, weights=wrong if x is None else wrong * x, minlength=len(weights))
             # inputs are SCALE times the logits, so their slopes count for SCALE squared less
             weights[:, k] += (rate * slope / root / (1 if x is None else SCALE**2)).astype(np.float32)
 
     def scores(self, texts: list[bytes], predictions: Predictions | None = None, first: int = 0) -> np.ndarray:
         """log10 of the probability of each text and its end.
 
-        All first segments have the weights that training left; those after them what the text itself
-        has taught since.
+        The first step of each text has the weights and the map that training left; each step after it has what the
+        text itself has taught before it. Texts take their steps side by side and do not see each other.
         """
         bits = Bits(texts, self.code, self.slot_bits)
         xs, gate = self.inputs(bits, predictions and predictions.of(bits, first))
         firsts = np.concatenate([[0], np.cumsum(bits.per_doc)[:-1]])
-        cost = np.empty(len(gate), np.float32)
-
-        def spend(rows: slice, weights: np.ndarray) -> np.ndarray:
-            mix = self.mixed([x[rows] for x in xs], gate[rows], weights)
-            cost[rows] = self.cost(mix, bits, rows)
-            return mix
-
-        at = 0  # each bit is mixed once; learning uses what scoring has made of it
-        for d in np.flatnonzero(bits.per_doc > SEGMENT_BITS):
-            start, end, own = int(firsts[d]), int(firsts[d] + bits.per_doc[d]), self.weights.copy()
-            mix = spend(slice(at, start + SEGMENT_BITS), own)[start - at :]
-            for a in range(start, end - SEGMENT_BITS, SEGMENT_BITS):
-                before = slice(a, a + SEGMENT_BITS)
-                self.learn(own, [x[before] for x in xs], gate[before], bits.bit[before], RATE, mix)
-                mix = spend(slice(a + SEGMENT_BITS, min(a + 2 * SEGMENT_BITS, end)), own)
-            at = end
-        if at < len(gate):
-            spend(slice(at, len(gate)), self.weights)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), bits.per_doc)
+        step = (np.arange(len(doc)) - firsts.take(doc)) // STEP_BITS
+        last_step = int(step.max())
+        order = np.argsort(step.astype(np.min_scalar_type(last_step)), kind="stable")
+        cuts = np.searchsorted(step[order], np.arange(last_step + 2))
+        # texts of more than one step have weights and a map of their own, the longest first
+        longest = np.argsort(-bits.per_doc, kind="stable")
+        alive = [int((bits.per_doc > s * STEP_BITS).sum()) for s in range(1, last_step + 2)]
+        rank = np.empty(len(texts), np.intp)
+        rank[longest] = np.arange(len(texts))
+        learners = alive[0]
+        weights, maps = np.tile(self.weights, (learners, 1)), np.tile(self.map.ravel(), learners)
+        counts = np.zeros(len(maps), np.float32)
+        xs = [x.take(order) for x in xs]
+        gate, bit, last, own = gate.take(order), bits.bit.take(order), bits.last.take(order), rank.take(doc.take(order))
+        spent = np.empty(len(order), np.float32)
+        for s in range(last_step + 1):
+            rows = slice(int(cuts[s]), int(cuts[s + 1]))
+            x, g, o, y = [x[rows] for x in xs], gate[rows], own[rows], bit[rows]
+            if s == 0:
+                mix = self.mixed(x, g, self.weights)
+                p, cell = self.refined(mix, last[rows])
+            else:
+                g = g + o * GATES
+                mix = self.mixed(x, g, weights)
+                p, cell = self.refined(mix, last[rows], maps, o * self.map.size)
+            spent[rows] = self.logs(p, y)
+            if s == last_step:
+                break
+            kept = np.flatnonzero(o < alive[s])  # texts that go on
+            if s == 0:
+                g, cell = g + o * GATES, cell + o * self.map.size
+            g, cell, y = g.take(kept), cell.take(kept), y.take(kept)
+            self.learn(weights[: alive[s] * GATES], [v.take(kept) for v in x], g, y, RATE, mix.take(kept))
+            np.add.at(counts, cell, np.float32(1))
+            np.add.at(maps, cell, (y - maps.take(cell)) / (counts.take(cell) + np.float32(MAP_HOLD)))
+            counts[cell] = 0
+        cost = np.empty(len(order), np.float32)
+        cost[order] = spent
         return np.add.reduceat(cost, firsts, dtype=np.float64) / np.log(10)
 
 
@@ -351,6 +378,7 @@ class Predictions:
         import pandas as pd
 
         self.paths, self.begin = [], []
+        self.sizes = np.array([len(t) + 1 for t in texts], np.int64)
         for c, (k, keys) in enumerate(zip(CONTEXTS, Symbols(texts).keys(), strict=True)):
             inverse, distinct = pd.factorize(keys)
             order, cuts = dealt(distinct, ranges)
@@ -363,6 +391,13 @@ class Predictions:
             self.paths.append(np.concatenate([np.zeros(0, np.int8), *parts]))
             self.begin.append(begin.take(inverse))
 
+    def reorder(self, order: list[int]) -> None:
+        """Deals the symbols anew for texts in another order."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        sizes = self.sizes[order]
+        at = np.repeat(starts[order] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        self.begin, self.sizes = [b.take(at) for b in self.begin], sizes
+
     def of(self, bits: Bits, first: int) -> list[np.ndarray]:
         """By context the predictions for the bits of texts whose symbols start with number ``first`` of the chunk."""
         return [
@@ -573,8 +608,11 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
         model, known = shared.value
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"]
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
+        by_length = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        texts, ids, flags = ([column[i] for i in by_length] for column in (texts, ids, flags))
+        predictions.reorder(by_length)
         out, scores, first = [], [], 0
-        for batch in batches_by_size(texts):
+        for batch in batches_by_size(texts, SCORE_BYTES):
             scores += model.scores(batch, predictions, first).tolist()
             first += sum(len(t) + 1 for t in batch)
         for doc_id, flag, text, score in zip(ids, flags, texts, scores, strict=True):

@@ -250,3 +250,19 @@ def test_long_documents_and_rows_without_an_id_shape_the_model(spark):
     model, plain = cm.fit(chunks, found, code, 8), cm.Model(code.value)
     assert np.abs(model.weights - plain.weights).max() > 0.01 and np.abs(model.map - plain.map).max() > 0.01
     assert cm.all_pair_counts(chunks)[32].sum() >= 6 * 4000
+
+
+def test_short_texts_teach_their_own_weights_and_map():
+    code = cm.PrefixCode(np.ones(257, np.int64))
+    model = cm.Model(code, 18, [np.zeros(1 << 18, np.int8) for _ in cm.CONTEXTS])
+    texts = [b"ab" * 300, b"xyz" * 150, b"a", b""]
+    assert int(cm.Bits(texts, code).per_doc.max()) < 16_384
+    frozen = []
+    for t in texts:
+        bits = cm.Bits([t], code, 18)
+        xs, gate = model.inputs(bits)
+        frozen.append(float(model.cost(model.mixed(xs, gate, model.weights), bits, slice(None)).sum()) / math.log(10))
+    got = model.scores(texts)
+    assert got[0] > 0.95 * frozen[0] and got[1] > 0.97 * frozen[1]  # scores are negative
+    assert np.allclose(got[2:], frozen[2:], atol=1e-4)
+    assert np.allclose(got, [model.scores([t])[0] for t in texts], rtol=1e-5)

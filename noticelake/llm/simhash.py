@@ -323,15 +323,31 @@ def similar(rows: DataFrame, edges: DataFrame, words: int, similarity: float) ->
     return pairs.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def against_representatives(linked: DataFrame, failed: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs to try where some links have failed: links only span what lies close, so one that fails may part documents that are similar.
+
+    Each document of such a group of links is paired with the smallest document of every part that
+    ``edges`` leave of the group, other than its own.
+    """
+    whole = components(linked).select(F.col("node").alias("doc_id"), F.col("root").alias("whole"))
+    broken = failed.join(whole, F.col("a") == F.col("doc_id")).select("whole").distinct()
+    parts = components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("part"))
+    members = whole.join(broken, "whole").join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    members = stored(members.select("whole", "part", "doc_id"), "members")
+    firsts = members.groupBy("whole", F.col("part").alias("other")).agg(F.min("doc_id").alias("least"))
+    pairs = members.join(firsts, "whole").filter("part <> other")
+    return pairs.select(F.greatest("doc_id", "least").alias("a"), F.least("doc_id", "least").alias("b")).distinct()
+
+
 def near_groups(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id and group_id, the smallest id of the near duplicates that a document is connected with.
 
-    Two ways link documents. Fingerprints within ``radius`` bits are linked through the vantage-point
-    trees. As texts of this similarity often lie further apart, documents with a common passage are
-    looked at too: if their fingerprints agree in enough bits for it to be possible, their sets of
-    shingles are compared exactly. Ids must be distinct and not null; texts without words stay alone.
+    Two ways make candidates. Equal fingerprints, and those within ``radius`` bits, come from the
+    vantage-point trees. As texts of this similarity often lie further apart, documents with a common
+    passage are looked at too, if their fingerprints agree in enough bits for it to be possible. The sets of
+    shingles of all candidates are compared exactly. Ids must be distinct and not null; texts without words stay alone.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -342,11 +358,17 @@ def near_groups(
     near = links(points, radius).join(ends[0], "a").join(ends[1], "b").select(
         F.greatest("doc_a", "doc_b").alias("a"), F.least("doc_a", "doc_b").alias("b")
     )
+    linked = stored(same.union(near), "linked")
     sides = [prints.select(F.col("doc_id").alias(c), F.col("fp").alias(f"fp_{c}")) for c in ("a", "b")]
     apart = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
-    passages = shared_passages(rows, words).join(sides[0], "a").join(sides[1], "b").filter(apart > radius)
-    possible = stored(passages.filter(apart <= farthest(similarity)).select("a", "b"), "candidates")
-    edges = same.union(near).union(similar(rows, possible, words, similarity)).distinct()
+    passages = shared_passages(rows, words).join(sides[0], "a").join(sides[1], "b")
+    possible = passages.filter(apart <= farthest(similarity)).select("a", "b")
+    candidates = stored(linked.union(possible).distinct(), "candidates")
+    edges = stored(similar(rows, candidates, words, similarity), "similar")
+    failed = linked.join(edges, ["a", "b"], "left_anti")
+    if not failed.isEmpty():
+        again = stored(against_representatives(linked, failed, edges), "again")
+        edges = edges.union(similar(rows, again, words, similarity)).distinct()
     roots = components(edges)
     return prints.join(roots, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.coalesce("root", "doc_id").alias("group_id")

@@ -120,6 +120,18 @@ def test_drop_near_keeps_the_smallest_and_wordless_texts(spark):
     assert {3, 4, 5} <= set(ids) and 1 in ids and 2 not in ids
 
 
+def test_close_fingerprints_group_only_similar_texts(spark):
+    line = "one two three four five six seven eight nine "
+    tails = [" ".join(f"w{k}x{i}" for i in range(25)) for k in range(3)]
+    texts = {1: line * 400 + tails[0], 2: line * 400 + tails[1], 3: line * 400 + tails[1] + " more", 4: line * 400 + tails[2], 5: tails[0]}
+    points = {i: brute_fingerprint(t, 5) for i, t in texts.items()}
+    assert all((points[i] ^ points[1]).bit_count() <= 3 for i in (2, 3, 4))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    groups = {r.doc_id: r.group_id for r in simhash.near_groups(docs, 5, 0.8).collect()}
+    assert groups == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5}
+    assert sorted(r.doc_id for r in simhash.drop_near(docs, 5, 0.8).collect()) == [1, 2, 4, 5]
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,18 +38,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def write_file(folder: str, name: str, data: bytes) -> None:
-    """Writes one whole file from a task; it appears under its name only when complete."""
+@contextmanager
+def new_file(folder: str, name: str) -> Iterator:
+    """A stream to a new file from a task; the file appears under its name only when complete."""
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
     part = f"{path}/_{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as out:
-        out.write(data)
+        yield out
     store.move(part, f"{path}/{name}")
 
 
+def write_file(folder: str, name: str, data: bytes) -> None:
+    """Writes one whole file from a task."""
+    with new_file(folder, name) as out:
+        out.write(data)
+
+
+@contextmanager
+def opened(folder: str, name: str) -> Iterator:
+    """A file that a task wrote, to be read by ranges."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder)
+    with store.open_input_file(f"{path}/{name}") as source:
+        yield source
+
+
+def read_file(folder: str, name: str) -> bytes:
+    """One whole file that a task wrote."""
+    with opened(folder, name) as source:
+        return source.read()
+
+
 def crc32_of_id(column: str | Column) -> Column:
     """crc32 of a whole number written as decimal text."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"))
@@ -63,3 +88,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+#: A key with this share of the rows, one in so many, is spread over tasks when it is joined.
+HOT_SHARE = 100
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """``many`` joined on ``key`` with ``one``, which has each key once; ``counts`` has the rows of each key as ``n``.
+
+    A key that holds a HOT_SHARE-th of all counted rows or more is split by a hash of the row, and its row of
+    ``one`` is repeated for each part. There are at most HOT_SHARE such keys, so that list can be broadcast.
+    Null keys meet nothing.
+    """
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    part = max(1, int(total) // HOT_SHARE)
+    hot = counts.filter(F.col("n") >= max(2, part)).select(F.col(key).alias("__nl_hot"), F.ceil(F.col("n") / part).cast("int").alias("__nl_parts"))
+    hot = F.broadcast(stored(hot, "hot-keys"))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]).cast("long"), F.col("__nl_parts").cast("long")).cast("int")
+    left = many.join(hot, F.col(key) == F.col("__nl_hot"), "left").select(
+        *[F.col(f"`{c}`") for c in many.columns], F.coalesce(salt, F.lit(0)).alias("__nl_salt")
+    )
+    right = one.join(hot, F.col(key) == F.col("__nl_hot"), "left").select(
+        *[F.col(f"`{c}`") for c in one.columns],
+        F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__nl_parts"), F.lit(1)) - 1)).alias("__nl_salt"),
+    )
+    return left.join(right, [key, "__nl_salt"], how).drop("__nl_salt")

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm.shared import pages, shared_dir, stored, write_file
+from noticelake.llm.shared import pages, salted_join, shared_dir, stored, write_file
 
 # Fixed values of the file formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -29,23 +29,30 @@ DATE = "2024-01-01T00:00:00Z"
 #: A task starts a new archive after this many bytes of payload.
 ARCHIVE_BYTES = 32_000_000
 DICTIONARY_BYTES, DICTIONARY_SAMPLES = 16_384, 256
-#: High half of the record numbers, so that a page id can be read back from its record's name.
-ID_SPACE = 0x6E6F74696365_4C41 << 64
+#: High half of the record numbers, so that a page id can be read back from its record's name; that of pages without an
+#: id, whose low half is random.
+ID_SPACE, NO_ID_SPACE = 0x6E6F74696365_4C41 << 64, 0x6E6F74696365_4C4E << 64
 
 
 class ArchiveError(ValueError):
     """An archive that breaks the format."""
 
 
-def record_name(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(int=ID_SPACE | (page_id & (1 << 64) - 1))}>"
+def record_name(page_id: int | None) -> str:
+    space, low = (NO_ID_SPACE, uuid.uuid4().int) if page_id is None else (ID_SPACE, page_id)
+    return f"<urn:uuid:{uuid.UUID(int=space | (low & (1 << 64) - 1))}>"
 
 
-def page_of(name: str) -> int:
-    number = uuid.UUID(name.removeprefix("<urn:uuid:").removesuffix(">")).int
-    if number & ~((1 << 64) - 1) != ID_SPACE:
-        raise ArchiveError(f"foreign record name {name}")
+def page_of(name: str) -> int | None:
+    try:
+        number = uuid.UUID(name.removeprefix("<urn:uuid:").removesuffix(">")).int
+    except ValueError:
+        raise ArchiveError(f"bad record name {name}") from None
     low = number & (1 << 64) - 1
+    if number - low == NO_ID_SPACE:
+        return None
+    if number - low != ID_SPACE:
+        raise ArchiveError(f"foreign record name {name}")
     return low - (1 << 64) if low >> 63 else low
 
 
@@ -58,7 +65,7 @@ def one_line(value: str | None) -> str:
     return "".join(c if c.isprintable() else "".join(f"%{b:02X}" for b in c.encode()) for c in value or "about:blank")
 
 
-def to_record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def to_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """The bytes of one record; with ``refers_to`` it is a revisit and holds no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
@@ -157,7 +164,7 @@ def whole_number(text: str) -> int:
     return int(text)
 
 
-def read_record(frame: bytes) -> tuple[int, str, str, int | None, int, str, bytes | None]:
+def read_record(frame: bytes) -> tuple[int | None, str, str, int | None, int, str, bytes | None]:
     """page_id, url, type, refers_to, payload length, payload digest, payload (None in a revisit)."""
     head, gap, rest = frame.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
@@ -190,14 +197,19 @@ def read_record(frame: bytes) -> tuple[int, str, str, int | None, int, str, byte
 
 
 def with_reference(rows: DataFrame, min_bytes: int) -> DataFrame:
-    """``rows`` with refers_to: the largest page id of an equal payload, null for that page itself.
+    """``rows`` with refers_to: the largest page id of an equal payload, null for a row with that id itself.
 
-    Only ids and digests are grouped; the payloads move at most once, to meet their few references.
+    Ids and digests alone are grouped; a payload moves at most once, to meet its own row of references,
+    which has each page id and digest once.
     """
-    slim = rows.filter(F.octet_length("html") >= min_bytes).select("page_id", F.sha1("html").alias("digest"))
-    groups = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
-    revisits = slim.join(groups, "digest").filter("page_id < refers_to").select("page_id", "refers_to").distinct()
-    return rows.join(revisits, "page_id", "left")
+    long_enough = F.octet_length("html") >= min_bytes
+    slim = stored(rows.filter(long_enough).select("page_id", F.sha1("html").alias("digest")), "page-digests")
+    groups = stored(slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1"), "payloads")
+    again = salted_join(slim, groups.select("digest", "refers_to"), "digest", groups.select("digest", "n"))
+    revisits = again.filter("refers_to IS NOT NULL AND NOT page_id <=> refers_to").distinct()
+    own = F.when(long_enough, F.sha1("html"))
+    same = (F.col("page_id").eqNullSafe(F.col("__nl_page"))) & (own == F.col("digest"))
+    return rows.join(revisits.withColumnRenamed("page_id", "__nl_page"), same, "left").select("page_id", "url", "html", "refers_to")
 
 
 def write_archives(
@@ -208,10 +220,11 @@ def write_archives(
 ) -> DataFrame:
     """Writes a record for each row of page_id, url, html and returns the list of archives.
 
-    A null html is an empty payload and a null url about:blank; rows with a null page_id cannot be
-    named and raise an error. Of equal payloads of at least ``min_bytes`` bytes, the one with the
-    largest page id is the response; rows that repeat that id are responses too. An empty table
-    gives no archives. A task that is run again writes other names; only those in the list count.
+    A null html is an empty payload and a null url about:blank. Of equal payloads of at least ``min_bytes``
+    bytes, the one with the largest page id is the response; rows that repeat that id are responses too. A null
+    page id is smaller than all others: such a row gets a record of its own name, is read back with a null id, and
+    revisits a page that has an id; without one it is a response. Rows may repeat an id with other payloads. An
+    empty table gives no archives; other columns are not read. A task that is run again writes other names; only those in the list count.
     """
 
     def run(batches: Iterable) -> Iterator:
@@ -227,8 +240,6 @@ def write_archives(
         for batch in batches:
             columns = (batch.column(i).to_pylist() for i in range(4))
             for page_id, url, html, refers_to in zip(*columns, strict=True):
-                if page_id is None:
-                    raise ArchiveError("a page has no id")
                 payload = html.encode()
                 held.append(to_record(page_id, url, payload, refers_to))
                 size += len(payload)
@@ -243,8 +254,7 @@ def write_archives(
         )
 
     slim = rows.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    linked = with_reference(slim, min_bytes).select("page_id", "url", "html", "refers_to")
-    return stored(linked.mapInArrow(run, "name string, records long"), "archive-list")
+    return stored(with_reference(slim, min_bytes).mapInArrow(run, "name string, records long"), "archive-list")
 
 
 def read_archives(spark: SparkSession, folder: str, archives: DataFrame) -> DataFrame:
@@ -286,6 +296,7 @@ def read_archives(spark: SparkSession, folder: str, archives: DataFrame) -> Data
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     folder = shared_dir(spark, "archives")
     archives = write_archives(pages(spark, sf_dir), folder)
     if archives.isEmpty():

@@ -143,36 +143,118 @@ def test_language_of_awkward_tables(spark):
 
 
 def test_prefix_code_is_complete():
-    code = cm.PrefixCode(np.bincount(np.frombuffer(b"hello world, hello", np.uint8), minlength=257))
-    pairs = cm.PrefixCode(cm.pair_counts([b"hello world, hello", b"", "é".encode()]))
-    for lengths in (*code.length.reshape(256, 257), *pairs.length.reshape(256, 257)):  # by the byte before
+    code = cm.PrefixCode(cm.pair_counts([b"hello world, hello", b"", "é".encode()]).reshape(256, 257))
+    for lengths in code.length.reshape(256, 257):  # by the byte before
         assert abs(sum(2.0 ** -int(n) for n in lengths) - 1) < 1e-12
-    assert code.length[ord("l")] < code.length[200]
-
-
-def test_bits_of_a_text_do_not_depend_on_its_batch():
-    code = cm.PrefixCode(np.ones(257, np.int64))
-    a, b = b"some text", b"another one\0with a zero"
-    both, alone = cm.Bits([a, b], code, 18), cm.Bits([b], code, 18)
-    n = int(both.per_doc[0])
-    assert (both.bit[n:] == alone.bit).all() and all((x[n:] == y).all() for x, y in zip(both.slots, alone.slots, strict=True))
-
-
-@pytest.mark.parametrize("shape", [(257,), (256, 257)])
-def test_probabilities_of_all_next_symbols_sum_to_one(shape):
-    rng = np.random.default_rng(2)
-    code = cm.PrefixCode(rng.integers(1, 50, shape))
-    model = cm.Model(code, 18, [rng.integers(-128, 128, 1 << 18).astype(np.int8) for _ in cm.CONTEXTS])
-    model.map = rng.uniform(0.1, 0.9, model.map.shape).astype(np.float32)
-    # the end, or any byte and then whatever follows: the bits of the first symbol decide
-    firsts = []
-    for s in range(257):
-        text = b"" if s == cm.END else bytes([s])
-        bits = cm.Bits([text], code, 18)
-        xs, gate = model.inputs(bits)
-        cost = model.cost(model.mixed(xs, gate, model.weights), bits, slice(None))
-        firsts.append(math.exp(float(cost[: code.length[32 * 257 + s]].sum())))
-    assert abs(sum(firsts) - 1) < 1e-3
+    assert code.length[ord("e") * 257 + ord("l")] < code.length[ord("e") * 257 + 200]
+
+
+def brute_units(text):
+    """The symbol and the six bytes before it, the last one first, of each place of a text."""
+    raw = cm.LEAD + text
+    symbols = [*text, cm.END]
+    return [(s, tuple(raw[i + cm.LOOK_BACK - k] for k in range(cm.LOOK_BACK))) for i, s in enumerate(symbols)]
+
+
+def as_key(unit):
+    return unit[0] << 48 | sum(b << (40 - 8 * k) for k, b in enumerate(unit[1]))
+
+
+TEXTS = [b"some text", b"", b"another one\0with a zero, and a long long run of words", "ünï 漢字".encode(), b"a\nb\tc  d"]
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_units_hold_the_bytes_before(size):
+    want = [as_key(u) for t in TEXTS for u in brute_units(t)]
+    assert np.concatenate(list(cm.key_blocks(TEXTS, size))).tolist() == want
+    flags = [False, True, False, True, False]
+    keys, counts = cm.distinct_units(TEXTS, flags, size)
+    trained = Counter(as_key(u) for t, f in zip(TEXTS, flags, strict=True) if not f for u in brute_units(t))
+    assert keys.tolist() == sorted(set(want)) and counts.tolist() == [trained[k] for k in sorted(set(want))]
+
+
+def context_of(unit, k):
+    """The bytes that a context sees of a unit, the last one first."""
+    before = unit[1]
+    if k:
+        return before[:k]
+    n = next((i for i, b in enumerate(before) if b <= 32), len(before))
+    return before[: max(n, 1)]
+
+
+def test_contexts_are_cut_from_units_in_order():
+    units = {as_key(u): u for t in TEXTS for u in brute_units(t)}
+    keys = np.array(sorted(units), np.uint64)
+    for k, cut in zip(cm.CONTEXTS, cm.context_keys(keys), strict=True):
+        assert (np.diff(cut.astype(np.float64)) >= 0).all()
+        same = {}
+        for key, c in zip(keys.tolist(), cut.tolist(), strict=True):
+            same.setdefault(c, set()).add((units[key][0], context_of(units[key], k)))
+        assert all(len(v) == 1 for v in same.values()) and len(same) == len({(u[0], context_of(u, k)) for u in units.values()})
+
+
+def test_pair_counts_equal_brute_force():
+    want = Counter((u[1][0], u[0]) for t in TEXTS for u in brute_units(t))
+    got = cm.pair_counts(TEXTS).reshape(256, 257)
+    assert {(i, j): n for i, j in np.argwhere(got).tolist() if (n := int(got[i, j]))} == want
+
+
+def test_words_are_those_between_white_space():
+    texts = [b" a b\t\na ", b"", b"  ", "é\x1c漢 a\x0b\x0cb".encode()]
+    used, words, sizes = cm.words_of(texts)
+    assert [[words[i] for i in part] for part in np.split(used, np.cumsum(sizes)[:-1])] == [t.split() for t in texts]
+
+
+def random_units(seed):
+    """Units of every symbol after a few contexts, with random predictions of each slot."""
+    rng = np.random.default_rng(seed)
+    code = cm.PrefixCode(rng.integers(0, 3, (256, 257)))
+    keys = np.array(sorted(as_key((s, tuple(b))) for b in (b"abc de", b" xyzzy", b"  \n\0ab") for s in range(257)), np.uint64)
+    slots, answers = {}, {}
+    for c, own in enumerate(cm.context_keys(keys)):
+        distinct = own[cm.firsts(own)]
+        order, cuts = cm.dealt(distinct, 3)
+        for r in range(3):
+            out = []
+            for key in distinct[order[cuts[r] : cuts[r + 1]]]:
+                place = int(cm.code_places(key[None])[0])
+                for i in range(int(code.start[place]), int(code.start[place] + code.length[place])):
+                    value, kind = slots.setdefault((c, int(key & cm.CONTEXT_MASK), int(code.node[i])), (int(rng.integers(-31, 32)), int(rng.integers(0, 4))))
+                    out.append((value if code.bit[i] else -value) << 2 | kind)
+            answers[c, r] = cm.packed(np.array(out, np.int8))
+    return cm.Units(keys, code, answers, 3)
+
+
+def test_probabilities_of_all_next_symbols_sum_to_one():
+    units = random_units(2)
+    model = cm.Model()
+    rng = np.random.default_rng(3)
+    model.weights, model.map = rng.normal(0.1, 0.1, model.weights.shape).astype(np.float32), rng.uniform(0.3, 0.95, model.map.shape).astype(np.float32)
+    chances = np.exp(model.unit_costs(units).astype(np.float64))
+    for context in set((units.keys & cm.CONTEXT_MASK).tolist()):
+        assert np.abs(chances[(units.keys & cm.CONTEXT_MASK) == context].sum(axis=0) - 1).max() < 2e-3
+
+
+def test_texts_move_between_mixers_as_by_hand(monkeypatch):
+    monkeypatch.setattr(cm, "LOOK_UP", 2 * cm.STEP)
+    texts = [prose(300, i).encode() for i in range(5)] + [b"", b"x", prose(2000, 9).encode()]
+    keys, counts = cm.distinct_units(texts, [False] * len(texts))
+    rng = np.random.default_rng(1)
+    costs = np.log(rng.uniform(0.1, 0.9, (len(keys), len(cm.MIXERS)))).astype(np.float32)
+    model = cm.Model()
+    monkeypatch.setattr(model, "unit_costs", lambda units: costs)
+    units = type("Known", (), {"keys": keys})()
+    got = model.scores(texts, units, counts)
+    row = {k: costs[i].astype(float) for i, k in enumerate(keys.tolist())}
+    start = [cm.TRAINED_SHARE] + [(1 - cm.TRAINED_SHARE) / (len(cm.MIXERS) - 1)] * (len(cm.MIXERS) - 1)
+    for text, score in zip(texts, got, strict=True):
+        shares, whole, symbols = np.array(start), 0.0, [as_key(u) for u in brute_units(text)]
+        for a in range(0, len(symbols), cm.STEP):
+            gained = shares * np.exp(sum(row[k] for k in symbols[a : a + cm.STEP]))
+            whole += math.log10(gained.sum())
+            shares = (1 - cm.FLOW) * gained / gained.sum() + cm.FLOW * np.array(start)
+        assert abs(score - whole) < 1e-4 * max(1, abs(whole))
+    assert np.allclose(got, [model.scores([t], units, counts)[0] for t in texts], rtol=1e-6)
 
 
 def test_scores_equal_brute_force_counts(spark):
@@ -203,66 +285,57 @@ def test_scores_of_awkward_tables(spark):
     assert cm.score_documents(empty(spark), cm.is_held_out("doc_id")).count() == 0
 
 
-def chunked(spark, rows, n):
-    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
-    code = spark.sparkContext.broadcast(cm.PrefixCode(cm.all_pair_counts(docs.filter("not held_out"))))
-    chunks = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
-    return chunks, code, cm.predictions_of(chunks, code, 8)
-
-
-def test_predictions_are_of_exact_contexts(spark):
+def test_predictions_are_of_exact_contexts(spark, tmp_path):
     rows = [(i, prose(60, i) + chr(1000 + i) * 3, i % 5 == 1) for i in range(30)] + [(None, "no id, but words", False), (7, "", False)]
-    chunks, code, found = chunked(spark, rows, 4)
-    got = {}
-    for r in found.collect():
-        got.setdefault(r.chunk, {})[r.context, r.part] = (bytes(r.whole), bytes(r.others))
-    at = {(r.doc_id, r.text): r.chunk for r in chunks.collect()}
-
-    def slots(text):  # brute force: context, its bytes, the code so far
-        raw = cm.lowered(text)
-        for p, s in enumerate([*raw, cm.END]):
-            lead = b" " * 6 + raw[:p]
-            a = int(code.value.start[lead[-1] * 257 + s])
-            path = code.value.bit[a : a + int(code.value.length[lead[-1] * 257 + s])].tolist()
-            word = lead[-6:].translate(bytes(b if b > 32 else 32 for b in range(256))).rpartition(b" ")[2]
-            for j, bit in enumerate(path):
-                yield [(k, lead[-k:] if k else (word or lead[-1:] + b" "), lead[-1], tuple(path[:j])) for k in cm.CONTEXTS], bit
-
-    counts = Counter((at[i, t], slot, bit) for i, t, held in rows if not held for three, bit in slots(t) for slot in three)
-    whole = Counter()
-    for (_, slot, bit), n in counts.items():
-        whole[slot, bit] += n
-    for chunk, answers in got.items():
-        texts = sorted({t for (i, t), c in at.items() if c == chunk})
-        bits = cm.Bits([cm.lowered(t) for t in texts], code.value)
-        for which in (0, 1):
-            made = cm.Predictions([cm.lowered(t) for t in texts], code.value, {k: v[which] for k, v in answers.items()}, 8).of(bits, 0)
-            want = []
-            for three, _ in (s for t in texts for s in slots(t)):
-                pairs = [[whole[s, b] - which * counts[chunk, s, b] for b in (0, 1)] for s in three]
-                want.append([int(cm.logits(*map(np.array, pair))) for pair in pairs])
-            assert np.array(want).T.tolist() == [m.tolist() for m in made]
-
-
-def test_long_documents_and_rows_without_an_id_shape_the_model(spark):
-    rows = [(i if i % 2 else None, prose(5000, i), False) for i in range(6)]
-    chunks, code, found = chunked(spark, rows, 4)
-    model, plain = cm.fit(chunks, found, code, 8), cm.Model(code.value)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(4)
+    chunks = cm.write_chunks(docs, str(tmp_path), 3000)
+    assert chunks.count() > 3
+    code = spark.sparkContext.broadcast(cm.PrefixCode(cm.all_pair_counts(chunks)))
+    found = cm.predictions_of(chunks, str(tmp_path), code, 8).collect()
+    counts, words = Counter(), Counter()
+
+    def slots(unit):  # brute force: context, its bytes, the code so far
+        place = unit[1][0] * 257 + unit[0]
+        a = int(code.value.start[place])
+        path = code.value.bit[a : a + int(code.value.length[place])].tolist()
+        return [([(k, context_of(unit, k), tuple(path[:j])) for k in cm.CONTEXTS], bit) for j, bit in enumerate(path)]
+
+    for _, text, held in rows:
+        if not held:
+            words.update(cm.lowered(text).split())
+            for unit in brute_units(cm.lowered(text)):
+                counts.update((slot, bit) for three, bit in slots(unit) for slot in three)
+    assert [sum(r[c] for r in found if r.chunk == "") for c in ("n", "v")] == [sum(words.values()), len(words)]
+    for r in chunks.collect():
+        texts, _, flags = cm.read_chunk(str(tmp_path), r.chunk)
+        keys, _ = cm.read_units(str(tmp_path), r.chunk)
+        assert keys.tolist() == cm.distinct_units(texts, flags)[0].tolist()
+        by_key = {as_key(u): u for t in texts for u in brute_units(t)}
+        for column, less in (("whole", 0), ("without", 1)):
+            answers = {(x.context, x.part): x[column] for x in found if x.chunk == r.chunk and x.context != cm.WORDS}
+            units = cm.Units(keys, code.value, answers, 8)
+            for i, key in enumerate(keys.tolist()):
+                for j, (three, bit) in enumerate(slots(by_key[key])):
+                    at = int(units.first[i]) + j
+                    want = [int(cm.predictions(np.array(max(counts[s, bit] - less, 0)), np.array(counts[s, 1 - bit]))) for s in three]
+                    assert [v >> 2 for v in want] == units.values[:-1, at].tolist()
+                    assert sum((v & 3) << 2 * k for k, v in enumerate(want)) == int(units.gate[at])
+
+
+def test_long_documents_and_rows_without_an_id_shape_the_model(spark, tmp_path):
+    docs = spark.createDataFrame([(i if i % 2 else None, prose(5000, i), False) for i in range(6)], "doc_id long, text string, held_out boolean")
+    chunks = cm.write_chunks(docs, str(tmp_path), 50_000)
+    code = spark.sparkContext.broadcast(cm.PrefixCode(cm.all_pair_counts(chunks)))
+    model, n, v = cm.fit(cm.predictions_of(chunks, str(tmp_path), code, 8), str(tmp_path), code, 8)
+    plain = cm.Model()
     assert np.abs(model.weights - plain.weights).max() > 0.01 and np.abs(model.map - plain.map).max() > 0.01
-    assert cm.all_pair_counts(chunks)[32].sum() >= 6 * 4000
-
-
-def test_short_texts_teach_their_own_weights_and_map():
-    code = cm.PrefixCode(np.ones(257, np.int64))
-    model = cm.Model(code, 18, [np.zeros(1 << 18, np.int8) for _ in cm.CONTEXTS])
-    texts = [b"ab" * 300, b"xyz" * 150, b"a", b""]
-    assert int(cm.Bits(texts, code).per_doc.max()) < 16_384
-    frozen = []
-    for t in texts:
-        bits = cm.Bits([t], code, 18)
-        xs, gate = model.inputs(bits)
-        frozen.append(float(model.cost(model.mixed(xs, gate, model.weights), bits, slice(None)).sum()) / math.log(10))
-    got = model.scores(texts)
-    assert got[0] > 0.95 * frozen[0] and got[1] > 0.97 * frozen[1]  # scores are negative
-    assert np.allclose(got[2:], frozen[2:], atol=1e-4)
-    assert np.allclose(got, [model.scores([t])[0] for t in texts], rtol=1e-5)
+    assert n == 30_000 and v < 100 and cm.all_pair_counts(chunks)[32].sum() >= 6 * 4000
+
+
+def test_scores_do_not_depend_on_chunks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(200, i) + f" word{i % 7}") for i in range(60)], "doc_id long, text string")
+    one = {r.doc_id: r for r in cm.score_documents(docs.coalesce(1), cm.is_held_out("doc_id")).collect()}
+    many = {r.doc_id: r for r in cm.score_documents(docs.repartition(7), cm.is_held_out("doc_id")).collect()}
+    for i, r in one.items():
+        assert abs(r.base_score - many[i].base_score) < 1e-9 * abs(r.base_score) and (r.n_known, r.n_tokens) == (many[i].n_known, many[i].n_tokens)
+        assert abs(r.score - many[i].score) < 0.05 * abs(r.score)  # chunks find weights of their own, which are averaged

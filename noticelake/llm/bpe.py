@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 from noticelake.llm.shared import documents, text_or_empty
-from noticelake.llm.tokens import PLAIN, Cache, byte_alphabet, to_byte_chars
+from noticelake.llm.tokens import CACHE_BYTES, PLAIN, Cache, byte_alphabet, to_byte_chars
 
 #: An unsplit run of more characters than this is encoded by several tasks.
 UNSPLIT = 4096
@@ -40,7 +40,7 @@ FROM_BYTE_CHARS = str.maketrans({c: chr(b) for b, c in byte_alphabet().items()})
 class WordEndEncoder:
     """Ids and token strings of a BPE whose last symbol of each word carries an end mark."""
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = CACHE_BYTES):
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         model = spec["model"]
@@ -52,7 +52,7 @@ class WordEndEncoder:
         self.token = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         if spec["decoder"] is not None:
             raise ValueError("the decoder is not that of plain tokens")
-        self.words = Cache(self.word, 2 * room)
+        self.words = Cache(self.word, room)
         self.chunks = Cache(self._chunk, room)
 
     def leaf(self, text: str, final: bool) -> list[int]:

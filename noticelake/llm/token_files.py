@@ -2,41 +2,42 @@
 
 A file holds the documents of one shard. Its layout, all numbers little-endian:
 
-    magic        8 bytes, NLTOKEN1
-    bits         u32   bits of an id
-    block_ids    u32   ids in each block but the last
-    n_ids        u64
-    n_docs       u64
-    doc_ids      i64 x n_docs; the smallest i64 stands for null
+    magic        8 bytes, NLTOKEN2
+    data         blocks of ids packed bit by bit, lowest bit first, each padded to a byte
+    doc_ids      i64 x n_docs; the first n_null of them stand for null
     doc_ends     u64 x n_docs, ids of the shard up to the document's end
     offsets      u64 x (blocks + 1), bytes from the start of the data
-    data         blocks of ids packed bit by bit, lowest bit first, each padded to a byte
+    tail         bits of an id u32, ids in each block but the last u32, n_ids u64, n_docs u64, n_null u64,
+                 magic 8 bytes
 
-Blocks are found by their offsets and unpacked with numpy, so any range of ids is read without the
-rest of the file. Documents are range-partitioned by id, so the shards in order of their first
-document hold all ids in ascending order.
+So a block goes to the file as soon as it is full. Blocks are found by their offsets and unpacked with
+numpy, and any range of ids is read without the rest of the file. Documents are range-partitioned
+by id, so the shards in order of their partition, and of their number within it, hold all ids in
+ascending order.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
-import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticelake.llm.shared import documents, shared_dir, stored, text_or_empty, write_file
+from noticelake.llm.shared import documents, new_file, opened, shared_dir, stored, text_or_empty
 from noticelake.llm.tokens import byte_level_encoder
 
-MAGIC = b"NLTOKEN1"
+MAGIC = b"NLTOKEN2"
 BLOCK_IDS = 65_536
 #: A task starts a new file after this many ids.
 FILE_IDS = 8_000_000
-NULL_ID = -(2**63)
-HEAD = struct.Struct("<8sIIQQ")
+#: Ids that a batch of read documents has, about.
+BATCH_IDS = 500_000
+TAIL = struct.Struct("<IIQQQ8s")
 
 
 def bits_for(vocab_size: int) -> int:
@@ -64,65 +65,86 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u4")
 
 
-class FileBuilder:
-    """A file in the making; ids are packed block by block as they come, so only packed bytes pile up."""
+class FileWriter:
+    """Writes a file to a stream, block by block as ids come; only the tables pile up. Documents without an id come first."""
 
-    def __init__(self, bits: int, block_ids: int = BLOCK_IDS):
-        self.bits, self.block_ids = bits, block_ids
-        self.names, self.ends, self.blocks = [], [], []
-        self.rest, self.n_ids = bytearray(), 0
+    def __init__(self, out, bits: int, block_ids: int = BLOCK_IDS):
+        self.out, self.bits, self.block_ids = out, bits, block_ids
+        self.names, self.ends, self.offsets = array("q"), array("Q"), array("Q", [0])
+        self.rest, self.n_ids, self.n_null = bytearray(), 0, 0
+        out.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         """Appends a document's ids, little-endian u32."""
         self.n_ids += len(ids) // 4
-        self.names.append(NULL_ID if doc_id is None else doc_id)
+        self.n_null += doc_id is None
+        self.names.append(doc_id or 0)
         self.ends.append(self.n_ids)
         self.rest += ids
         size = 4 * self.block_ids
         whole = len(self.rest) // size * size
         for at in range(0, whole, size):
-            self.blocks.append(pack(np.frombuffer(bytes(self.rest[at : at + size]), "<u4"), self.bits))
+            self._block(bytes(self.rest[at : at + size]))
         del self.rest[:whole]
 
-    def content(self) -> bytes:
-        last = [pack(np.frombuffer(bytes(self.rest), "<u4"), self.bits)] if self.rest else []
-        blocks = self.blocks + last
-        tables = (np.array(self.names, "<i8"), np.array(self.ends, "<u8"), np.cumsum([0, *map(len, blocks)], dtype="<u8"))
-        head = HEAD.pack(MAGIC, self.bits, self.block_ids, self.n_ids, len(self.names))
-        return b"".join([head, *(t.tobytes() for t in tables), *blocks])
+    def _block(self, ids: bytes) -> None:
+        block = pack(np.frombuffer(ids, "<u4"), self.bits)
+        self.out.write(block)
+        self.offsets.append(self.offsets[-1] + len(block))
+
+    def end(self) -> None:
+        if self.rest:
+            self._block(bytes(self.rest))
+        for table, kind in ((self.names, "<i8"), (self.ends, "<u8"), (self.offsets, "<u8")):
+            self.out.write(np.array(table, kind).tobytes())
+        self.out.write(TAIL.pack(self.bits, self.block_ids, self.n_ids, len(self.names), self.n_null, MAGIC))
 
 
 def to_file(docs: list[tuple[int | None, bytes]], bits: int, block_ids: int = BLOCK_IDS) -> bytes:
     """The file of (doc_id, little-endian u32 ids) pairs."""
-    made = FileBuilder(bits, block_ids)
+    out = io.BytesIO()
+    made = FileWriter(out, bits, block_ids)
     for doc_id, ids in docs:
         made.add(doc_id, ids)
-    return made.content()
+    made.end()
+    return out.getvalue()
 
 
 class TokenFile:
-    """Random access to the ids of one file, given a way to read a byte range of it."""
+    """Random access to the ids of one file of ``size`` bytes, given a way to read a range of it: its start and length."""
 
-    def __init__(self, read):
+    def __init__(self, read, size: int):
+        if size < len(MAGIC) + TAIL.size:
+            raise ValueError("not a token file")
         self.read = read
-        magic, self.bits, self.block_ids, self.n_ids, n_docs = HEAD.unpack(read(0, HEAD.size))
+        self.bits, self.block_ids, self.n_ids, n_docs, self.n_null, magic = TAIL.unpack(read(size - TAIL.size, TAIL.size))
         if magic != MAGIC:
             raise ValueError("not a token file")
         blocks = -(-self.n_ids // self.block_ids)
-        tables = read(HEAD.size, 16 * n_docs + 8 * (blocks + 1))
+        length = 16 * n_docs + 8 * (blocks + 1)
+        tables = read(size - TAIL.size - length, length)
         self.doc_ids = np.frombuffer(tables, "<i8", n_docs)
         self.doc_ends = np.frombuffer(tables, "<u8", n_docs, 8 * n_docs).astype(np.int64)
         self.offsets = np.frombuffer(tables, "<u8", blocks + 1, 16 * n_docs).astype(np.int64)
-        self.data = HEAD.size + len(tables)
 
     @classmethod
     def of(cls, content: bytes) -> TokenFile:
-        return cls(lambda start, size: content[start : start + size])
+        return cls(lambda start, size: content[start : start + size], len(content))
+
+    @classmethod
+    def on(cls, source) -> TokenFile:
+        """The file behind a stream that can seek."""
+
+        def read(start: int, size: int) -> bytes:
+            source.seek(start)
+            return source.read(size)
+
+        return cls(read, source.size())
 
     def block(self, k: int) -> np.ndarray:
         start, end = int(self.offsets[k]), int(self.offsets[k + 1])
         n = min(self.block_ids, self.n_ids - k * self.block_ids)
-        return unpack(self.read(self.data + start, end - start), self.bits, n)
+        return unpack(self.read(len(MAGIC) + start, end - start), self.bits, n)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop``; only the blocks that hold them are read."""
@@ -135,13 +157,13 @@ class TokenFile:
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """Each document's id, its start in the shard and its ids, holding a block or so at a time."""
         start, held, held_from, k = 0, np.zeros(0, "<u4"), 0, 0
-        for name, end in zip(self.doc_ids.tolist(), self.doc_ends.tolist(), strict=True):
+        for number, (name, end) in enumerate(zip(self.doc_ids.tolist(), self.doc_ends.tolist(), strict=True)):
             parts = [held[start - held_from :]]
             while held_from + len(held) < end:
                 held_from, held, k = k * self.block_ids, self.block(k), k + 1
                 parts.append(held)
             ids = np.concatenate(parts)[: end - start]
-            yield (None if name == NULL_ID else name), start, ids
+            yield (None if number < self.n_null else name), start, ids
             start = end
 
 
@@ -157,54 +179,68 @@ def write_token_files(
 ) -> DataFrame:
     """Writes the ids of all documents under ``folder`` and returns the list of files.
 
-    A row: name, first_doc, n_docs, n_ids. Each document ends with ``end_id``; a null text counts as
-    empty. A null id comes first. Rows with equal ids stand side by side, in the order of their
-    texts. An empty table gives no files. A task that is run again writes files of other names;
-    only those in the list count.
+    A row: name, part and number (their order), n_docs, n_ids. Each document ends with ``end_id``; a null
+    text counts as empty. A null id comes first. Rows with equal ids stand side by side, in an order that
+    their texts set; many of them may take several parts. An empty table gives no files. Other columns are
+    not read. A task that is run again writes files of other names; only those in the list count.
     """
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
         encoder = byte_level_encoder(tokenizer)
         bits = bits_for(encoder.vocab_size)
         end = end_id.to_bytes(4, "little")
-        made, files = FileBuilder(bits, block_ids), []
+        part = TaskContext.get().partitionId()
 
-        def flush() -> None:
-            name = f"{uuid.uuid4().hex}.ids"
-            write_file(folder, name, made.content())
-            first = None if made.names[0] == NULL_ID else made.names[0]
-            files.append((name, first, len(made.names), made.n_ids))
+        def rows() -> Iterator:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 500):
+                    some = batch.slice(a, 500)
+                    yield from zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made.add(doc_id, encoder.encode(text) + end)
-                if made.n_ids >= file_ids:
-                    flush()
-                    made = FileBuilder(bits, block_ids)
-        if made.names:
-            flush()
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([f[i] for f in files], t) for i, t in enumerate(types)],
-            ["name", "first_doc", "n_docs", "n_ids"],
-        )
+        files, left = [], rows()
+        for row in left:
+            name = f"{uuid.uuid4().hex}.ids"
+            with new_file(folder, name) as out:
+                made = FileWriter(out, bits, block_ids)
+                while row is not None:
+                    made.add(row[0], encoder.encode(row[1]) + end)
+                    row = next(left, None) if made.n_ids < file_ids else None
+                made.end()
+            files.append((name, part, len(files), len(made.names), made.n_ids))
+        names, types = ["name", "part", "number", "n_docs", "n_ids"], [pa.string(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in files], t) for i, t in enumerate(types)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    written = ordered.mapInArrow(run, "name string, first_doc long, n_docs long, n_ids long")
+    order = ["doc_id", F.xxhash64("text")]  # rows of one id may go over several parts
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    written = ordered.mapInArrow(run, "name string, part long, number long, n_docs long, n_ids long")
     return stored(written, "token-file-list")
 
 
+def with_starts(files: DataFrame) -> DataFrame:
+    """``files`` with file_start, the number of ids in all files before each.
+
+    Parts are summed first, so the window without a key sees one row for each part, of which there are as
+    many as shuffle partitions.
+    """
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("ids")).select(
+        "part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("part_start")
+    )
+    within = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = files.withColumn("in_part", F.coalesce(F.sum("n_ids").over(within), F.lit(0)))
+    return numbered.join(parts, "part").select("name", (F.col("part_start") + F.col("in_part")).alias("file_start"))
+
+
 def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """One row per document from the files: doc_id, start, n_tokens, ids (little-endian u32).
+    """One row per document from the listed files: doc_id, start, n_tokens, ids (little-endian u32).
 
-    ``start`` counts the ids of all documents before it, over all files.
+    ``start`` counts the ids of all documents before it, over all files. Each file is read by ranges, a
+    block or so at a time.
     """
-    # Files that share their first document go by size; a shard of one id alone may span several.
-    before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "name").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("name", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("file_start"))
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -216,30 +252,25 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> Data
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                first = batch.column(0)[i].as_py()
-                file = TokenFile.of(batch.column(1)[i].as_py())
+            for name, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows, size = [], 0
-                for doc_id, start, ids in file.documents():
-                    rows.append((doc_id, first + start, len(ids), ids.tobytes()))
-                    size += len(ids)
-                    if size >= 1_000_000:
-                        yield batch_of(rows)
-                        rows, size = [], 0
+                with opened(folder, name) as source:
+                    for doc_id, start, ids in TokenFile.on(source).documents():
+                        rows.append((doc_id, first + start, len(ids), ids.tobytes()))
+                        size += len(ids)
+                        if size >= BATCH_IDS:
+                            yield batch_of(rows)
+                            rows, size = [], 0
                 if rows:
                     yield batch_of(rows)
 
-    raw = spark.read.format("binaryFile").load(folder).select(
-        F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content"
-    )
-    return (
-        raw.join(F.broadcast(starts), "name")
-        .select("file_start", "content")
-        .mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
-    )
+    # a task for each file, or a few: the list is small, what it names is not
+    listed = with_starts(files).repartition(max(1, min(files.count(), 10_000)))
+    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token files and read back: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 
     folder = shared_dir(spark, "token-files")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from array import array
 
 import regex
@@ -43,16 +44,23 @@ def to_byte_chars(text: str) -> str:
     return text.encode("utf-8").decode("latin-1").translate(BYTE_TABLE)
 
 
+#: Bytes, about, that the cached words of an encoder take, and its cached chunks.
+CACHE_BYTES = 64_000_000
+#: Bytes of a dictionary's entry besides its key and value.
+ENTRY_BYTES = 110
+
+
 class Cache(dict):
-    """A dictionary that computes what it lacks and stops growing at ``room`` entries."""
+    """A dictionary that computes what it lacks and stops growing at ``room`` bytes. Values are bytes, or a list or tuple of numbers."""
 
-    def __init__(self, make, room: int):
+    def __init__(self, make, room: int = CACHE_BYTES):
         super().__init__()
-        self.make, self.room = make, room
+        self.make, self.left = make, room
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < self.room and len(key) < 64:
+        if self.left > 0 and len(key) < 64:
+            self.left -= ENTRY_BYTES + sys.getsizeof(key) + sys.getsizeof(value) + (0 if isinstance(value, bytes) else 32 * len(value))
             self[key] = value
         return value
 
@@ -60,7 +68,7 @@ class Cache(dict):
 class ByteLevelEncoder:
     """Encodes whole texts to little-endian unsigned 32-bit ids, without special tokens added."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = CACHE_BYTES):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
@@ -73,7 +81,7 @@ class ByteLevelEncoder:
             and pre.get("use_regex") is True
             and not pre.get("add_prefix_space")
         )
-        self.words = Cache(self._word, 2 * room)
+        self.words = Cache(self._word, room)
         self.chunks = Cache(self._chunk, room)
 
     def _word(self, word: str) -> bytes:

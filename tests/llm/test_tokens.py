@@ -61,17 +61,17 @@ def test_packing_of_bits_round_trips(bits):
 
 def test_random_access_reads_only_its_blocks():
     ids = np.arange(1000, dtype="<u4") % 900
-    content = token_files.to_file([(3, ids[:10].tobytes()), (None, b""), (7, ids[10:].tobytes())], 10, block_ids=64)
+    content = token_files.to_file([(None, b""), (-(2**63), ids[:10].tobytes()), (7, ids[10:].tobytes())], 10, block_ids=64)
     asked = []
 
     def read(start, size):
         asked.append(size)
         return content[start : start + size]
 
-    file = token_files.TokenFile(read)
+    file = token_files.TokenFile(read, len(content))
     assert (file.ids(130, 140) == ids[130:140]).all() and len(asked) == 3 and asked[-1] == 80
     assert (file.ids(60, 200) == ids[60:200]).all() and len(file.ids(5, 5)) == 0
-    assert [(d, s, len(x)) for d, s, x in file.documents()] == [(3, 0, 10), (None, 10, 0), (7, 10, 990)]
+    assert [(d, s, len(x)) for d, s, x in file.documents()] == [(None, 0, 0), (-(2**63), 0, 10), (7, 10, 990)]
     with pytest.raises(ValueError):
         token_files.TokenFile.of(b"X" * 100)
 

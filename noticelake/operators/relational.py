@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,10 +64,60 @@ def facets(df: DataFrame, axes: dict[str, tuple[Column, Column]], common: Column
     )
 
 
-def keyset_page(df: DataFrame, order: Sequence[Column], after: Column | None, limit: int) -> DataFrame:
-    """One page: rows behind the cursor predicate, in order, one more than ``limit`` to show if more follow."""
-    rows = df if after is None else df.filter(after)
-    return rows.orderBy(*order).limit(limit + 1)
+@dataclass(frozen=True)
+class SortKey:
+    """One key of an order: an expression, its direction and where its nulls stand."""
+
+    value: Column
+    kind: str
+    descending: bool = False
+    nulls_first: bool = False
+
+    def order(self) -> Column:
+        name = f"{'desc' if self.descending else 'asc'}_nulls_{'first' if self.nulls_first else 'last'}"
+        return getattr(self.value, name)()
+
+    def beyond(self, bound: Column) -> Column:
+        """Whether the key comes strictly behind a bound, which may be null."""
+        further = self.value < bound if self.descending else self.value > bound
+        if self.nulls_first:
+            return F.coalesce(further, self.value.isNotNull() & bound.isNull())
+        return F.coalesce(further, self.value.isNull() & bound.isNotNull())
+
+
+def behind(keys: Sequence[SortKey], bounds: Sequence[Column]) -> Column:
+    """The rows that follow a row with these keys in the order: the first key that differs decides."""
+    found = F.lit(False)
+    for key, bound in reversed(list(zip(keys, bounds, strict=True))):
+        found = key.beyond(bound) | (key.value.eqNullSafe(bound) & found)
+    return found
+
+
+def cursor_values(keys: Sequence[SortKey]) -> Column:
+    """The keys of a row as an array of text, of which ``to_cursor`` makes a cursor."""
+    return F.array(*[k.value.cast("string") for k in keys])
+
+
+def to_cursor(values: Sequence[str | None]) -> str:
+    """The keys of the last row of a page as one word for a URL."""
+    return base64.urlsafe_b64encode(json.dumps(list(values)).encode()).decode().rstrip("=")
+
+
+def from_cursor(keys: Sequence[SortKey], cursor: str | None) -> list[Column] | None:
+    """The bounds that a cursor names, or None if it does not fit the keys."""
+    try:
+        values = json.loads(base64.urlsafe_b64decode((cursor or "") + "=" * (-len(cursor or "") % 4)))
+    except ValueError:
+        return None
+    if not isinstance(values, list) or len(values) != len(keys) or not all(v is None or isinstance(v, str) for v in values):
+        return None
+    return [F.lit(v).try_cast(k.kind) for k, v in zip(keys, values, strict=True)]
+
+
+def keyset_page(df: DataFrame, keys: Sequence[SortKey], bounds: Sequence[Column] | None, limit: int) -> DataFrame:
+    """One page: the rows behind the bounds, in order, one more than ``limit`` to show if more follow."""
+    rows = df if bounds is None else df.filter(behind(keys, bounds))
+    return rows.orderBy(*[k.order() for k in keys]).limit(limit + 1)
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -73,9 +126,9 @@ def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 
 
 def latest_snapshot(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
-    """All rows of each key's last day; ties stay."""
-    last = Window.partitionBy(*keys)
-    return df.withColumn("__last", F.max(day).over(last)).filter(F.col(day) == F.col("__last")).drop("__last")
+    """All rows of each key's last day; ties stay. Days are summed up before the shuffle, and no key's rows are held."""
+    last = df.groupBy(*keys).agg(F.max(day).alias("__last"))
+    return df.join(last, list(keys)).filter(F.col(day) == F.col("__last")).select(*df.columns)
 
 
 def completeness(fields: Sequence[Column]) -> Column:

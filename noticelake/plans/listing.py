@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.operators.relational import all_of, asc, desc, facets, keyset_page, union_tagged
+from noticelake.operators.relational import SortKey, all_of, asc, desc, facets, from_cursor, keyset_page, union_tagged
 from noticelake.plans.base import AS_OF, CLOSED_SQL, NOTICE_SQL, as_of, closed, notices, shown
 from noticelake.registry import query
 
 PAGE = 24
-LAST_RANK, LAST_MONEY = 2_147_483_647, 999_999_999_999
 
 
 @dataclass(frozen=True)
@@ -45,74 +43,46 @@ class Filters:
 
 
 def deadline_rank() -> Column:
-    """0 with an end to come, 1 with one past, 2 without."""
-    return F.when(F.col("apply_end").isNull(), 2).when(F.col("apply_end") < as_of(), 1).otherwise(0)
+    """0 if it can still be applied for until a known day, 1 if that day or the notice is over, 2 without a day."""
+    open_still = (F.col("apply_end") >= as_of()) & ~closed()
+    return F.when(F.col("apply_end").isNull(), 2).when(open_still, 0).otherwise(1)
 
 
-def order_of(sort: str) -> list[Column]:
-    """The order of a listing by its name."""
-    if sort == "rent":
-        return [F.coalesce("min_rent", F.lit(LAST_MONEY)).asc(), asc("min_deposit"), F.col("id").desc()]
-    posted = [F.col("posted_at").desc(), asc("source_rank"), F.col("id").desc()]
-    if sort == "posted":
-        return posted
-    rank = deadline_rank()
-    return [rank.asc(), F.when(rank == 0, F.col("apply_end")).asc_nulls_last(), F.col("apply_end").desc_nulls_last(), *posted]
-
-
-CURSORS = {
-    "posted": re.compile(r"(\d{4}-\d{2}-\d{2})_(\d+)_(\d+)"),
-    "rent": re.compile(r"(\d+)_(\d+)_(\d+)"),
-    "deadline": re.compile(r"([012])_(\d{4}-\d{2}-\d{2}|-)_(\d{4}-\d{2}-\d{2})_(\d+)_(\d+)"),
-}
+def deadline_key() -> Column:
+    """The last day of what can still be applied for; null otherwise."""
+    return F.when(deadline_rank() == 0, F.col("apply_end"))
 
 
-def after(sort: str, cursor: str | None) -> Column | None:
-    """The predicate for rows behind a cursor; an invalid cursor is the first page."""
-    found = CURSORS[sort].fullmatch(cursor or "")
-    if found is None:
-        return None
-    parts = found.groups()
+def order_of(sort: str) -> list[SortKey]:
+    """The order of a listing by its name; an unknown name is the newest first."""
+    newest = SortKey(F.col("id"), "long", descending=True)
     if sort == "rent":
-        key = F.struct(F.coalesce("min_rent", F.lit(LAST_MONEY)), F.coalesce("min_deposit", F.lit(LAST_MONEY)), -F.col("id"))
-        return key > F.struct(F.lit(int(parts[0])).cast("long"), F.lit(int(parts[1])).cast("long"), F.lit(-int(parts[2])).cast("long"))
-    day, rank, key = parts[-3:]
-    tail = F.struct("posted_at", -F.coalesce("source_rank", F.lit(LAST_RANK)).cast("long"), "id") < F.struct(
-        F.lit(day).cast("date"), F.lit(-int(rank)).cast("long"), F.lit(int(key)).cast("long")
-    )
-    if sort == "posted":
-        return tail
-    group, place = deadline_rank(), int(parts[0])
-    if place == 2:
-        return (group == 2) & tail
-    end = F.lit(parts[1]).cast("date")
-    beyond = F.col("apply_end") > end if place == 0 else F.col("apply_end") < end
-    return (group > place) | ((group == place) & (beyond | ((F.col("apply_end") == end) & tail)))
-
-
-def encode_cursor(sort: str, row) -> str:
-    """The cursor behind a row."""
-    rank = LAST_RANK if row.source_rank is None else row.source_rank
-    if sort == "rent":
-        rent, dep = (LAST_MONEY if v is None else v for v in (row.min_rent, row.min_deposit))
-        return f"{rent}_{dep}_{row.id}"
-    tail = f"{row.posted_at}_{rank}_{row.id}"
-    if sort == "posted":
-        return tail
-    place = 2 if row.apply_end is None else int(str(row.apply_end) < AS_OF)
-    return f"{place}_{row.apply_end or '-'}_{tail}"
+        return [SortKey(F.col("min_rent"), "long"), SortKey(F.col("min_deposit"), "long"), newest]
+    posted = [SortKey(F.col("posted_at"), "date", descending=True), SortKey(F.col("source_rank"), "long"), newest]
+    if sort == "deadline":
+        last_day = SortKey(F.col("apply_end"), "date", descending=True)
+        return [SortKey(deadline_rank(), "int"), SortKey(deadline_key(), "date"), last_day, *posted]
+    return posted
 
 
 def page(df: DataFrame, filters: Filters, sort: str, cursor: str | None = None, limit: int = PAGE) -> DataFrame:
-    """One page of the listing and one row more, if there is one."""
-    return keyset_page(df.filter(all_of(filters.predicates())), order_of(sort), after(sort, cursor), limit)
+    """One page of the listing and one row more, if there is one; an invalid cursor is the first page."""
+    keys = order_of(sort)
+    return keyset_page(df.filter(all_of(filters.predicates())), keys, from_cursor(keys, cursor), limit)
+
+
+def page_after(df: DataFrame, filters: Filters, sort: str, *bounds: object) -> DataFrame:
+    """The page behind the row with these keys."""
+    keys = order_of(sort)
+    at = [F.lit(v).cast(k.kind) for k, v in zip(keys, bounds, strict=True)]
+    return keyset_page(df.filter(all_of(filters.predicates())), keys, at, PAGE)
 
 
 COLUMNS = ["id", "agency", "posted_at", "apply_end", "min_rent", "min_deposit"]
 COLUMNS_SQL = """id, agency, CAST(posted_at AS VARCHAR) AS posted_at, CAST(apply_end AS VARCHAR) AS apply_end, min_rent,
   min_deposit"""
 POSTED_SQL = "posted_at DESC, source_rank ASC NULLS LAST, id DESC"
-RANK_SQL = f"CASE WHEN apply_end IS NULL THEN 2 WHEN apply_end < DATE '{AS_OF}' THEN 1 ELSE 0 END"
+RANK_SQL = f"(CASE WHEN apply_end IS NULL THEN 2 WHEN apply_end >= DATE '{AS_OF}' AND NOT {CLOSED_SQL} THEN 0 ELSE 1 END)"
 DEADLINE_SQL = f"""{RANK_SQL}, CASE WHEN {RANK_SQL} = 0 THEN apply_end END ASC NULLS LAST,
   apply_end DESC NULLS LAST, {POSTED_SQL}"""
 
@@ -122,26 +92,40 @@ def keyset_page_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(page(notices(spark, sf_dir), Filters(), "deadline"), *COLUMNS)
 
 
-@query(f"""WITH {NOTICE_SQL} SELECT {COLUMNS_SQL} FROM notice WHERE canonical_id IS NULL AND sector = 'public'
-  AND ({RANK_SQL} > 1 OR ({RANK_SQL} = 1 AND (apply_end < DATE '1997-03-05' OR (apply_end = DATE '1997-03-05'
-   AND (posted_at, -coalesce(source_rank, {LAST_RANK}), id) < (DATE '1997-02-20', -10, 500))))) ORDER BY {DEADLINE_SQL} LIMIT 25""")
+# The twins number all rows in order and take those behind the first row that is not before the bounds.
+def behind_sql(where: str, order: str, before: str) -> str:
+    """The page behind the last row for which ``before`` holds, by numbering the whole list."""
+    return f"""WITH {NOTICE_SQL}, listed AS (SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM notice WHERE canonical_id IS NULL AND {where})
+SELECT {COLUMNS_SQL} FROM listed WHERE place > (SELECT coalesce(max(place), 0) FROM listed WHERE {before}) ORDER BY place LIMIT 25"""
+
+
+PAST_SQL = f"""{RANK_SQL} = 0 OR ({RANK_SQL} = 1 AND (apply_end > DATE '1997-03-05' OR (apply_end = DATE '1997-03-05'
+  AND (posted_at > DATE '1997-02-20' OR (posted_at = DATE '1997-02-20' AND (source_rank < 10 OR (source_rank = 10 AND id >= 500)))))))"""
+
+
+@query(behind_sql("sector = 'public'", DEADLINE_SQL, PAST_SQL))
 def keyset_page_deadline_past(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = Filters(sector="public", include_closed=True)
-    return shown(page(notices(spark, sf_dir), chosen, "deadline", "1_1997-03-05_1997-02-20_10_500"), *COLUMNS)
+    return shown(page_after(notices(spark, sf_dir), chosen, "deadline", 1, None, "1997-03-05", "1997-02-20", 10, 500), *COLUMNS)
 
 
-@query(f"""WITH {NOTICE_SQL} SELECT {COLUMNS_SQL} FROM notice WHERE canonical_id IS NULL AND min_deposit <= 2000
-  AND (posted_at, -coalesce(source_rank, {LAST_RANK}), id) < (DATE '1998-01-01', -20, 3000) ORDER BY {POSTED_SQL} LIMIT 25""")
+@query(behind_sql("min_deposit <= 2000", POSTED_SQL, """posted_at > DATE '1998-01-01' OR (posted_at = DATE '1998-01-01'
+  AND (source_rank < 20 OR (source_rank = 20 AND id >= 3000)))"""))
 def keyset_page_posted(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = Filters(max_deposit=2000, include_closed=True)
-    return shown(page(notices(spark, sf_dir), chosen, "posted", "1998-01-01_20_3000"), *COLUMNS)
+    return shown(page_after(notices(spark, sf_dir), chosen, "posted", "1998-01-01", 20, 3000), *COLUMNS)
 
 
-@query(f"""WITH {NOTICE_SQL} SELECT {COLUMNS_SQL} FROM notice WHERE canonical_id IS NULL
-  AND (coalesce(min_rent, {LAST_MONEY}), coalesce(min_deposit, {LAST_MONEY}), -id) > (100, 1010, -700)
-  ORDER BY coalesce(min_rent, {LAST_MONEY}), min_deposit NULLS LAST, id DESC LIMIT 25""")
+@query(behind_sql("true", "min_rent NULLS LAST, min_deposit NULLS LAST, id DESC",
+                  "min_rent < 100 OR (min_rent = 100 AND (min_deposit < 1010 OR (min_deposit = 1010 AND id >= 700)))"))
 def keyset_page_rent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(page(notices(spark, sf_dir), Filters(include_closed=True), "rent", "100_1010_700"), *COLUMNS)
+    return shown(page_after(notices(spark, sf_dir), Filters(include_closed=True), "rent", 100, 1010, 700), *COLUMNS)
+
+
+@query(behind_sql("true", "min_rent NULLS LAST, min_deposit NULLS LAST, id DESC",
+                  "min_rent IS NOT NULL OR min_deposit < 1500 OR (min_deposit = 1500 AND id >= 0)"))
+def keyset_page_unpriced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(page_after(notices(spark, sf_dir), Filters(include_closed=True), "rent", None, 1500, 0), *COLUMNS)
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_id < 5000 AND event_type = 'click' ORDER BY event_id DESC LIMIT 50")
@@ -152,10 +136,10 @@ def id_cursor_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {NOTICE_SQL} SELECT {COLUMNS_SQL} FROM notice WHERE id IN (1, 2, 3, 7, 14, 35, 70, 100, 101)
-  ORDER BY apply_end ASC NULLS LAST, posted_at DESC, id DESC""")
+  ORDER BY {RANK_SQL}, CASE WHEN {RANK_SQL} = 0 THEN apply_end END ASC NULLS LAST, posted_at DESC, id DESC""")
 def list_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = notices(spark, sf_dir).filter(F.col("id").isin(1, 2, 3, 7, 14, 35, 70, 100, 101))
-    return shown(rows.orderBy(asc("apply_end"), F.col("posted_at").desc(), F.col("id").desc()), *COLUMNS)
+    return shown(rows.orderBy(deadline_rank(), asc(deadline_key()), F.col("posted_at").desc(), F.col("id").desc()), *COLUMNS)
 
 
 @query(f"WITH {NOTICE_SQL} SELECT {COLUMNS_SQL} FROM notice WHERE canonical_id IS NULL AND sector = 'public' AND agency = '2-HIGH' AND min_rent <= 200 AND NOT {CLOSED_SQL}")
@@ -179,7 +163,7 @@ def closing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def case_rank_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = deadline_rank()
     return notices(spark, sf_dir).select(
-        "id", rank.alias("deadline_rank"), F.when(rank == 0, F.col("apply_end").cast("string")).alias("deadline_key")
+        "id", rank.alias("deadline_rank"), deadline_key().cast("string").alias("deadline_key")
     )
 
 
@@ -222,12 +206,12 @@ def hub_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
   ORDER BY closed, {POSTED_SQL} LIMIT 30""")
 def landing_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = notices(spark, sf_dir).filter("canonical_id IS NULL").withColumn("closed", closed())
-    return shown(rows.orderBy("closed", *order_of("posted")).limit(30), "id", "agency", "posted_at", "closed")
+    return shown(rows.orderBy("closed", *[k.order() for k in order_of("posted")]).limit(30), "id", "agency", "posted_at", "closed")
 
 
 @query(f"WITH {NOTICE_SQL} SELECT id, CAST(posted_at AS VARCHAR) AS posted_at, source_rank FROM notice ORDER BY {POSTED_SQL} LIMIT 100")
 def order_nulls_posted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(notices(spark, sf_dir).orderBy(*order_of("posted")).limit(100), "id", "posted_at", "source_rank")
+    return shown(notices(spark, sf_dir).orderBy(*[k.order() for k in order_of("posted")]).limit(100), "id", "posted_at", "source_rank")
 
 
 @query(f"WITH {NOTICE_SQL} SELECT id, CAST(apply_end AS VARCHAR) AS apply_end FROM notice ORDER BY apply_end DESC NULLS FIRST, id LIMIT 100")

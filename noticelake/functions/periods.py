@@ -11,53 +11,57 @@ from pyspark.sql import types as T
 
 PERIOD = T.StructType([T.StructField(n, t) for n, t in (
     ("start", T.DateType()), ("end", T.DateType()), ("start_time", T.StringType()), ("end_time", T.StringType()))])
-DAY = re.compile(r"(?:'?(\d{4}|\d{2})\s*[.년/-]\s*)?(?:(\d{1,2})\s*[.월/-]\s*)?(\d{1,2})\s*[.일]?\s*(?:\([^)]*\))?\s*(?:(\d{1,2})\s*[:시]\s*(\d{2})?)?")
+BETWEEN = re.compile(r"\s*(?:[~～∼〜]|(?<=[\s).])[-–—](?=\s|\d|['’‘`]))\s*")
+ASIDE = re.compile(r"\([^)]*\)|\[[^\]]*\]")
+CLOCK = re.compile(r"(\d{1,2})\s*(?::\s*(\d{2})|시(?:\s*(\d{1,2})\s*분)?)")
+NUMBERS = re.compile(r"\d+")
 
 
-def parse_side(text: str, year: int | None, month: int | None) -> tuple[dt.date, str | None] | None:
-    """A day and a time; year and month may be borrowed from the other side."""
-    found = DAY.match(text.strip())
-    if found is None:
-        return None
-    y, m, d, hour, minute = found.groups()
-    whole_year = None if y is None else int(y) + (2000 if len(y) == 2 else 0)
-    if y is not None and m is None:  # two numbers are a month and a day
-        whole_year, m = None, y
-    whole_year, month = whole_year or year, int(m) if m else month
-    if whole_year is None or month is None:
-        return None
+def read_side(text: str) -> tuple[list[int], str | None]:
+    """The numbers of a date as they stand, and the time of day, of one side of a period."""
+    text = ASIDE.sub(" ", text)
+    clock = CLOCK.search(text)
+    if clock is None:
+        return [int(n) for n in NUMBERS.findall(text)[:3]], None
+    hour, minute = int(clock.group(1)), int(clock.group(2) or clock.group(3) or 0)
+    time = f"{hour % 24:02d}:{minute:02d}" if hour <= 24 and minute < 60 else None
+    return [int(n) for n in NUMBERS.findall(text[: clock.start()])[:3]], time
+
+
+def day_of(year: int, month: int, day: int) -> dt.date | None:
     try:
-        day = dt.date(whole_year, month, int(d))
+        return dt.date(year + 2000 if year < 100 else year, month, day)
     except ValueError:
         return None
-    if hour is None:
-        return day, None
-    h = int(hour) % 24
-    return (day, f"{h:02d}:{int(minute or 0):02d}") if int(hour) <= 24 and int(minute or 0) < 60 else (day, None)
 
 
-def parse_period(text: str | None) -> tuple | None:
-    """start, end, start_time, end_time of a text such as "'26. 09. 10.(목) 17:00 ~ 09. 14."."""
+def application_window(text: str | None) -> tuple | None:
+    """start, end, start_time, end_time of a text such as "'26. 09. 10.(목) 17:00 ~ 09. 14.".
+
+    The end borrows what it leaves out from the start: a year, a month, or the whole day if it has a time alone. An end
+    before the start belongs to the next year. An end that can't be read repeats the start; without a
+    full first date there is no period.
+    """
     if not text:
         return None
-    sides = re.split(r"[~～∼]", text, maxsplit=1)
-    first = parse_side(sides[0], None, None)
-    if first is None:
+    sides = BETWEEN.split(text, maxsplit=1)
+    numbers, start_time = read_side(sides[0])
+    start = day_of(*numbers) if len(numbers) == 3 else None
+    if start is None:
         return None
     if len(sides) == 1:
-        return first[0], first[0], first[1], None
-    second = parse_side(sides[1], first[0].year, first[0].month)
-    if second is None:
-        return first[0], None, first[1], None
-    day = second[0]
-    if day < first[0]:  # a period over the turn of the year
-        day = day.replace(year=day.year + 1)
-    return first[0], day, first[1], second[1]
+        return start, start, start_time, None
+    numbers, end_time = read_side(sides[1])
+    borrowed = [start.year, start.month, start.day][: 3 - len(numbers)]
+    end = day_of(*borrowed, *numbers)
+    if end is not None and end < start and len(numbers) < 3:
+        end = day_of(end.year + 1, end.month, end.day)
+    return start, end or start, start_time, end_time
 
 
 @F.pandas_udf(PERIOD)
 def period(texts: pd.Series) -> pd.DataFrame:
-    rows = [parse_period(t) or (None,) * 4 for t in texts]
+    rows = [application_window(t) or (None,) * 4 for t in texts]
     return pd.DataFrame(rows, columns=[f.name for f in PERIOD.fields], dtype=object)
 
 

@@ -4,21 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VIEW = "id long, visitor_id string, path string, referrer_host string, agent string, created_at timestamp"
-#: The form of a visitor's id, and what marks a robot.
-VISITOR = "^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
-ROBOT = "(?i)bot|crawl|spider|slurp|preview|headless"
+#: The form of a visitor's id, and the names by which robots go.
+VISITOR = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+ROBOT_NAMES = (
+    "bot\\b", "bot/", "crawler", "crawl(?:ing)?", "spider", "slurp", "yeti", "daumoa", "mediapartners", "adsbot", "facebookexternalhit", "embedly",
+    "scrapy", "curl/", "wget", "python-requests", "python-urllib", "go-http-client", "okhttp", "java/", "libwww", "headless", "phantomjs",
+    "puppeteer", "playwright", "selenium", "webdriver", "lighthouse", "pingdom", "uptimerobot", "gtmetrix", "semrush", "ahrefs", "mj12",
+    "dotbot", "petalbot", "bytespider", "applebot", "amazonbot", "claudebot", "gptbot", "ccbot", "perplexity",
+)
+LEAST_AGENT, LONGEST_PATH, LONGEST_HOST = 10, 200, 100
+
+
+def is_robot(agent: Column) -> Column:
+    """Whether an agent is a robot by its name, or by having hardly any; people's browsers always send one."""
+    short = F.length(F.trim(F.coalesce(agent, F.lit("")))) < LEAST_AGENT
+    return short | F.coalesce(agent, F.lit("")).rlike("(?i)" + "|".join(ROBOT_NAMES))
+
+
+def referrer(host: Column) -> Column:
+    """A bare host name in lower case; null for anything with a path or white space in it."""
+    name = F.substring(F.lower(F.trim(host)), 1, LONGEST_HOST)
+    return F.when((name != "") & ~name.rlike(r"[\s/]"), name)
 
 
 def valid_views(raw: DataFrame) -> DataFrame:
     """Views with a proper visitor and path; queries, fragments, robots and the back office are left out."""
-    path = F.substring(F.regexp_replace("path", "[?#].*$", ""), 1, 200)
-    people = ~F.coalesce(F.col("agent").rlike(ROBOT), F.lit(False)) & (F.length(F.coalesce("agent", F.lit(""))) >= 10)
-    good = F.col("visitor_id").rlike(VISITOR) & F.col("path").startswith("/") & ~F.col("path").startswith("/admin")
-    return raw.filter(people & good).withColumn("path", path)
+    path = F.substring(F.regexp_replace("path", "(?s)[?#].*$", ""), 1, LONGEST_PATH)
+    good = F.col("visitor_id").rlike(VISITOR) & F.col("path").startswith("/") & ~path.startswith("/admin")
+    return raw.filter(~is_robot(F.col("agent")) & good).withColumn("path", path).withColumn("referrer_host", referrer(F.col("referrer_host")))
 
 
 def daily_views(views: DataFrame, lateness: str = "1 day") -> DataFrame:

@@ -6,17 +6,26 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticelake.functions.addresses import province, road_address
-from noticelake.functions.periods import is_subsequence, parse_period, period
+from noticelake.functions.periods import application_window, is_subsequence, period
 
 
 @pytest.mark.parametrize(("text", "want"), [
     ("'26. 09. 10.(목) 17:00 ~ 09. 14.", (dt.date(2026, 9, 10), dt.date(2026, 9, 14), "17:00", None)),
     ("2025.12.30 10:00 ~ 01.05 24:00", (dt.date(2025, 12, 30), dt.date(2026, 1, 5), "10:00", "00:00")),
     ("2026. 3. 2. ~ 5.", (dt.date(2026, 3, 2), dt.date(2026, 3, 5), None, None)),
+    ("‘26. 09. 10. (목) 17:00 ~ 09. 14. (월) 23:00", (dt.date(2026, 9, 10), dt.date(2026, 9, 14), "17:00", "23:00")),
+    ("'26. 09. 10. (월) 10:00 ~ 17:00", (dt.date(2026, 9, 10), dt.date(2026, 9, 10), "10:00", "17:00")),
+    ("2022.11.21.(월)~2022.11.23.(수) [3일간]", (dt.date(2022, 11, 21), dt.date(2022, 11, 23), None, None)),
+    ("‘25. 07. 25. (금) 10시 ~ 07. 30. (수) 17시", (dt.date(2025, 7, 25), dt.date(2025, 7, 30), "10:00", "17:00")),
+    ("2025년 1월 16일(목) 9시 ~ 17일(금) 18시", (dt.date(2025, 1, 16), dt.date(2025, 1, 17), "09:00", "18:00")),
+    ("‘25. 12. 30. (화) 10:00 ~ 01. 02. (금) 17:00", (dt.date(2025, 12, 30), dt.date(2026, 1, 2), "10:00", "17:00")),
+    ("2022. 11. 21.(월) - 11. 25.(금)", (dt.date(2022, 11, 21), dt.date(2022, 11, 25), None, None)),
+    ("'24. 03. 01 ~ 02. 29", (dt.date(2024, 3, 1), dt.date(2024, 3, 1), None, None)),
+    ("2024.03.01 ~ 별도 안내", (dt.date(2024, 3, 1), dt.date(2024, 3, 1), None, None)), ("추후 개별 연락", None),
     ("2026-02-30", None), ("미정", None), ("", None), (None, None),
 ])
 def test_periods(text, want):
-    assert parse_period(text) == want
+    assert application_window(text) == want
 
 
 def test_periods_in_batches(spark):

@@ -24,6 +24,14 @@ def test_validation(spark):
     assert sorted((r.id, r.path) for r in valid_views(views(spark)).collect()) == [(1, "/x"), (2, "/x"), (3, "/x"), (9, "/x")]
 
 
+def test_robots_ids_and_referrers(spark):
+    t = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    agents = [AGENT, "NAVER(inapp; search; 1000; 12.7.0)", "cubot note 20 browser", "curl/8.5.0 (x86)", "okhttp/4.12.0", "Yeti/1.1 (search)", "  short   ", None]
+    rows = [(i, "0B2B3C4D-1111-0ABC-0DEF-00000000000F", "/x", h, a, t) for i, (a, h) in enumerate(zip(agents, [" WWW.Example.org ", "a/b", "a b", None, None, None, None, None], strict=True))]
+    got = sorted(map(tuple, valid_views(spark.createDataFrame(rows, VIEW)).select("id", "referrer_host").collect()))
+    assert got == [(0, "www.example.org"), (1, None)]
+
+
 def run(spark, tmp_path, build, mode):
     folder = tmp_path / "in"
     views(spark).repartition(3).write.mode("overwrite").parquet(str(folder))

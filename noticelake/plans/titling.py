@@ -123,8 +123,8 @@ def recruited_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titled(spark, sf_dir).select("id", F.array_join(titles.recruited_types(F.col("title"), F.col("kind")), ",").alias("codes"))
 
 
-@query(rf"""WITH {TITLE_SQL} SELECT id, regexp_replace(CASE WHEN title LIKE '[정정]%' THEN substr(title, 5) WHEN title LIKE '%\_수정게시' ESCAPE '' THEN replace(title, '_수정게시', '') ELSE title END,
-  '[\s.·・]', '', 'g') AS title_key, (title LIKE '[정정]%' OR title LIKE '%\_수정게시' ESCAPE '') AS amended FROM title""")
+@query(rf"""WITH {TITLE_SQL} SELECT id, regexp_replace(CASE WHEN title LIKE '[정정]%' THEN substr(title, 5) WHEN ends_with(title, '_수정게시') THEN replace(title, '_수정게시', '') ELSE title END,
+  '[\s.·・]', '', 'g') AS title_key, (title LIKE '[정정]%' OR ends_with(title, '_수정게시')) AS amended FROM title""")
 def amended_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("title")
     return titled(spark, sf_dir).select("id", titles.title_key(t).alias("title_key"), titles.is_amendment(t).alias("amended"))

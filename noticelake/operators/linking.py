@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticelake.operators.relational import distinct_on
+from noticelake.session import checkpoint_dir
 
 
 def shared_key_edges(df: DataFrame, node: str, key: Column) -> DataFrame:
@@ -40,10 +41,8 @@ def clusters(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """Cut from its lineage in the folder of spark.checkpoint.dir, or a local one where that is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="noticelake-"))
+    """Cut from its lineage in the folder of spark.checkpoint.dir, or a local one where Spark runs locally and that is unset."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -63,6 +62,46 @@ def unique_of_tiers(pairs: DataFrame, left: str, right: str, tiers: Sequence[Col
     return counted.filter("__n = 1").drop("__n")
 
 
+def unique_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], node: str) -> DataFrame:
+    """``left`` with n, how many rows of ``right`` have its keys, and other, their ``node`` if there is one alone.
+
+    Candidates are counted before the join, so each row of ``left`` meets one row at most.
+    """
+    counted = right.groupBy(*keys).agg(F.count("*").alias("n"), F.min(node).alias("other"))
+    return left.join(counted, list(keys), "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("other", F.when(F.col("n") == 1, F.col("other")))
+
+
+def lone_other(rows: DataFrame, node: str, keys: Sequence[str], day: str | None = None, reach: int = 0) -> DataFrame:
+    """node, n and other: how many other rows have the same keys, within ``reach`` days if a day is given, and the one if it is alone.
+
+    Rows are summed up by key and day; the one other is what the sum of the nodes leaves beside one's own. Null keys and days
+    have no others.
+    """
+    known = rows.dropna(subset=[*keys, *([day] if day else [])])
+    sums = known.groupBy(*keys, *([day] if day else [])).agg(F.count("*").alias("n"), F.sum(F.col(node).cast("decimal(38,0)")).alias("ids"))
+    if day:
+        near = Window.partitionBy(*keys).orderBy(F.unix_date(day)).rangeBetween(-reach, reach)
+        sums = sums.select(*keys, day, F.sum("n").over(near).alias("n"), F.sum("ids").over(near).alias("ids"))
+    joined = known.join(sums, [*keys, *([day] if day else [])]).withColumn("n", F.col("n") - 1)
+    return joined.select(node, "n", F.when(F.col("n") == 1, (F.col("ids") - F.col(node)).cast("long")).alias("other"))
+
+
+def first_tier(tiers: Sequence[DataFrame], node: str) -> DataFrame:
+    """node, other, tier: of frames of node, n and other the first with any candidate; several candidates link nothing."""
+    found = [t.filter("n > 0").select(node, F.struct(F.lit(i).alias("tier"), "other").alias("best")) for i, t in enumerate(tiers)]
+    best = reduce(lambda a, b: a.unionByName(b), found).groupBy(node).agg(F.min("best").alias("best"))
+    return best.filter("best.other IS NOT NULL").select(node, "best.other", "best.tier")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, reach: float) -> DataFrame:
+    """Pairs of equal keys whose values ``a`` and ``b`` differ by less than ``reach``: each row of ``right`` is put in its own
+    bin of that width and the two beside it, so that only neighbours meet."""
+    place = F.floor(F.col(a) / reach)
+    beside = F.sequence(F.floor(F.col(b) / reach) - 1, F.floor(F.col(b) / reach) + 1)
+    met = left.withColumn("__bin", place).join(right.withColumn("__bin", F.explode(beside)), [*keys, "__bin"])
+    return met.filter(F.abs(F.col(a) - F.col(b)) < reach).drop("__bin")
+
+
 def keep_all_if_none(pairs: DataFrame, left: str, keep: Column) -> DataFrame:
     """Per left row the pairs that pass the filter, or all of them if none does."""
     kept = F.max(F.coalesce(keep, F.lit(False)).cast("int")).over(Window.partitionBy(left))
@@ -73,17 +112,18 @@ def address_ladder(queries: DataFrame, index: DataFrame) -> DataFrame:
     """id, lon, lat, precision from a road, a main and a sub number, with an optional district.
 
     First the exact number, then the main number alone if a sub number was given. The districts of the
-    hits must agree with the query's, and without one only a single district will do.
+    hits must agree with the query's, and without one only a single district will do. The index is first folded to
+    one row for each number, with the first point of each of its districts, so a query meets one row on each rung.
     """
+    point = F.min(F.struct("lon", "lat")).alias("point")
+
     def rung(asked: DataFrame, keys: list[str], precision: str) -> DataFrame:
-        hits = asked.join(index.withColumnRenamed("district", "found"), keys).filter(
-            F.col("district").isNull() | F.col("found").startswith(F.col("district"))
-        )
-        places = hits.groupBy("id").agg(
-            F.countDistinct("found").alias("n"), F.min_by("lon", F.struct("found", "lon", "lat")).alias("lon"),
-            F.min_by("lat", F.struct("found", "lon", "lat")).alias("lat"),
-        )
-        return places.filter("n = 1").select("id", "lon", "lat", F.lit(precision).alias("precision"))
+        districts = index.groupBy(*keys, "district").agg(point)
+        folded = districts.groupBy(*keys).agg(F.collect_list(F.struct(F.col("district").alias("found"), "point")).alias("places"))
+        fitting = F.filter("places", lambda x: F.col("district").isNull() | x["found"].startswith(F.col("district")))
+        hits = asked.join(folded, keys).select("id", fitting.alias("places")).filter(F.size("places") == 1)
+        at = F.col("places")[0]["point"]
+        return hits.select("id", at["lon"].alias("lon"), at["lat"].alias("lat"), F.lit(precision).alias("precision"))
 
     exact = rung(queries, ["road", "main", "sub"], "building")
     rest = queries.join(exact, "id", "left_anti").filter("sub <> 0").drop("sub")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from noticelake.functions.text import search_norm
 from noticelake.operators import glyphs, rules
 from noticelake.operators.relational import distinct_on, top_k_per_group
 from noticelake.registry import query
-from noticelake.session import read_table
+from noticelake.session import checkpoint_dir, read_table
 from noticelake.streaming.page_views import daily_views
 
 # A small rule table: code, age range, homeless only, income percentage, asset limit, region.
@@ -95,9 +94,8 @@ def first_fitting_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_partkey, count(*) AS n, CAST(min(q) AS BIGINT) AS deposit, min(l_suppkey) FILTER (WHERE rn = 1) AS label FROM s GROUP BY 1""")
 def argmin_option(spark: SparkSession, sf_dir: str) -> DataFrame:
     option = F.struct(F.col("l_quantity").cast("long").alias("deposit"), F.lit(0).cast("long").alias("rent"), F.col("l_suppkey").alias("label"))
-    per = read_table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.collect_list(option).alias("o"))
-    best = rules.lowest_deposit(F.col("o"))
-    return per.select("l_partkey", F.size("o").cast("long").alias("n"), best["deposit"].alias("deposit"), best["label"].alias("label"))
+    per = read_table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.min(option).alias("best"))
+    return per.select("l_partkey", "n", F.col("best.deposit").alias("deposit"), F.col("best.label").alias("label"))
 
 
 @query("""WITH s AS (SELECT p_partkey AS id, lower(regexp_replace(p_type, '\\s+', '', 'g')) AS name, lower(p_brand) AS brand, p_size FROM part),
@@ -145,15 +143,16 @@ def glyph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    pairs = c.join(s, c.c_nationkey == s.s_nationkey)
+    # names that end alike are compared, not all of a nation's
+    ends = F.substring("c_name", -3, 3) == F.substring("s_name", -3, 3)
+    pairs = c.join(s, (c.c_nationkey == s.s_nationkey) & ends)
     return best_match(pairs, "c_custkey", "s_suppkey", F.col("c_name"), F.col("s_name"), 0.55)
 
 
 @query("""SELECT CAST(CAST(ts + INTERVAL 9 HOUR AS DATE) AS VARCHAR) AS day, event_type AS path, count(*) AS views FROM events GROUP BY 1, 2""")
 def stream_daily_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events read as a stream to its end; the last complete result is what the batch query gives."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="noticelake-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = read_table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     views = raw.select(F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("path"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticelake.functions.text import name_key_a
+from noticelake.operators.linking import lone_other, near_pairs
 from noticelake.operators.relational import distinct_on, latest_rows, latest_snapshot, top_k_per_group
 from noticelake.plans.base import NOTICE_SQL, line_items, notices, shown
 from noticelake.registry import query
@@ -128,20 +129,23 @@ SELECT id, prior_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY
 @query(PRIOR_SQL)
 def prior_lookup_top12_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = notices(spark, sf_dir).select("id", "agency", "o_custkey", "posted_at")
-    p = n.select(F.col("id").alias("prior_id"), "agency", "o_custkey", F.col("posted_at").alias("prior_at"))
-    pairs = n.join(p, ["agency", "o_custkey"]).filter("prior_at < posted_at AND prior_id <> id")
+    keys = ["agency", "o_custkey"]
+    # no more than the twelve latest of a day, and of the twelve days before, can be among the twelve latest before a day
+    latest = top_k_per_group(n, [*keys, "posted_at"], [F.col("id").desc()], 12)
+    days = latest.groupBy(*keys, "posted_at").agg(F.reverse(F.array_sort(F.collect_list("id"))).alias("ids"))
+    earlier = Window.partitionBy(*keys).orderBy("posted_at").rowsBetween(-12, -1)
+    prior = days.select(*keys, "posted_at", F.slice(F.flatten(F.reverse(F.collect_list("ids").over(earlier))), 1, 12).alias("prior"))
     # the family is tested after the twelve latest are cut: a match beyond them does not count
-    near = top_k_per_group(pairs, ["id"], [F.col("prior_at").desc(), F.col("prior_id").desc()], 12, rank="rn")
-    return distinct_on(near.filter("prior_id % 3 = id % 3"), ["id"], [F.col("rn")]).select("id", "prior_id")
+    found = F.filter("prior", lambda p: p % 3 == F.col("id") % 3)
+    return n.join(prior, [*keys, "posted_at"]).select("id", F.get(found, 0).alias("prior_id")).filter("prior_id IS NOT NULL")
 
 
 @query(f"""WITH {NOTICE_SQL} SELECT a.id, count(*) AS candidates FROM notice a JOIN notice b ON a.o_custkey = b.o_custkey AND a.agency = b.agency AND a.id <> b.id
 AND b.posted_at BETWEEN a.posted_at - 3 AND a.posted_at + 3 GROUP BY a.id""")
 def proximity_join_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = notices(spark, sf_dir).select("id", "o_custkey", "agency", "posted_at")
-    b = a.select(F.col("id").alias("other"), "o_custkey", "agency", F.col("posted_at").alias("at"))
-    near = F.col("at").between(F.date_sub("posted_at", 3), F.date_add("posted_at", 3)) & (F.col("id") != F.col("other"))
-    return a.join(b, ["o_custkey", "agency"]).filter(near).groupBy("id").agg(F.count("*").alias("candidates"))
+    rows = notices(spark, sf_dir).select("id", "o_custkey", "agency", "posted_at")
+    found = lone_other(rows, "id", ["o_custkey", "agency"], "posted_at", 3)
+    return found.filter("n > 0").select("id", F.col("n").alias("candidates"))
 
 
 KEY_A_SQL = r"lower(regexp_replace(regexp_replace({}, '\([^)]*\)', '', 'g'), '[\]\[_.,·・\s-]', '', 'g'))"
@@ -184,7 +188,6 @@ def canonical_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c_custkey, s_suppkey FROM cand WHERE n = 1""")
 def unique_candidate_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "supplier")
-    near = F.abs(F.col("c_acctbal") - F.col("s_acctbal")) < 25
-    pairs = c.join(s, (c.c_nationkey == s.s_nationkey) & near)
-    counted = pairs.withColumn("n", F.count("*").over(Window.partitionBy("c_custkey")))
+    pairs = near_pairs(c.withColumnRenamed("c_nationkey", "nation"), s.withColumnRenamed("s_nationkey", "nation"), ["nation"], "c_acctbal", "s_acctbal", 25)
+    counted = pairs.groupBy("c_custkey").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("s_suppkey"))
     return counted.filter("n = 1").select("c_custkey", "s_suppkey")

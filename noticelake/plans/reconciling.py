@@ -87,9 +87,13 @@ def district_shorthand_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.col("l_quantity").cast("long")).alias("units"), F.count("*").alias("n")
     )
     name = F.lower("n_name")
-    hit = (name == F.col("short")) | name.startswith(F.col("short")) | name.endswith(F.col("short"))
-    c = s.join(read_table(spark, sf_dir, "nation"), hit).withColumn("hits", F.count("*").over(Window.partitionBy("short")))
-    return c.filter((name == F.col("short")) | (F.col("hits") == 1)).groupBy("n_name").agg(F.sum("units").alias("units"), F.sum("n").alias("n"))
+    # every beginning and end of each of the few names, so that the join is on equal keys
+    cuts = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.array(F.substring(name, 1, i), F.substring(name, -i, i)))
+    nations = read_table(spark, sf_dir, "nation").select("n_name", F.explode(F.array_distinct(F.flatten(cuts))).alias("short"))
+    c = s.join(nations, "short").withColumn("exact", name == F.col("short"))
+    counted = c.groupBy("short").agg(F.count("*").alias("hits"))
+    kept = c.join(counted, "short").filter((F.col("hits") == 1) | F.col("exact"))
+    return kept.groupBy("n_name").agg(F.sum("units").alias("units"), F.sum("n").alias("n"))
 
 
 CASCADE_SQL = """WITH p AS (SELECT c_custkey, s_suppkey, CASE WHEN c_custkey % 1000 = s_suppkey THEN 0 WHEN substr(c_name, -2) = substr(s_name, -2) THEN 1 WHEN abs(c_acctbal - s_acctbal) < 300 THEN 2 END AS tier FROM customer JOIN supplier ON c_nationkey = s_nationkey),
@@ -100,12 +104,16 @@ SELECT c_custkey, s_suppkey, tier FROM n WHERE n = 1"""
 @query(CASCADE_SQL)
 def cascading_unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "supplier")
-    pairs = c.join(s, c.c_nationkey == s.s_nationkey)
-    tiers = [
-        F.col("c_custkey") % 1000 == F.col("s_suppkey"), F.substring("c_name", -2, 2) == F.substring("s_name", -2, 2),
-        F.abs(F.col("c_acctbal") - F.col("s_acctbal")) < 300,
-    ]
-    return linking.unique_of_tiers(pairs, "c_custkey", "s_suppkey", tiers)
+    c = c.select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 1000).alias("key"), F.substring("c_name", -2, 2).alias("ends"), "c_acctbal")
+    s = s.select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("key"), F.substring("s_name", -2, 2).alias("ends"), "s_acctbal")
+    exact = linking.unique_by_key(c, s, ["nation", "key"], "s_suppkey")
+    rest = exact.filter("n = 0").drop("n", "other")
+    alike = linking.unique_by_key(rest, s, ["nation", "ends"], "s_suppkey")
+    rest = alike.filter("n = 0").drop("n", "other")
+    near = linking.near_pairs(rest.select("c_custkey", "nation", "c_acctbal"), s.select("s_suppkey", "nation", "s_acctbal"), ["nation"], "c_acctbal", "s_acctbal", 300)
+    close = near.groupBy("c_custkey").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("other")).withColumn("other", F.when(F.col("n") == 1, F.col("other")))
+    found = linking.first_tier([exact, alike, close], "c_custkey")
+    return found.select("c_custkey", F.col("other").alias("s_suppkey"), "tier")
 
 
 @query(f"""WITH {NOTICE_SQL} SELECT id, '{{"agency":"' || agency || '","rent":' || coalesce(CAST(min_rent AS VARCHAR), 'null') || '}}' AS payload FROM notice""")

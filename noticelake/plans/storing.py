@@ -210,19 +210,21 @@ SELECT post, notice, tier FROM c WHERE n = 1"""
 @query(TIER_SQL)
 def narrow_to_one_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = notices(spark, sf_dir).select("id", "o_custkey", "agency", "posted_at", "housing_type", "sector")
-    a = n.toDF("post", "o_custkey", "agency", "at", "type", "kind")
-    pairs = a.join(n.withColumnRenamed("id", "notice"), ["o_custkey", "agency"]).filter("post <> notice")
-    same = F.col("type") == F.col("housing_type")
-    near = F.abs(F.datediff("at", "posted_at")) <= 30
-    tiers = [same & (F.col("at") == F.col("posted_at")), same & near, F.col("kind") == F.col("sector")]
-    return linking.unique_of_tiers(pairs, "post", "notice", tiers)
+    keys = ["o_custkey", "agency"]
+    tiers = [
+        linking.lone_other(n, "id", [*keys, "housing_type", "posted_at"]),
+        linking.lone_other(n, "id", [*keys, "housing_type"], "posted_at", 30),
+        linking.lone_other(n, "id", [*keys, "sector"]),
+    ]
+    return linking.first_tier(tiers, "id").select(F.col("id").alias("post"), F.col("other").alias("notice"), "tier")
 
 
-@query("""WITH p AS (SELECT c_custkey, s_suppkey, (s_suppkey % 7 = c_custkey % 7) AS keep FROM customer JOIN supplier ON c_nationkey = s_nationkey),
+@query("""WITH p AS (SELECT c_custkey, s_suppkey, (s_suppkey % 7 = c_custkey % 7) AS keep FROM customer JOIN supplier ON c_nationkey = s_nationkey AND right(c_name, 2) = right(s_name, 2)),
 k AS (SELECT *, bool_or(keep) OVER (PARTITION BY c_custkey) AS any_kept FROM p) SELECT c_custkey, s_suppkey FROM k WHERE keep OR NOT any_kept""")
 def region_fallback_keep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "supplier")
-    pairs = c.join(s, c.c_nationkey == s.s_nationkey).select("c_custkey", "s_suppkey")
+    ends = F.substring("c_name", -2, 2) == F.substring("s_name", -2, 2)
+    pairs = c.join(s, (c.c_nationkey == s.s_nationkey) & ends).select("c_custkey", "s_suppkey")
     return linking.keep_all_if_none(pairs, "c_custkey", F.col("s_suppkey") % 7 == F.col("c_custkey") % 7)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +24,20 @@ def get_session(cpus: int | None = None, shuffle_partitions: int = 8) -> SparkSe
     )
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: that of spark.checkpoint.dir.
+
+    Where it is unset a temporary folder takes its place, but only for a local master; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set")
+        base = tempfile.mkdtemp(prefix="noticelake-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One driver table as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

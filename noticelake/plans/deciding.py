@@ -9,22 +9,30 @@ from pyspark.sql import functions as F
 
 from noticelake.functions.similarity import best_match
 from noticelake.functions.text import search_norm
-from noticelake.operators import glyphs, rules
+from noticelake.operators import eligibility, glyphs, rules
 from noticelake.operators.relational import distinct_on, top_k_per_group
 from noticelake.registry import query
 from noticelake.session import checkpoint_dir, read_table
 from noticelake.streaming.page_views import daily_views
 
-# A small rule table: code, age range, homeless only, income percentage, asset limit, region.
+# A small rule table, in the columns of eligibility.RULE.
 TYPES = [
-    ("young", 19, 39, True, 100, 2500, "A"), ("couple", None, None, True, 120, 3500, "A"), ("senior", 65, None, False, 80, None, None),
-    ("general", None, None, True, 70, 1500, "B"), ("open", None, None, False, None, None, None),
+    ("young", 19, 39, ["대학생"], "미혼", None, False, [], "본인", 100, None, True, "본인", 2500, "본인", 500, "서울"),
+    ("couple", 0, 999, [], "혼인", 7, True, [], "세대원", 100, 120, True, "세대", 3500, "세대", 800, "서울"),
+    ("senior", 65, 999, [], "무관", None, False, ["고령자", "장애인"], "세대원", 80, None, False, "세대", None, "세대", None, None),
+    ("branch", 19, 39, [], "무관", 7, False, [], "본인", 100, None, True, "세대주분기", 2500, "세대주분기", 0, "모집지역"),
+    ("parents", 0, 999, [], "무관", None, False, ["대학생"], "본인", 100, None, False, "본인+부모", None, "본인", None, None),
+    ("open", 0, 999, [], "무관", None, False, [], "세대원", None, None, False, "세대", None, "세대", None, None),
 ]
-INCOME = [(1, 100, 1000), (2, 100, 1800), (3, 100, 2500), (4, 100, 3000), (5, 100, 3200), (6, 100, 3400), (7, 100, 3600), (3, 70, 1760)]
+TIERS = [("강남구", "sigungu", "서울"), ("서울특별시", "sido", "서울"), ("인천광역시", "sido", "연접")]
+INCOME = [(1, 100, 1000), (2, 100, 1800), (3, 100, 2500), (4, 100, 3000), (5, 100, 3200), (6, 100, 3400), (7, 100, 3600), (3, 80, 1990)]
+PLACES, CLASSES = ("강남구", "서울특별시 강서구", "인천광역시 서구", "수원시", ""), ("대학생", "고령자", "한부모", "신생아", "없음")
 
 
 def sql_rows(rows: list[tuple]) -> str:
     def one(v: object) -> str:
+        if isinstance(v, list):
+            return f"CAST([{', '.join(map(one, v))}] AS VARCHAR[])"
         return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).upper()
 
     return ", ".join(f"({', '.join(map(one, r))})" for r in rows)
@@ -44,31 +52,97 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CHECKS_SQL = """CASE WHEN min_age IS NULL THEN TRUE ELSE age >= min_age END AS c1, CASE WHEN max_age IS NULL THEN TRUE ELSE age <= max_age END AS c2,
-CASE WHEN NOT need_homeless THEN TRUE ELSE homeless END AS c3, CASE WHEN pct IS NULL THEN TRUE ELSE income <= lim END AS c4,
-CASE WHEN asset_limit IS NULL THEN TRUE ELSE assets <= asset_limit END AS c5, CASE WHEN only_region IS NULL THEN TRUE ELSE region = only_region END AS c6"""
+APPLICANT_SQL = f"""a AS (SELECT c_custkey AS id, CAST(18 + c_custkey % 60 AS INTEGER) AS age, CASE c_custkey % 3 WHEN 0 THEN '미혼' WHEN 1 THEN '기혼' ELSE '예비신혼부부' END AS marital_state,
+CAST(c_custkey % 13 AS INTEGER) AS married_years, [{sql_rows([(c,) for c in CLASSES]).replace('(', '').replace(')', '')}][1 + c_custkey % 5] AS class, c_custkey % 4 <> 0 AS homeless, c_custkey % 8 <> 0 AS homeless_self,
+CAST(1 + c_custkey % 9 AS INTEGER) AS household, CAST(floor(abs(c_acctbal) / 4) AS BIGINT) AS income_self, CAST(floor(abs(c_acctbal) / 3) AS BIGINT) AS income_home,
+CAST(floor(abs(c_acctbal) / 3) AS BIGINT) AS asset_self, CAST(floor(abs(c_acctbal) / 2) AS BIGINT) AS asset_home, CAST(c_custkey % 7 * 150 AS BIGINT) AS car, c_custkey % 10 = 0 AS has_newborn, c_custkey % 6 = 1 AS dual,
+[{sql_rows([(c,) for c in PLACES]).replace('(', '').replace(')', '')}][1 + c_custkey % 5] AS residence FROM customer)"""
 
 
-@query(f"""WITH {PROFILE_SQL}, t(code, min_age, max_age, need_homeless, pct, asset_limit, only_region) AS (VALUES {sql_rows(TYPES)}), s(household, pct, amount) AS (VALUES {sql_rows(INCOME)}),
-x AS (SELECT p.*, t.*, greatest(1, least(7, p.household)) AS size, t.pct + CASE p.household WHEN 1 THEN 20 WHEN 2 THEN 10 ELSE 0 END AS own FROM p CROSS JOIN t),
-y AS (SELECT x.*, coalesce(a.amount, CAST(floor(b.amount * x.own / 100.0::DOUBLE + 0.5) AS BIGINT)) AS lim FROM x LEFT JOIN s a ON a.household = x.size AND a.pct = x.own LEFT JOIN s b ON b.household = x.size AND b.pct = 100),
-z AS (SELECT id, code, {CHECKS_SQL} FROM y)
-SELECT id, code, (coalesce(c1, TRUE) AND coalesce(c2, TRUE) AND coalesce(c3, TRUE) AND coalesce(c4, TRUE) AND coalesce(c5, TRUE) AND coalesce(c6, TRUE)) AS ok,
-(coalesce(c1, TRUE) AND coalesce(c2, TRUE) AND coalesce(c3, TRUE) AND coalesce(c4, TRUE) AND coalesce(c5, TRUE) AND coalesce(c6, TRUE)) AND (c1 IS NULL OR c2 IS NULL OR c3 IS NULL OR c4 IS NULL OR c5 IS NULL OR c6 IS NULL) AS unsure FROM z""")
+def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, money = F.col("c_custkey"), F.abs("c_acctbal")
+    state = F.element_at(F.array(*map(F.lit, ("미혼", "기혼", "예비신혼부부"))), (k % 3 + 1).cast("int"))
+    return read_table(spark, sf_dir, "customer").select(
+        k.alias("id"), (18 + k % 60).cast("int").alias("age"), state.alias("marital_state"), (k % 13).cast("int").alias("married_years"),
+        F.array(F.element_at(F.array(*map(F.lit, CLASSES)), (k % 5 + 1).cast("int"))).alias("classes"),
+        (k % 4 != 0).alias("homeless"), (k % 8 != 0).alias("homeless_self"), (1 + k % 9).cast("int").alias("household"),
+        F.floor(money / 4).alias("income_self"), F.floor(money / 3).alias("income_home"), F.floor(money / 3).alias("asset_self"),
+        F.floor(money / 2).alias("asset_home"), (k % 7 * 150).alias("car"), (k % 10 == 0).alias("has_newborn"), (k % 6 == 1).alias("dual"),
+        F.element_at(F.array(*map(F.lit, PLACES)), (k % 5 + 1).cast("int")).alias("residence"),
+    )
+
+
+BOTH_SQL = "CASE WHEN {s} = '세대주분기' AND household > 1 THEN {own} <= {l1} OR {home} <= {l2} WHEN {s} IN ('본인', '세대주분기') THEN {own} <= {l1} ELSE {home} <= {l2} END"
+INCOME_OK = BOTH_SQL.format(s="income_scope", own="income_self", home="income_home", l1="limit_self", l2="limit_home")
+ASSET_OK = BOTH_SQL.format(s="asset_scope", own="asset_self", home="asset_home", l1="asset_limit", l2="asset_limit")
+RULE_NAMES = ", ".join(x.split()[0] for x in eligibility.RULE.split(", "))
+CHECKS_SQL = f"""(age_min <= 0 AND age_max >= 999) OR list_contains(age_exempt, class) OR age BETWEEN age_min AND age_max AS c1,
+CASE marital WHEN '무관' THEN coalesce(marital_max_yr, 0) = 0 OR marital_state <> '기혼' OR married_years <= marital_max_yr WHEN '미혼' THEN marital_state = '미혼'
+  ELSE marital_state <> '미혼' OR class IN ('한부모', '신생아') END AS c2,
+marital = '혼인' AND marital_state = '기혼' AND class NOT IN ('한부모', '신생아') AND NOT has_newborn AND married_years > marital_max_yr AS u2,
+len(required_class) = 0 OR list_contains(required_class, class) AS c3, homeless OR (homeless_scope = '본인' AND homeless_self) AS c4,
+income_pct IS NULL OR ({INCOME_OK}) AS c5,
+income_pct IS NOT NULL AND ((income_scope = '세대주분기' AND household > 1 AND (income_self <= limit_self) <> (income_home <= limit_home)) OR (income_scope = '본인+부모' AND income_home <= limit_home)) AS u5,
+asset_limit IS NULL OR ({ASSET_OK}) AS c6, coalesce(asset_scope = '세대주분기' AND household > 1 AND (asset_self <= asset_limit) <> (asset_home <= asset_limit), FALSE) AS u6,
+car_limit IS NULL OR car <= car_limit AS c7, region_limit IS DISTINCT FROM '서울' OR residence = '' OR residence = '강남구' OR residence LIKE '서울특별시%' AS c8,
+coalesce(region_limit = '서울' AND residence = '', FALSE) AS u8"""
+
+
+@query(f"""WITH {APPLICANT_SQL}, t({RULE_NAMES}) AS (VALUES {sql_rows(TYPES)}), s(household, pct, amount) AS (VALUES {sql_rows(INCOME)}),
+x AS (SELECT a.*, t.*, greatest(1, least(7, a.household)) AS size, CASE WHEN dual AND marital_state <> '미혼' AND income_pct_dual IS NOT NULL THEN income_pct_dual ELSE income_pct END AS own FROM a CROSS JOIN t),
+y AS (SELECT *, own + CASE WHEN NOT income_small_bonus THEN 0 WHEN household = 1 THEN 20 WHEN household = 2 THEN 10 ELSE 0 END AS p2, own + CASE WHEN income_small_bonus THEN 20 ELSE 0 END AS p1 FROM x),
+l AS (SELECT y.*, coalesce(e.amount, floor(b.amount * p2 / 100.0::DOUBLE + 0.5)) AS limit_home, floor(1000 * p1 / 100.0::DOUBLE + 0.5) AS limit_self
+  FROM y LEFT JOIN s e ON e.household = size AND e.pct = p2 LEFT JOIN s b ON b.household = size AND b.pct = 100),
+z AS (SELECT id, code, {CHECKS_SQL} FROM l)
+SELECT id, code, c1 AND c2 AND c3 AND c4 AND c5 AND c6 AND c7 AND c8 AS ok, u2 OR u5 OR u6 OR u8 AS unsure, concat_ws(',', CASE WHEN NOT c1 THEN '1' END, CASE WHEN NOT c2 THEN '2' END,
+ CASE WHEN NOT c3 THEN '3' END, CASE WHEN NOT c4 THEN '4' END, CASE WHEN NOT c5 THEN '5' END, CASE WHEN NOT c6 THEN '6' END, CASE WHEN NOT c7 THEN '7' END, CASE WHEN NOT c8 THEN '8' END) AS failed FROM z""")
 def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    types = spark.createDataFrame(TYPES, "code string, min_age int, max_age int, need_homeless boolean, pct int, asset_limit int, only_region string")
+    types = spark.createDataFrame(TYPES, eligibility.RULE)
     standard = spark.createDataFrame(INCOME, "household int, pct int, amount long")
-    pairs = profiles(spark, sf_dir).join(F.broadcast(types))  # every profile meets every rule; the rules are five rows
-    known = rules.income_limits(pairs, standard, "household", F.col("pct"))
-    checks = [
-        rules.at_least(F.col("age"), F.col("min_age")), rules.at_most(F.col("age"), F.col("max_age")),
-        rules.required(F.col("homeless"), F.col("need_homeless")),
-        F.when(F.col("pct").isNull(), F.lit(True)).otherwise(F.col("income") <= F.col("income_limit")),
-        rules.at_most(F.col("assets"), F.col("asset_limit")),
-        F.when(F.col("only_region").isNull(), F.lit(True)).otherwise(F.col("region") == F.col("only_region")),
-    ]
-    ok, unsure = rules.verdict(checks)
-    return known.select("id", "code", ok.alias("ok"), unsure.alias("unsure"))
+    pairs = applicants(spark, sf_dir).withColumn("tier", eligibility.tier_of(F.col("residence"), TIERS)).join(F.broadcast(types))  # six rows
+    known = eligibility.with_income_limits(pairs, standard)
+    ok, unsure, failed = eligibility.diagnose(known)
+    return known.select("id", "code", ok.alias("ok"), unsure.alias("unsure"), F.array_join(failed.cast("array<string>"), ",").alias("failed"))
+
+
+@query(f"""WITH {APPLICANT_SQL}, k AS (SELECT *, ['대학생', '청년', '신혼부부', '고령자', '주거급여수급자', '기타'][1 + id % 6] AS kind, residence LIKE '서울%' OR residence = '강남구' AS seoul, id % 30 AS deposits FROM a)
+SELECT id, kind, CAST(CASE kind WHEN '대학생' THEN CASE WHEN married_years >= 3 THEN 3 ELSE 1 END
+WHEN '고령자' THEN CASE WHEN age >= 75 THEN 3 WHEN age >= 70 THEN 2 WHEN age >= 65 THEN 1 ELSE 0 END + CASE WHEN NOT seoul THEN 0 WHEN married_years >= 5 THEN 3 ELSE 2 END + CASE WHEN has_newborn THEN 3 ELSE 0 END
+WHEN '주거급여수급자' THEN CASE WHEN NOT seoul THEN 0 WHEN married_years >= 5 THEN 3 ELSE 2 END + CASE WHEN has_newborn THEN 3 ELSE 0 END
+WHEN '기타' THEN NULL ELSE CASE WHEN NOT seoul THEN 0 WHEN married_years >= 3 THEN 3 ELSE 1 END + CASE WHEN deposits >= 24 THEN 3 WHEN deposits >= 6 THEN 1 ELSE 0 END END AS INTEGER) AS points FROM k""")
+def fit_happy_home_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, (*eligibility.MOST_POINTS, "기타")))
+    seoul = eligibility.tier_of(F.col("residence"), TIERS) == "서울"
+    points = eligibility.priority_points(F.col("kind"), seoul, F.col("married_years"), F.col("id") % 30, F.col("age"), F.col("has_newborn"))
+    return applicants(spark, sf_dir).withColumn("kind", kinds[F.col("id") % 6]).select("id", "kind", points.cast("int").alias("points"))
+
+
+RANKS = [(1, 100, 120, 24), (2, 120, None, 12), (3, 150, 180, None)]
+
+
+@query(f"""WITH {APPLICANT_SQL}, b AS (SELECT *, id % 3 AS newborns, CASE WHEN id % 3 = 2 OR (id % 3 = 1 AND id % 2 = 0) THEN 20 WHEN id % 3 = 1 THEN 10 ELSE 0 END AS bonus, id % 30 AS deposits,
+ [1000, 1800, 2500, 3000, 3200, 3400, 3600][least(7, household)] AS base FROM a),
+r(rank, pct, dual_pct, need) AS (VALUES {sql_rows(RANKS)}), f AS (SELECT id, rank, CASE WHEN dual AND dual_pct IS NOT NULL THEN greatest(dual_pct, pct + bonus) ELSE pct + bonus END AS pct, income_home, base, deposits, need FROM b CROSS JOIN r)
+SELECT id, min(rank) AS rank, arg_min(pct, rank) AS pct FROM f WHERE income_home <= floor(base * pct / 100.0::DOUBLE + 0.5) AND deposits >= coalesce(need, 0) GROUP BY id""")
+def fit_long_lease_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = spark.createDataFrame(RANKS, "rank int, pct int, dual_pct int, need int")
+    id_ = F.col("id")
+    bonus = eligibility.birth_bonus(id_ % 3, id_ % 2 == 0)
+    base = F.array(*[F.lit(a) for _, p, a in INCOME if p == 100])[F.least(F.col("household"), F.lit(7)) - 1]
+    pairs = applicants(spark, sf_dir).join(F.broadcast(ranks))  # three rows
+    tried = pairs.withColumn("own", eligibility.rank_percentage(F.col("pct"), F.col("dual_pct"), bonus, F.col("dual")))
+    fits = (F.col("income_home") <= F.floor(base * F.col("own") / 100 + 0.5)) & (id_ % 30 >= F.coalesce("need", F.lit(0)))
+    best = F.min(F.struct("rank", F.col("own").alias("pct"))).alias("b")
+    return tried.filter(fits).groupBy("id").agg(best).select("id", "b.rank", "b.pct")
+
+
+@query("""SELECT l_suppkey % 50 AS complex, l_returnflag AS kind, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS units, CAST(sum(l_partkey) AS BIGINT) AS applicants,
+round(sum(l_partkey) / sum(CAST(l_quantity AS BIGINT)), 2) AS ratio FROM lineitem WHERE l_quantity > 10 GROUP BY 1, 2""")
+def prior_by_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem")
+    units = F.when(F.col("l_quantity") > 10, F.col("l_quantity").cast("long"))
+    rows = li.select((F.col("l_suppkey") % 50).alias("complex"), F.col("l_returnflag").alias("kind"), units.alias("units"), F.col("l_partkey").alias("applicants"))
+    return eligibility.prior_lines(rows, ["complex", "kind"])
 
 
 STEPS = [(8000, 3), (5000, 2), (2000, 1)]

@@ -96,3 +96,27 @@ def sweep(rows: DataFrame, seen: DataFrame, key: str, covered: Column, status: s
 def retain(rows: DataFrame, stamp: Column, as_of: Column, months: int) -> DataFrame:
     """Rows no older than so many months."""
     return rows.filter(stamp >= F.add_months(as_of, -months))
+
+
+def update_evaluated(old: DataFrame, links: DataFrame, evaluated: DataFrame, key: str, column: str) -> DataFrame:
+    """``old`` with the link of every evaluated row set anew, to null where none was found, and the flag changed.
+
+    Rows that were not looked at keep theirs. ``links`` and ``evaluated`` have each key once.
+    """
+    looked = evaluated.select(key, F.lit(True).alias("__looked")).join(links.select(key, F.col(column).alias("__link")), key, "left")
+    joined = old.join(looked, key, "left")
+    after = F.when(F.col("__looked"), F.col("__link")).otherwise(F.col(column))
+    changed = ~F.col(column).eqNullSafe(after)
+    columns = [after.alias(column) if c == column else F.col(c) for c in old.columns]
+    return joined.select(*columns, changed.alias("changed"))
+
+
+def sync(old: DataFrame, seed: DataFrame, scope: Column | None = None) -> DataFrame:
+    """The table as the seed has it; rows of the old one stay only outside the scope, and none without one."""
+    return seed if scope is None else old.filter(~F.coalesce(scope, F.lit(False))).unionByName(seed)
+
+
+def amendment_links(rows: DataFrame, cluster: str, node: str, amended: Column, canonical: Column) -> DataFrame:
+    """node and amends: for the canonical row of a cluster, if it is an amendment and others are not, the latest such; else null."""
+    original = rows.filter(~amended).groupBy(cluster).agg(F.max(node).alias("amends"))
+    return rows.join(original, cluster, "left").select(node, F.when(canonical & amended, F.col("amends")).alias("amends"))

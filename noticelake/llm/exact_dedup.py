@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm.shared import documents, stored, text_or_empty
+from noticelake.llm.shared import documents, salted_join, stored, text_or_empty
 
 #: Bits of one bitmap row, as bitmap_construct_agg makes them.
 BITMAP_BITS = 32768
@@ -30,11 +30,11 @@ def cell(key: Column, seed: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(bits))
 
 
-def repeated_cells(digests: DataFrame, bits: int) -> DataFrame:
-    """Bitmaps of the cells that are hit at least twice: bucket, bitmap."""
-    hits = digests.select(F.explode(F.array(*[cell(F.col(DIGEST), s, bits) for s in SEEDS])).alias("cell"))
-    twice = hits.groupBy("cell").count().filter("count >= 2")
-    return twice.groupBy((F.col("cell") / BITMAP_BITS).cast("long").alias("bucket")).agg(
+def cell_bitmaps(keys: DataFrame, bits: int, key: str = DIGEST, least: int = 2) -> DataFrame:
+    """Bitmaps of the cells that the keys hit ``least`` times or more: bucket, bitmap."""
+    hits = keys.select(F.explode(F.array(*[cell(F.col(key), s, bits) for s in SEEDS])).alias("cell"))
+    often = hits.groupBy("cell").count().filter(F.col("count") >= least)
+    return often.groupBy((F.col("cell") / BITMAP_BITS).cast("long").alias("bucket")).agg(
         F.bitmap_construct_agg(F.pmod("cell", F.lit(BITMAP_BITS))).alias("bitmap")
     )
 
@@ -45,13 +45,13 @@ def is_set(bitmap: Column, position: Column) -> Column:
     return F.coalesce(F.bit_get(byte, (position % 8).cast("int")) == 1, F.lit(False))
 
 
-def with_maybe(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
-    """``rows`` with the flag MAYBE: false only where the digest occurs once."""
+def with_maybe(rows: DataFrame, bitmaps: DataFrame, bits: int, key: str = DIGEST) -> DataFrame:
+    """``rows`` with the flag MAYBE: false only where the key is surely none of those of the bitmaps."""
     out, flag = rows, F.lit(True)
     for s in SEEDS:
         at, bucket, bitmap = f"__nl_cell{s}", f"__nl_bucket{s}", f"__nl_bitmap{s}"
         side = F.broadcast(bitmaps.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap)))
-        out = out.withColumn(at, cell(F.col(DIGEST), s, bits)).join(
+        out = out.withColumn(at, cell(F.col(key), s, bits)).join(
             side, (F.col(at) / BITMAP_BITS).cast("long") == F.col(bucket), "left"
         )
         flag = flag & is_set(F.col(bitmap), F.pmod(at, F.lit(BITMAP_BITS)))
@@ -85,12 +85,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     slim = digests_of(docs, id_col, text_col)
     bits = filter_bits(slim.count())
-    flagged = with_maybe(slim, repeated_cells(slim, bits), bits)
+    flagged = with_maybe(slim, stored(cell_bitmaps(slim, bits), "bitmaps"), bits)
     single = flagged.filter(~F.col(MAYBE)).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), DIGEST
     )
     again = flagged.filter(MAYBE).select("doc_id", DIGEST)
-    grouped = again.join(groups_of(again), DIGEST).select("doc_id", "keep_id", "group_size", DIGEST)
+    groups = stored(groups_of(again), "groups")
+    sizes = groups.select(DIGEST, F.col("group_size").alias("n"))
+    grouped = salted_join(again, groups, DIGEST, sizes).select("doc_id", "keep_id", "group_size", DIGEST)
     return single.unionByName(grouped).select(
         "doc_id",
         "keep_id",
@@ -108,7 +110,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     slim = digests_of(docs, id_col, text_col)
     bits = filter_bits(slim.count())
-    bitmaps = stored(repeated_cells(slim, bits), "bitmaps")
+    bitmaps = stored(cell_bitmaps(slim, bits), "bitmaps")
     flagged = with_maybe(docs.withColumn(DIGEST, F.sha2(text_or_empty(text_col), 256)), bitmaps, bits)
     again = with_maybe(slim, bitmaps, bits).filter(MAYBE)
     keep = groups_of(again).select(F.col(DIGEST).alias("__nl_keep"), F.col("keep_id").alias("__nl_keep_id"))
@@ -119,6 +121,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all documents with equal texts the one that stays, their number, and the text's digest."""
     return exact_groups(documents(spark, sf_dir))
 
 

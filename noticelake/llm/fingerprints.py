@@ -6,10 +6,11 @@ three of them, and a cell holds how many digests it got, their exclusive or, and
 
 To compare two versions their sketches are subtracted cell by cell: what both have cancels out. Cells
 left with a single digest give it up, it is taken out of its other cells, and so on until nothing is
-left: the digests recovered are the paragraphs that differ. If cells remain, the sketches were too
-small, and both are made again at twice the size. So that this costs the same per paragraph for any
-length, the digests of a pair are first dealt by their own bits over groups of about GROUP_DIGESTS, and
-each group has sketches of its own.
+left: the digests recovered are the paragraphs that differ. A document's fingerprint is a sketch of
+FINGERPRINT_CELLS cells, and fingerprints are what is subtracted first. If cells remain, they were too small for what
+differs, and larger sketches are made for this pair, again and again. So that these cost the same per paragraph
+for any length, the digests of the pair are first dealt by their own bits over groups of about GROUP_DIGESTS,
+and each group has sketches of its own.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from noticelake.llm.shared import documents, stored, text_or_empty
 
 PARAGRAPH_WORDS = 24
 GROUP_DIGESTS = 8
-#: Cells of the sketch that is tried first, and of those tried after failures.
+#: Cells of a fingerprint.
+FINGERPRINT_CELLS = 24
+#: Cells of a group's sketch, and of those made after failures.
 CELLS = (24, 48, 96)
-#: Cells of the sketch that a fingerprint shows.
-SHOWN_CELLS = 12
 ROUNDS = 24
 PARAGRAPHS = rf"\S++(?:[^\S\n]++\S++){{0,{PARAGRAPH_WORDS - 1}}}+"
 LEAST = -(2**63)
@@ -37,6 +38,11 @@ def digests(text: Column) -> Column:
     )
 
 
+def check(digest_sql: str) -> str:
+    """The check of a digest, of 32 bits."""
+    return f"hash({digest_sql}, 7)"
+
+
 def sketch_sql(digests_sql: str, cells: int) -> str:
     """A sketch of an array of digests: cells of count c, digests k and checks h.
 
@@ -46,20 +52,19 @@ def sketch_sql(digests_sql: str, cells: int) -> str:
     places = ", ".join(f"named_struct('s', {21 * (i // part)}, 'p', {i % part}L)" for i in range(cells))
     return f"""transform(array({places}), q -> aggregate(
         filter({digests_sql}, x -> pmod(shiftrightunsigned(x, q.s), {part}L) = q.p),
-        named_struct('c', 0, 'k', 0L, 'h', 0L),
-        (t, x) -> named_struct('c', t.c + 1, 'k', t.k ^ x, 'h', t.h ^ xxhash64(x))))"""
+        named_struct('c', 0, 'k', 0L, 'h', 0),
+        (t, x) -> named_struct('c', t.c + 1, 'k', t.k ^ x, 'h', t.h ^ {check('x')})))"""
 
 
 def peeled_sql(first: str, second: str, cells: int) -> str:
     """How many digests two sketches of this size differ by; null if they can't be told apart."""
     part = cells // 3
-    difference = f"""zip_with({sketch_sql(first, cells)}, {sketch_sql(second, cells)},
-        (u, v) -> named_struct('c', u.c - v.c, 'k', u.k ^ v.k, 'h', u.h ^ v.h))"""
-    single = """array_distinct(transform(
-        filter(t.cells, c -> abs(c.c) = 1 AND xxhash64(c.k) = c.h), c -> named_struct('c', c.c, 'k', c.k)))"""
+    difference = f"""zip_with({first}, {second}, (u, v) -> named_struct('c', u.c - v.c, 'k', u.k ^ v.k, 'h', u.h ^ v.h))"""
+    single = f"""array_distinct(transform(
+        filter(t.cells, c -> abs(c.c) = 1 AND {check('c.k')} = c.h), c -> named_struct('c', c.c, 'k', c.k)))"""
     hits = f"pmod(shiftrightunsigned(x.k, 21 * cast(i div {part} AS int)), {part}L) = i % {part}"
     taken = f"""transform(t.cells, (c, i) -> aggregate(filter(g, x -> {hits}), c,
-        (y, x) -> named_struct('c', y.c - x.c, 'k', y.k ^ x.k, 'h', y.h ^ xxhash64(x.k))))"""
+        (y, x) -> named_struct('c', y.c - x.c, 'k', y.k ^ x.k, 'h', y.h ^ {check('x.k')})))"""
     step = f"""transform(array({single}), g -> named_struct(
         'cells', CASE WHEN size(g) = 0 THEN t.cells ELSE {taken} END, 'n', t.n + size(g), 'over', size(g) = 0))[0]"""
     return f"""aggregate(sequence(1, {ROUNDS}), named_struct('cells', {difference}, 'n', 0, 'over', false),
@@ -68,22 +73,21 @@ def peeled_sql(first: str, second: str, cells: int) -> str:
 
 
 def difference_sql(first: str, second: str) -> str:
-    """The size of the symmetric difference of two arrays of distinct digests.
+    """The size of the symmetric difference of two arrays of distinct digests, by sketches of growing size.
 
     Should every size fail, which takes digests that share all their cells, they are compared outright.
     """
-    tries = ", ".join(peeled_sql(first, second, m) for m in CELLS)
+    tries = ", ".join(peeled_sql(sketch_sql(first, m), sketch_sql(second, m), m) for m in CELLS)
     return f"""coalesce({tries}, size(array_except({first}, {second})) + size(array_except({second}, {first})))"""
 
 
-def shown(column: str) -> Column:
-    """A fingerprint: the number of digests and a small sketch's cells, in hexadecimal."""
-    cells = F.expr(sketch_sql(column, SHOWN_CELLS))
-    return F.concat_ws(
-        "",
-        F.lpad(F.hex(F.size(column)), 8, "0"),
-        F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["c"]), 8, "0"), F.lpad(F.hex(c["k"]), 16, "0"))),
-    )
+def shown(sketch: str, n: str) -> Column:
+    """A fingerprint in hexadecimal: the number of digests, then of each cell the number of its digests, their exclusive or, and their check.
+
+    The number of a cell is that modulo 65,536, as differences of numbers are all that subtracting needs.
+    """
+    cell = "concat(lpad(hex(c.c & 65535), 4, '0'), lpad(hex(c.k), 16, '0'), lpad(right(hex(c.h), 8), 8, '0'))"
+    return F.expr(f"concat(lpad(hex({n}), 8, '0'), array_join(transform({sketch}, c -> {cell}), ''))")
 
 
 def groups_for(n: Column) -> Column:
@@ -92,12 +96,12 @@ def groups_for(n: Column) -> Column:
 
 
 def followers(rows: DataFrame) -> DataFrame:
-    """at, next_at and need for each distinct ``at``: the id that follows it, the first after the last.
+    """at, next_at, need and n for each distinct ``at``: the id that follows it, the first after the last.
 
-    ``need`` is half the length of the text at ``at``, rounded down. Ids are dealt out by range, each
-    range is ordered on its own, and the ranges' first ids close the gaps between them.
+    ``need`` is half the length of the longest text at ``at``, rounded down, and ``n`` how many there are. Ids are dealt
+    out by range, each range is ordered on its own, and the ranges' first ids close the gaps between them.
     """
-    slim = rows.groupBy("at").agg(F.max(F.floor(F.length("text") / 2)).alias("need"))
+    slim = rows.groupBy("at").agg(F.max(F.floor(F.length("text") / 2)).alias("need"), F.count("*").alias("n"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = stored(slim.repartitionByRange(parts, "at").withColumn("part", F.spark_partition_id()), "ranges")
     firsts = ranged.groupBy("part").agg(F.min("at").alias("first"))
@@ -109,61 +113,89 @@ def followers(rows: DataFrame) -> DataFrame:
     return (
         ranged.withColumn("inner_next", F.lead("at").over(inside))
         .join(F.broadcast(borders), "part")
-        .select("at", F.coalesce("inner_next", "first_after").alias("next_at"), "need")
+        .select("at", F.coalesce("inner_next", "first_after").alias("next_at"), "need", "n")
     )
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """at, row, text, own (digests), head (what the edit takes of the next text), next_own."""
+    """at, text, head (what edits take of the next text) and next_own (its digests).
+
+    Of rows that repeat an id the one with the smallest text is the next document of others.
+    """
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("at"), text_or_empty(text_col).alias("text")
     )
-    before = followers(rows).select(F.col("next_at").alias("at"), F.col("at").alias("before"), "need")
-    heads = (
-        rows.join(before, "at")
-        .select(
-            F.col("before").alias("at"),
-            F.expr("substring(text, 1, cast(need AS int))").alias("head"),
-            digests(F.col("text")).alias("next_own"),
-        )
-        .dropDuplicates(["at"])
+    order = stored(followers(rows), "followers")
+    before = order.select(F.col("next_at").alias("at"), F.col("at").alias("before"), "need")
+    nexts = rows if order.filter("n > 1").isEmpty() else rows.groupBy("at").agg(F.min("text").alias("text"))
+    heads = nexts.join(before, "at").select(
+        F.col("before").alias("at"), F.expr("substring(text, 1, cast(need AS int))").alias("head"), digests(F.col("text")).alias("next_own")
     )
-    return rows.join(heads, "at").withColumn("row", F.monotonically_increasing_id())
+    return rows.join(heads, "at")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_chars, edited_sha256, the two fingerprints and likenesses.
+    """One row per document: doc_id, n_chars, edited_sha256, the two fingerprints and likenesses, and how these were got.
 
     The likeness of two fingerprints is the share of paragraph digests that both have among those that
-    either has, from the number that peeling recovers: 1 if neither has any. A null text counts as
-    empty; a null id comes before all others; rows that repeat an id follow the same next document, of
-    which one row is taken; a single document follows itself; an empty table gives no rows. Other
-    columns are not read.
+    either has, from the number that peeling recovers: 1 if neither has any. ``edited_by_fingerprint`` and
+    ``next_by_fingerprint`` say whether subtracting the fingerprints themselves gave it; else larger sketches of the same
+    digests did. A null text counts as empty; a null id comes before all others; rows that repeat an id follow the same next
+    document, of which the row with the smallest text counts; a single document follows itself; an empty table gives no
+    rows. Other columns are not read.
     """
-    both = with_next(docs, id_col, text_col)
-    n = F.length("text")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) AS int))"), F.col("head"))
-    versions = (
-        both.withColumn("n_chars", n.cast("long"))
-        .withColumn("edited", edited)
-        .withColumn("own", digests(F.col("text")))
-        .withColumn("edited_own", digests(F.col("edited")))
-        .select(
-            "at", "row", "own", "edited_own", "next_own",
-            F.struct(
-                "n_chars",
-                F.sha2("edited", 256).alias("edited_sha256"),
-                shown("own").alias("fingerprint"),
-                shown("edited_own").alias("edited_fingerprint"),
-                (F.size("own") + F.size("edited_own")).alias("n_edited"),
-                (F.size("own") + F.size("next_own")).alias("n_next"),
-            ).alias("about"),
-        )
+    half = "cast(floor(length(text) / 2) AS int)"
+    both = with_next(docs, id_col, text_col).select(
+        "at", F.length("text").cast("long").alias("n_chars"), digests(F.col("text")).alias("own"), "next_own",
+        F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(head, 1, {half}))").alias("edited"),
+    )
+    digested = both.select(
+        "at", "n_chars", "own", "next_own", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("edited")).alias("edited_own")
+    )
+    sketched = digested.select(
+        "*", *[F.expr(sketch_sql(c, FINGERPRINT_CELLS)).alias(f"{c}_sketch") for c in ("own", "edited_own", "next_own")]
+    )
+    tried = sketched.select(
+        "at", "n_chars", "edited_sha256", "own_sketch", "edited_own_sketch", "own", "edited_own", "next_own",
+        *[F.size(c).alias(f"n_{c}") for c in ("own", "edited_own", "next_own")],
+        F.expr(peeled_sql("own_sketch", "edited_own_sketch", FINGERPRINT_CELLS)).alias("edited_differs"),
+        F.expr(peeled_sql("own_sketch", "next_own_sketch", FINGERPRINT_CELLS)).alias("next_differs"),
+    )
+    failed = F.col("edited_differs").isNull() | F.col("next_differs").isNull()
+    slim = [F.when(failed, F.col(c)).alias(c) for c in ("own", "edited_own", "next_own")]
+    versions = stored(
+        tried.select(
+            F.monotonically_increasing_id().alias("row"), "at", "n_chars", "edited_sha256", "own_sketch", "edited_own_sketch", *slim,
+            "n_own", "n_edited_own", "n_next_own", "edited_differs", "next_differs",
+        ),
+        "sketches",
     )
+    found = larger_sketches(versions.filter(failed))
+    counts = versions.join(found, "row", "left")
 
-    def dealt(column: str, pair: int, side: int, n: str) -> Column:
-        groups = groups_for(F.col(f"about.{n}"))
-        return F.transform(
+    def likeness(other: str, differs: Column) -> Column:
+        total = F.col("n_own") + F.col(other)
+        return F.when(total == 0, F.lit(1.0)).otherwise((total - differs) / (total + differs)).cast("double")
+
+    return counts.select(
+        F.nullif(F.col("at"), F.lit(LEAST)).alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        shown("own_sketch", "n_own").alias("fingerprint"),
+        shown("edited_own_sketch", "n_edited_own").alias("edited_fingerprint"),
+        likeness("n_edited_own", F.coalesce("edited_differs", "edited_found")).alias("near_edited"),
+        likeness("n_next_own", F.coalesce("next_differs", "next_found")).alias("near_next"),
+        F.col("edited_differs").isNotNull().alias("edited_by_fingerprint"),
+        F.col("next_differs").isNotNull().alias("next_by_fingerprint"),
+    )
+
+
+def larger_sketches(rows: DataFrame) -> DataFrame:
+    """row, edited_found and next_found: by how many digests the pairs differ whose fingerprints could not be peeled."""
+
+    def dealt(pair: int, side: int, column: str, other: str, unless: str) -> Column:
+        groups = groups_for(F.col("n_own") + F.col(other))
+        entries = F.transform(
             column,
             lambda x: F.struct(
                 F.lit(pair).alias("pair"),
@@ -172,44 +204,21 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 x.alias("digest"),
             ),
         )
+        return F.when(F.col(unless).isNull(), entries).otherwise(F.slice(entries, 1, 0))
 
-    nothing = F.array(
-        F.struct(
-            F.lit(0).alias("pair"), F.lit(0).cast("long").alias("group"), F.lit(-1).alias("side"),
-            F.lit(0).cast("long").alias("digest"),
-        )
-    )
     entries = F.concat(
-        nothing,
-        dealt("own", 0, 0, "n_edited"), dealt("edited_own", 0, 1, "n_edited"),
-        dealt("own", 1, 0, "n_next"), dealt("next_own", 1, 1, "n_next"),
-    )
-    exploded = versions.select("at", "row", "about", F.explode(entries).alias("e")).select(
-        "at", "row", "e.pair", "e.group", "e.side", "e.digest",
-        F.when(F.col("e.side") == -1, F.col("about")).alias("about"),
+        dealt(0, 0, "own", "n_edited_own", "edited_differs"), dealt(0, 1, "edited_own", "n_edited_own", "edited_differs"),
+        dealt(1, 0, "own", "n_next_own", "next_differs"), dealt(1, 1, "next_own", "n_next_own", "next_differs"),
     )
+    exploded = rows.select("row", F.explode(entries).alias("e")).select("row", "e.pair", "e.group", "e.side", "e.digest")
     of_side = [F.collect_list(F.when(F.col("side") == s, F.col("digest"))).alias(c) for s, c in ((0, "a"), (1, "b"))]
-    grouped = exploded.groupBy("at", "row", "pair", "group").agg(*of_side, F.max("about").alias("about"))
-    differing = grouped.withColumn("n", F.expr(difference_sql("a", "b")))
-    per_row = differing.groupBy("at", "row").agg(
-        F.sum(F.when(F.col("pair") == 0, F.col("n")).otherwise(0)).alias("edited_differs"),
-        F.sum(F.when(F.col("pair") == 1, F.col("n")).otherwise(0)).alias("next_differs"),
-        F.max("about").alias("about"),
-    )
-
-    def likeness(total: Column, differs: Column) -> Column:
-        return F.when(total == 0, F.lit(1.0)).otherwise((total - differs) / (total + differs))
-
-    return per_row.select(
-        F.nullif(F.col("at"), F.lit(LEAST)).alias("doc_id"),
-        "about.n_chars",
-        "about.edited_sha256",
-        "about.fingerprint",
-        "about.edited_fingerprint",
-        likeness(F.col("about.n_edited"), F.col("edited_differs")).cast("double").alias("near_edited"),
-        likeness(F.col("about.n_next"), F.col("next_differs")).cast("double").alias("near_next"),
+    grouped = exploded.groupBy("row", "pair", "group").agg(*of_side).withColumn("n", F.expr(difference_sql("a", "b")))
+    return grouped.groupBy("row").agg(
+        F.sum(F.when(F.col("pair") == 0, F.col("n"))).alias("edited_found"),
+        F.sum(F.when(F.col("pair") == 1, F.col("n"))).alias("next_found"),
     )
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how like each other and the next document's they are."""
     return fingerprint_documents(documents(spark, sf_dir))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,23 +9,21 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticelake.session import checkpoint_dir
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that the driver and all executors see.
 
-    It lies under ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a
-    temporary folder takes its place.
+    It lies under ``spark.checkpoint.dir``. Where that is unset, a temporary folder takes its place on a local master; on a
+    cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="noticelake-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and cut from its lineage."""
-    shared_dir(df.sparkSession, "probe")
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -10,7 +10,6 @@ components.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm.shared import checkpoint, documents, stored, text_or_empty
+from noticelake.llm.shared import checkpoint, documents, salted_join, stored, text_or_empty
 
 RADIUS = 3
 SEED = 42
@@ -27,6 +26,8 @@ SHARD_POINTS = 8192
 #: Points, at most, that the upper tree is built from; it is fitted on them and routes all points.
 SAMPLE_POINTS = 65_536
 LEAF_POINTS = 128
+#: Shingles of a text that are looked at together.
+BLOCK_SHINGLES = 16_384
 
 
 def words_of(text: str) -> list[bytes]:
@@ -46,15 +47,27 @@ def shingles(words: list[bytes], n: int) -> list[bytes]:
     return [line[a:b] for a, b in zip(starts, ends, strict=False)]
 
 
+def digest_blocks(text: str, n: int) -> Iterator[np.ndarray]:
+    """The XXH64 of each shingle of a text as big-endian unsigned numbers, up to BLOCK_SHINGLES at a time."""
+    words, digest = words_of(text), xxhash.xxh64_digest
+    for a in range(0, max(1, len(words) - n + 1), BLOCK_SHINGLES):
+        parts = shingles(words[a : a + BLOCK_SHINGLES + n - 1], n)
+        if parts:
+            yield np.frombuffer(b"".join([digest(p, SEED) for p in parts]), ">u8")
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The number whose bits are those that over half of some digests have; zero if there are none."""
+    ones, total = np.zeros(64, np.int64), 0
+    for block in blocks:
+        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        total += len(block)
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big") if total else 0
+
+
 def fingerprint(text: str, n: int) -> int:
     """The SimHash of a text as an unsigned number; zero for a text without words."""
-    parts = shingles(words_of(text), n)
-    if not parts:
-        return 0
-    digest = xxhash.xxh64_digest
-    raw = np.frombuffer(b"".join([digest(p, SEED) for p in parts]), np.uint8).reshape(-1, 8)
-    ones = np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(parts)).tobytes(), "big")
+    return majority(digest_blocks(text, n))
 
 
 def with_fingerprints(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,121 +289,17 @@ def near_components(
     component. An empty table gives no rows; other columns are not read.
     """
     rows = stored(with_fingerprints(docs, words, id_col, text_col), "fingerprints")
-    points = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    points = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "points")
     roots = checkpoint(components(links(points, radius)))
     named = points.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     linked = named.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(linked, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return salted_join(rows, by_fp, "fp", points.select("fp", "n")).select("doc_id", "fp", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SimHash of each document over three words, in hexadecimal, and its component at three bits or fewer."""
     found = near_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shared_passages(rows: DataFrame, least_words: int) -> DataFrame:
-    """Edges a, b between documents that hold one passage: each to the smallest and the largest id of it.
-
-    A passage is a sentence or line of ``least_words`` words or more. A passage of many documents gives
-    two edges for each of them, not one for each pair.
-    """
-    passages = F.filter(
-        F.split("text", r"\n|(?<=[.!?])\s+"), lambda p: F.size(F.split(F.trim(p), r"\s+")) >= least_words
-    )
-    held = rows.select("doc_id", F.explode(F.array_distinct(F.transform(passages, lambda p: F.xxhash64(F.trim(p))))).alias("p"))
-    groups = held.groupBy("p").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
-    ends = held.join(groups, "p").select(F.col("doc_id").alias("a"), F.explode(F.array("low", "high")).alias("b"))
-    return ends.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def similar(rows: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those edges whose texts have at least this Jaccard similarity of their sets of shingles."""
-    needed = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    split = F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+")
-    own = rows.join(needed, "doc_id", "left_semi").select("doc_id", F.filter(split, lambda w: w != "").alias("w"))
-    places = F.sequence(F.lit(1), F.greatest(F.size("w") - (words - 1), F.lit(1)))
-    sets = own.select(
-        "doc_id", F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))).alias("s")
-    )
-    sets = stored(sets, "shingles")
-    pairs = edges.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b"
-    )
-    common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-
-def against_representatives(linked: DataFrame, failed: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pairs to try where some links have failed: links only span what lies close, so one that fails may part documents that are similar.
-
-    Each document of such a group of links is paired with the smallest document of every part that
-    ``edges`` leave of the group, other than its own.
-    """
-    whole = components(linked).select(F.col("node").alias("doc_id"), F.col("root").alias("whole"))
-    broken = failed.join(whole, F.col("a") == F.col("doc_id")).select("whole").distinct()
-    parts = components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("part"))
-    members = whole.join(broken, "whole").join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-    members = stored(members.select("whole", "part", "doc_id"), "members")
-    firsts = members.groupBy("whole", F.col("part").alias("other")).agg(F.min("doc_id").alias("least"))
-    pairs = members.join(firsts, "whole").filter("part <> other")
-    return pairs.select(F.greatest("doc_id", "least").alias("a"), F.least("doc_id", "least").alias("b")).distinct()
-
-
-def near_groups(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """doc_id and group_id, the smallest id of the near duplicates that a document is connected with.
-
-    Two ways make candidates. Equal fingerprints, and those within ``radius`` bits, come from the
-    vantage-point trees. As texts of this similarity often lie further apart, documents with a common
-    passage are looked at too, if their fingerprints agree in enough bits for it to be possible. The sets of
-    shingles of all candidates are compared exactly. Ids must be distinct and not null; texts without words stay alone.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    prints = stored(with_fingerprints(rows, words), "fingerprints")
-    points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    same = prints.join(points, "fp").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    ends = [points.select(F.col("fp").alias(c), F.col("least").alias(f"doc_{c}")) for c in ("a", "b")]
-    near = links(points, radius).join(ends[0], "a").join(ends[1], "b").select(
-        F.greatest("doc_a", "doc_b").alias("a"), F.least("doc_a", "doc_b").alias("b")
-    )
-    linked = stored(same.union(near), "linked")
-    sides = [prints.select(F.col("doc_id").alias(c), F.col("fp").alias(f"fp_{c}")) for c in ("a", "b")]
-    apart = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
-    passages = shared_passages(rows, words).join(sides[0], "a").join(sides[1], "b")
-    possible = passages.filter(apart <= farthest(similarity)).select("a", "b")
-    candidates = stored(linked.union(possible).distinct(), "candidates")
-    edges = stored(similar(rows, candidates, words, similarity), "similar")
-    failed = linked.join(edges, ["a", "b"], "left_anti")
-    if not failed.isEmpty():
-        again = stored(against_representatives(linked, failed, edges), "again")
-        edges = edges.union(similar(rows, again, words, similarity)).distinct()
-    roots = components(edges)
-    return prints.join(roots, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", F.coalesce("root", "doc_id").alias("group_id")
-    )
-
-
-def farthest(similarity: float) -> int:
-    """Bits that two fingerprints of such texts hardly ever exceed: their expected number and three deviations."""
-    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return math.ceil(64 * share + 3 * math.sqrt(64 * share * (1 - share)))
-
-
-def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, that with the smallest id; all columns stay.
-
-    Texts without words, and rows without an id, say nothing of each other, so they all stay. Of rows that
-    repeat an id the texts are taken for one document.
-    """
-    gone = (
-        near_groups(docs, words, similarity, RADIUS, id_col, text_col)
-        .filter("doc_id <> group_id")
-        .select(F.col("doc_id").alias("__nl_gone"))
-        .distinct()
-    )
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__nl_gone"), "left_anti")

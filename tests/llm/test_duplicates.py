@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noticelake.llm import exact_dedup, fingerprints, simhash
+from noticelake.llm import exact_dedup, fingerprints, near, simhash
 from tests.llm.data import awkward, empty, prose
 
 
@@ -38,7 +38,7 @@ def test_unique_rows_pass_the_filter(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.floor(F.col("id") / 2 * F.when(F.col("id") < 100, 1).otherwise(2))).alias("text"))
     slim = exact_dedup.digests_of(docs, "doc_id", "text")
     bits = exact_dedup.filter_bits(5000)
-    flagged = exact_dedup.with_maybe(slim, exact_dedup.repeated_cells(slim, bits), bits)
+    flagged = exact_dedup.with_maybe(slim, exact_dedup.cell_bitmaps(slim, bits), bits)
     maybe = flagged.filter(exact_dedup.MAYBE)
     assert maybe.count() < 400
     repeated = slim.groupBy(exact_dedup.DIGEST).count().filter("count > 1")
@@ -114,7 +114,7 @@ def test_links_over_shards_connect_what_is_linked(spark, shard_points):
 
 
 def test_drop_near_keeps_the_smallest_and_wordless_texts(spark):
-    kept = simhash.drop_near(awkward(spark), 5, 0.8)
+    kept = near.drop_near(awkward(spark), 5, 0.8)
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
     assert kept.columns == awkward(spark).columns
     assert {3, 4, 5} <= set(ids) and 1 in ids and 2 not in ids
@@ -127,9 +127,75 @@ def test_close_fingerprints_group_only_similar_texts(spark):
     points = {i: brute_fingerprint(t, 5) for i, t in texts.items()}
     assert all((points[i] ^ points[1]).bit_count() <= 3 for i in (2, 3, 4))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    groups = {r.doc_id: r.group_id for r in simhash.near_groups(docs, 5, 0.8).collect()}
+    groups = {r.doc_id: r.group_id for r in near.near_groups(docs, 5, 0.8).collect()}
     assert groups == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5}
-    assert sorted(r.doc_id for r in simhash.drop_near(docs, 5, 0.8).collect()) == [1, 2, 4, 5]
+    assert sorted(r.doc_id for r in near.drop_near(docs, 5, 0.8).collect()) == [1, 2, 4, 5]
+
+
+def shingle_set(text, n=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def brute_groups(texts, similarity):
+    """The smallest id that each document is connected with over exact similarities of all pairs."""
+    sets, label = {i: shingle_set(t) for i, t in texts.items()}, {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if j < i and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
+    return label
+
+
+def unlike(n, seed):
+    """Words that hardly any other seed has."""
+    import random
+
+    rng = random.Random(seed)
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def test_near_groups_equal_brute_force(spark):
+    texts, licence = {}, "this text is given to you under a licence of seven words or more and ends here"
+    base = unlike(120, 1)
+    for k in range(5):  # alike to each other, with a line that ids below and above have too
+        words = list(base)
+        words[20 * k + 5] = f"x{k}"
+        texts[10 + k] = " ".join(words) + "\n" + licence + "."
+    texts[0], texts[99] = (" ".join(unlike(40, s)) + "\n" + licence + "." for s in (2, 3))
+    chain = unlike(200, 4)
+    for k in range(6):  # each alike to the next, the ends are not
+        texts[20 + k] = " ".join([f"y{k}x{i}" if i < 9 * k else w for i, w in enumerate(chain)])
+    edited = unlike(150, 5)  # an edit in every sentence, and no sentence ends at all
+    texts[40], texts[41] = " ".join(edited), " ".join(w if i % 50 != 25 else "zz" for i, w in enumerate(edited))
+    boiler = unlike(60, 6)  # many that share three fifths
+    for k in range(60):
+        texts[200 + k] = " ".join(boiler + unlike(40, 100 + k))
+    texts[260] = texts[230] + " and more"
+    star = unlike(400, 7)  # copies of one text that are like it, but hardly like each other; it has neither end of the ids
+    for k in range(40):
+        texts[300 + k] = " ".join(star if k == 20 else [f"z{k}x{i}" if i % 80 == 2 * k else w for i, w in enumerate(star)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    want = brute_groups(texts, 0.8)
+    assert {r.doc_id: r.group_id for r in near.near_groups(docs, 5, 0.8).collect()} == want
+    assert len({want[10 + k] for k in range(5)}) == len({want[300 + k] for k in range(40)}) == 1 and want[40] == want[41] and want[260] == want[230]
+
+
+def test_what_rounds_leave_of_a_bucket_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near, "ROUNDS", 2)
+    monkeypatch.setattr(near, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(near, "band_keys", lambda least: np.full(near.BANDS, 5, np.uint64))  # one bucket of all
+    texts = {k: " ".join(unlike(40, k)) for k in range(30)} | {50 + k: " ".join(unlike(40, k // 2)) + f" end{k}" for k in range(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in near.near_groups(docs, 5, 0.8).collect()} == brute_groups(texts, 0.8)
+
+
+def test_near_groups_of_repeated_rows(spark):
+    docs = awkward(spark)
+    groups = near.near_groups(docs).collect()
+    assert len({r.doc_id for r in groups}) == len(groups) and {r.doc_id for r in groups} == {1, 2, 6, 7, 8, 9, -5, 2**40}
+    assert near.near_groups(empty(spark)).count() == 0
 
 
 def jaccard(a, b):
@@ -160,7 +226,56 @@ def test_too_small_sketches_are_made_again(spark):
         df = spark.range(1).selectExpr(f"{sql.format(n=n)} AS a", "array(0L, 5L) AS b")
         assert df.selectExpr(f"{fingerprints.difference_sql('a', 'b')} AS d").first().d == n + 1
     full = spark.range(1).selectExpr(f"{sql.format(n=60)} AS a", "array(0L) AS b")
-    assert full.selectExpr(f"{fingerprints.peeled_sql('a', 'b', 24)} AS d").first().d is None
+    a, b = (fingerprints.sketch_sql(c, 24) for c in "ab")
+    assert full.selectExpr(f"{fingerprints.peeled_sql(a, b, 24)} AS d").first().d is None
+
+
+def cells_of(fingerprint):
+    """The number of digests and the cells that a fingerprint shows."""
+    body = fingerprint[8:]
+    cells = [body[i : i + 28] for i in range(0, len(body), 28)]
+    assert len(cells) == fingerprints.FINGERPRINT_CELLS
+    return int(fingerprint[:8], 16), [(int(c[:4], 16), int(c[4:20], 16), int(c[20:], 16)) for c in cells]
+
+
+def peeled_by_hand(first, second):
+    """How many digests two shown fingerprints differ by, from the two strings alone."""
+    (_, a), (_, b) = cells_of(first), cells_of(second)
+    cells = [[(x[0] - y[0]) % 65536, x[1] ^ y[1], x[2] ^ y[2]] for x, y in zip(a, b, strict=True)]
+    part, n = len(cells) // 3, 0
+    while True:
+        # without the check's hash: a single digest is one that lies where its own bits say, in all three parts
+        single = next(
+            ((c, k) for i, (c, k, h) in enumerate(cells) if c in (1, 65535)
+             and (k >> 21 * (i // part)) % part == i % part
+             and all(cells[p * part + (k >> 21 * p) % part] != [0, 0, 0] for p in range(3))), None)
+        if single is None:
+            return n if all(c == [0, 0, 0] for c in cells) else None
+        c, k = single
+        h = next(x[2] for i, x in enumerate(cells) if x[0] == c and x[1] == k)
+        for p in range(3):
+            at = p * part + (k >> 21 * p) % part
+            cells[at] = [(cells[at][0] - c) % 65536, cells[at][1] ^ k, cells[at][2] ^ h]
+        n += 1
+
+
+def test_likeness_follows_from_the_shown_fingerprints(spark):
+    rows = [(i, "\n".join(f"line {(i + k) % 9} of some text" for k in range(6))) for i in range(9)]
+    got = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, after in zip(got, [*got[1:], got[0]], strict=True):
+        for other, near, how in ((r.edited_fingerprint, r.near_edited, r.edited_by_fingerprint), (after.fingerprint, r.near_next, r.next_by_fingerprint)):
+            total, differs = cells_of(r.fingerprint)[0] + cells_of(other)[0], peeled_by_hand(r.fingerprint, other)
+            assert how and abs((total - differs) / (total + differs) - near) < 1e-12
+
+
+def test_repeated_ids_edit_with_the_smallest_next_text(spark):
+    rows = [(1, "abcdef"), (1, "xy"), (2, "zzzz\nb"), (2, "mmmm"), (None, "qrst"), (-(2**63) + 1, "0123456789")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    nexts = {None: "0123456789", -(2**63) + 1: "abcdef", 1: "mmmm", 2: "qrst"}
+    want = sorted((str(i), len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + nexts[i][: len(t) // 2]).encode()).hexdigest()) for i, t in rows)
+    for parts in (1, 5):
+        got = fingerprints.fingerprint_documents(df.repartition(parts)).collect()
+        assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == want
 
 
 def test_fingerprints_of_awkward_tables(spark):

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from noticelake.llm.exact_dedup import drop_exact
 from noticelake.llm.language import UNKNOWN, fit_languages, predict
+from noticelake.llm.near import drop_near
 from noticelake.llm.packing import pack_documents
 from noticelake.llm.shared import documents, stored
-from noticelake.llm.simhash import drop_near
 
-#: A text whose likeliest language is less likely than this belongs to none of those known.
-LEAST_SCORE = 0.3
+#: A text belongs to none of the languages known if its likeliest is less likely than so many times an even chance, at
+#: most MOST_NEEDED.
+LEAST_GAIN, MOST_NEEDED = 1.2, 0.5
 #: Near duplicates share so much of their shingles of so many words.
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
@@ -30,7 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = fit_languages(docs)
     if net is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = predict(docs, net).filter((F.col("__nl_lang") != UNKNOWN) & (F.col("__nl_score") >= LEAST_SCORE))
+    needed = min(MOST_NEEDED, LEAST_GAIN / len(net.languages))
+    found = predict(docs, net).filter((F.col("__nl_lang") != UNKNOWN) & (F.col("__nl_score") >= needed))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

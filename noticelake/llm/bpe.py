@@ -276,6 +276,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids and the decoded text of each document, as digests."""
     import public_tokenizers
 
     rows = encode_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))

@@ -1,18 +1,26 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read as a sequence of text nodes, each with the path of tags from the root to it. Per path
+A page is read as a sequence of text nodes, each with the path of tags and classes from the root to it. Per path
 the lengths and the punctuation of its nodes are summed and divided by the number of nodes; links count
-against a path. Along the page both ratios are smoothed, fused into one score, and nodes whose score
-passes a threshold set by the page's own scores are content. Elements that by their tag, role or class
-can hold no article text (menus, forms, scripts, adverts, reader comments and so on) never count.
+against a path. Both ratios are smoothed along the page, fused into one score, and nodes whose score
+passes a threshold set by the page's own scores are content; a heading goes with what follows it.
+
+Some parts are left out whatever their ratios, since a reader's comment has the ratios of an article. What HTML itself
+sets apart (scripts, menus, footers, what is hidden) never counts. What a class, id or role only hints at is
+suspect: it is left out if the rest of the page has the article, but a hint on the element that holds the article itself
+is overruled by how much of the page's prose it holds.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +28,14 @@ from pyspark.sql import functions as F
 from noticelake.llm.shared import pages
 
 #: Share of the page's mean content score that a node has to reach.
-THRESHOLD = 0.15
-#: Weights of a node and its neighbours in the smoothing.
-KERNEL = (0.25, 0.5, 0.25)
+THRESHOLD = 0.2
+#: What the prose outside a suspect part must come to, as a share of the prose in it, for the part to stay out; and if the
+#: part's name is one that articles hardly ever bear.
+WEAK_SHARE, STRONG_SHARE = 0.25, 0.05
+#: Share of a page's prose that its article elements must hold to be taken as the article.
+ARTICLE_SHARE = 0.25
+#: Elements nest no deeper; those below count as beside each other, as in browsers.
+MOST_DEPTH = 512
 
 TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)"
@@ -31,7 +44,7 @@ TOKEN = re.compile(
     r"|<(?P<cut>[a-zA-Z/!?][^>]*\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z](?:[a-z]+|[A-Z]*)")
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 
@@ -43,158 +56,295 @@ INLINE = frozenset(
     "time tt u var wbr label ruby rt rp acronym".split()
 )
 NEVER = frozenset(
-    "nav footer aside form button select option menu dialog head svg math object audio video canvas map datalist "
-    "fieldset input iframe".split()
+    "nav footer aside button select option menu dialog head svg math object audio video canvas map datalist fieldset input iframe".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hr main menu nav ol p pre section table ul".split()
 )
 CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body table ul ol dl article section main div td th aside nav footer header form".split())
-BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words in a class or id that mark what is not the article.
-BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
-    "gdpr notice notices notification alert sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer foot "
-    "comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations "
-    "newsletter subscribe subscription signup login popup modal overlay search searchbox pagination pager widget toolbar "
-    "copyright masthead topbar skip toc hidden paywall rail teaser trending popular".split()
+NEVER_ROLES = frozenset("navigation contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+#: Words in a class or id that hint at what is not the article.
+WEAK_WORDS = frozenset(
+    "promo promotion banner notice notices notification alert sidebar side menu footer foot share sharing social related recommended "
+    "recommendations modal overlay search widget toolbar masthead topbar skip toc hidden rail teaser trending popular legal terms privacy "
+    "disclaimer imprint impressum colophon signup login meta tags breadcrumb breadcrumbs".split()
+)
+#: Those that articles hardly ever bear. lnb, gnb and snb are the local, global and side menus of Korean sites.
+STRONG_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr nav navbar navigation lnb gnb snb "
+    "comment comments commentlist disqus reply replies respond newsletter subscribe subscription popup searchbox pagination pager copyright paywall".split()
 )
 #: Words in a name that speak of a layout around such parts, as in has-sidebar.
 LAYOUT_WORDS = frozenset("has with no without layout columns".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 #: Words that make an article element a comment, an advert or a teaser.
 ARTICLE_MARKS = frozenset("comment comments reply replies ad advert sponsored promo related teaser".split())
+#: A line that begins the readers' part of a page, and one that claims rights.
+COMMENTS_LINE = re.compile(r"(?:\d+ )?(?:reader(?:s'|s|'s)? )?(?:comments?|responses|replies|discussion|leave a (?:comment|reply)|join the discussion|kommentare|commentaires|comentarios|댓글)(?: ?\(?\d+\)?)?:?", re.I)
+RIGHTS_LINE = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
+
+DROPPED = -1
 
 
-def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element can hold no article text, by its tag, role, class or id."""
-    if tag in NEVER:
-        return True
-    if tag == "header" and not in_article:
-        return True
-    if not attributes or tag in ("html", "body"):
-        return False
+def judged(tag: str, attributes: str, in_article: bool) -> tuple[bool, int, str]:
+    """Whether an element is left out, how strongly its names hint at it (0 to 2), and its classes."""
+    if tag in NEVER or (tag == "header" and not in_article):
+        return True, 0, ""
+    hint, classes = 2 if tag == "form" else 0, ""
+    if not attributes:
+        return False, hint, classes
     for found in ATTRIBUTE.finditer(attributes):
         name, value = found.group(1).lower(), (found.group(2) or "").strip("\"'")
-        if name == "hidden":
-            return True
-        if name == "aria-hidden":
-            if value.lower() == "true":
-                return True
-        elif name == "role":
-            if value.lower() in BOILERPLATE_ROLES:
-                return True
+        if name == "hidden" and value.lower() != "until-found":
+            return True, 0, ""
+        if name == "aria-hidden" and value.lower() == "true":
+            return True, 0, ""
+        if name == "role":
+            if value.lower() in NEVER_ROLES:
+                return True, 0, ""
+            hint = max(hint, {"form": 2, "banner": 1}.get(value.lower(), 0))
         elif name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        else:
-            for name in value.split():
-                words = [w.lower() for w in NAME_PARTS.findall(name)]
+                return True, 0, ""
+        elif name in ("class", "id"):
+            if name == "class":
+                classes = value
+            for part in value.split():
+                words = [w.lower() for w in NAME_PARTS.findall(part)]
                 if not LAYOUT_WORDS.isdisjoint(words):
                     continue
-                marks = ARTICLE_MARKS if tag in ARTICLE_TAGS else BOILERPLATE_WORDS
-                if not marks.isdisjoint(words) or (tag != "h1" and words == ["header"]):
-                    return True
-    return False
+                if tag in ARTICLE_TAGS:
+                    hint = max(hint, 2 * (not ARTICLE_MARKS.isdisjoint(words)))
+                elif not STRONG_WORDS.isdisjoint(words):
+                    hint = 2
+                elif not WEAK_WORDS.isdisjoint(words) or (tag not in HEADINGS and words == ["header"]):
+                    hint = max(hint, 1)
+    return False, 0 if tag in ("html", "body") else hint, classes
 
 
-def text_nodes(page: str) -> list[tuple[str, int, bool, str]]:
-    """(path, block, in a link, text) of each text node that may be content, in page order.
+class Node(NamedTuple):
+    """A text node: its path, the number of its block, whether it stands in a link, and the suspect and article elements around it (0: none)."""
 
-    ``block`` numbers the stretches between the starts and ends of block elements.
-    """
-    out: list[tuple[str, int, bool, str]] = []
-    stack: list[tuple[str, bool]] = []  # tag, whether this element or one around it is boilerplate
-    block, at, size = 0, 0, len(page)
-
-    def say(text: str) -> None:
-        if text and not text.isspace() and not (stack and stack[-1][1]):
-            path = "/".join([t for t, _ in stack if t not in INLINE])
-            out.append((path, block, any(t == "a" for t, _ in stack), html.unescape(text)))
-        elif text and out and out[-1][1] == block:
-            out.append((out[-1][0], block, out[-1][2], " "))
-
-    def pop_to(depth: int) -> None:
-        del stack[depth:]
-
-    while at < size:
-        found = TOKEN.search(page, at)
-        if found is None:
-            say(page[at:])
-            break
-        say(page[at : found.start()])
-        at = found.end()
-        tag = found.group("tag")
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag not in INLINE and tag not in ("a", "br", "img"):
-            block += 1
-        if found.group("close"):
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in SCOPES and tag in INLINE:
-                    break
-            continue
-        if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "p":
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in SCOPES:
-                    break
-        elif tag in CLOSES_SAME:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in CLOSES_SAME[tag]:
-                    pop_to(depth)
-                    if tag != "tr":
+    path: int
+    block: int
+    linked: bool
+    suspect: int
+    article: int
+    heading: bool
+    text: str
+
+
+class Open(NamedTuple):
+    """An element that is open: what the text in it would get."""
+
+    tag: str
+    path: int
+    linked: bool
+    suspect: int
+    article: int
+    heading: bool
+
+
+class Page:
+    """The text nodes of a page, in page order, and its suspect parts: of each the one around it and how strong the hint was."""
+
+    def __init__(self, page: str):
+        self.nodes: list[Node] = []
+        self.suspects: list[tuple[int, int]] = [(0, 0)]
+        self.titled: set[int] = set()  # articles with a main heading
+        self.holders: set[int] = set()  # suspects with an article or a main heading in them
+        self._paths: dict[tuple, int] = {}
+        self._articles = 0
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        stack, count, beyond = [Open("", 0, False, 0, 0, False)], Counter(), 0
+        block, at, size = 0, 0, len(page)
+
+        def pop_to(depth: int) -> None:
+            for x in stack[depth:]:
+                count[x.tag] -= 1
+            del stack[depth:]
+
+        def say(text: str) -> None:
+            top = stack[-1]
+            if not text or top.suspect == DROPPED:
+                return
+            if text.isspace():
+                self._space(block)
+            else:
+                self.nodes.append(Node(top.path, block, top.linked, top.suspect, top.article, top.heading, html.unescape(text)))
+
+        while at < size:
+            found = TOKEN.search(page, at)
+            if found is None:
+                say(page[at:])
+                break
+            say(page[at : found.start()])
+            at = found.end()
+            tag = found.group("tag")
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if tag not in INLINE and tag not in ("a", "br", "img"):
+                block += 1
+            if found.group("close"):
+                if beyond and tag not in VOID:
+                    beyond -= 1
+                elif count[tag]:
+                    for depth in range(len(stack) - 1, 0, -1):
+                        if stack[depth].tag == tag:
+                            pop_to(depth)
+                            break
+                        if stack[depth].tag in SCOPES and tag in INLINE:
+                            break
+                continue
+            if tag in CLOSES_P:
+                if count["p"]:
+                    for depth in range(len(stack) - 1, 0, -1):
+                        if stack[depth].tag == "p":
+                            pop_to(depth)
+                            break
+                        if stack[depth].tag in SCOPES:
+                            break
+            elif tag in CLOSES_SAME:
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth].tag in CLOSES_SAME[tag]:
+                        pop_to(depth)
+                        if tag != "tr":
+                            break
+                    elif stack[depth].tag in SCOPES:
                         break
-                elif stack[depth][0] in SCOPES:
-                    break
-        if tag == "br" and out and out[-1][1] == block:
-            out.append((out[-1][0], block, out[-1][2], " "))
-        attributes = found.group("rest")
-        if tag in RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = size if end is None else end.start()
-            close = page.find(">", at)
-            at = size if close < 0 else close + 1
-            continue
-        if tag in VOID:
-            continue
-        around = bool(stack) and stack[-1][1]
-        in_article = any(t in ARTICLE_TAGS for t, _ in stack)
-        stack.append((tag, around or is_boilerplate(tag, attributes, in_article)))
-    return out
+            if tag == "br":
+                self._space(block)
+            attributes = found.group("rest")
+            if tag in RAW and not attributes.endswith("/"):
+                end = raw_end(tag).search(page, at)
+                at = size if end is None else end.start()
+                close = page.find(">", at)
+                at = size if close < 0 else close + 1
+            elif tag not in VOID:
+                if len(stack) < MOST_DEPTH:
+                    stack.append(self._opened(tag, attributes, stack[-1]))
+                    count[tag] += 1
+                else:
+                    beyond += 1
+
+    def _space(self, block: int) -> None:
+        if self.nodes and self.nodes[-1].block == block:
+            self.nodes.append(self.nodes[-1]._replace(text=" "))
+
+    def _opened(self, tag: str, attributes: str, around: Open) -> Open:
+        suspect, path, article = around.suspect, around.path, around.article
+        classes = ""
+        if suspect != DROPPED:
+            out, hint, classes = judged(tag, attributes, article > 0)
+            if out:
+                suspect = DROPPED
+            elif hint:
+                self.suspects.append((suspect, hint))
+                suspect = len(self.suspects) - 1
+            if suspect != DROPPED and (tag in ARTICLE_TAGS or tag == "h1"):
+                inside = suspect
+                while inside:
+                    self.holders.add(inside)
+                    inside = self.suspects[inside][0]
+                if tag == "h1":
+                    self.titled.add(article)
+                elif tag == "article" or not article:
+                    self._articles += 1
+                    article = self._articles
+        if tag not in INLINE:
+            path = self._paths.setdefault((path, tag, classes), len(self._paths) + 1)
+        return Open(tag, path, around.linked or tag == "a", suspect, article, around.heading or tag in HEADINGS)
+
+
+@cache
+def raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I)
+
+
+def prose(node: Node) -> int:
+    """How much a node counts as prose: the length of text that isn't a link; without any punctuation a quarter of it."""
+    if node.linked or node.text.isspace():
+        return 0
+    return len(node.text) if PUNCTUATION.search(node.text) else len(node.text) // 4
+
+
+def without_suspects(page: Page) -> list[Node]:
+    """The nodes outside all suspect parts, but for those that hold the page's article."""
+    own: Counter = Counter()
+    for node in page.nodes:
+        own[node.suspect] += prose(node)
+    inside, children = own.copy(), {}
+    for s in range(len(page.suspects) - 1, 0, -1):
+        around = page.suspects[s][0]
+        inside[around] += inside[s]
+        children.setdefault(around, []).append(s)
+    def key(s: int) -> tuple[int, int, int]:  # weak hints first, then what holds most
+        return page.suspects[s][1], -inside[s], s
+
+    opened, outside = {0}, own[0]
+    waiting = [key(s) for s in children.get(0, [])]
+    heapq.heapify(waiting)
+    while waiting:
+        s = heapq.heappop(waiting)[2]
+        strong = page.suspects[s][1] == 2 and not (s in page.holders and outside == 0)
+        if inside[s] and outside < (STRONG_SHARE if strong else WEAK_SHARE) * inside[s]:
+            opened.add(s)
+            outside += own[s]
+            for c in children.get(s, []):
+                heapq.heappush(waiting, key(c))
+    return [n for n in page.nodes if n.suspect in opened]
 
 
-def smoothed(values: list[float]) -> list[float]:
-    padded = [values[0], *values, values[-1]]
-    return [sum(w * v for w, v in zip(KERNEL, padded[i : i + 3], strict=True)) for i in range(len(values))]
+def article_of(page: Page, nodes: list[Node]) -> list[Node]:
+    """The nodes of the page's article elements, if those hold enough of its prose; of several, those with a main heading."""
+    total = sum(map(prose, nodes))
+    for wanted in (page.titled - {0}, set(range(1, page._articles + 1))):
+        kept = [n for n in nodes if n.article in wanted]
+        if kept and sum(map(prose, kept)) >= ARTICLE_SHARE * total:
+            return kept
+    return nodes
 
 
-def content_nodes(nodes: list[tuple[str, int, bool, str]]) -> list[bool]:
+def lines_of(nodes: list[Node]) -> list[tuple[list[int], str]]:
+    """The numbers of the nodes of each block, and its text with white space as one space."""
+    out: list[tuple[list[int], list[str]]] = []
+    last = None
+    for i, node in enumerate(nodes):
+        if node.block != last:
+            out.append(([], []))
+            last = node.block
+        out[-1][0].append(i)
+        out[-1][1].append(node.text)
+    return [(numbers, " ".join("".join(parts).split())) for numbers, parts in out]
+
+
+def closed(values: list[float]) -> list[float]:
+    """Values smoothed along the page: what dips between higher neighbours is lifted halfway to the lower of them."""
+    padded = [0.0, *values, 0.0]
+    return [max(v, (v + min(padded[i], padded[i + 2])) / 2) for i, v in enumerate(values)]
+
+
+def content_nodes(nodes: list[Node]) -> list[bool]:
     """Which nodes are content, by the ratios of their paths."""
-    length: dict[str, float] = {}
-    marks: dict[str, int] = {}
-    count: dict[str, int] = {}
-    for path, _, linked, text in nodes:
-        if text.isspace():
-            continue
-        # link text says that a path is a list of links, so it adds nodes but no length
-        length[path] = length.get(path, 0) + (0 if linked else len(text))
-        marks[path] = marks.get(path, 0) + (0 if linked else len(PUNCTUATION.findall(text)))
-        count[path] = count.get(path, 0) + 1
-    if not count:
-        return [False] * len(nodes)
-    text_ratio = smoothed([length.get(p, 0) / count.get(p, 1) for p, *_ in nodes])
-    mark_ratio = smoothed([marks.get(p, 0) / count.get(p, 1) for p, *_ in nodes])
+    length: Counter = Counter()
+    marks: Counter = Counter()
+    count: Counter = Counter()
+    for node in nodes:
+        if not node.text.isspace():
+            # link text says that a path is a list of links, so it adds nodes but no length
+            length[node.path] += 0 if node.linked else len(node.text)
+            marks[node.path] += 0 if node.linked else len(PUNCTUATION.findall(node.text))
+            count[node.path] += 1
+    text_ratio = closed([length[n.path] / max(1, count[n.path]) for n in nodes])
+    mark_ratio = closed([marks[n.path] / max(1, count[n.path]) for n in nodes])
     score = [math.sqrt(t) * (1 + math.log1p(m)) for t, m in zip(text_ratio, mark_ratio, strict=True)]
-    weight = [0 if n[2] else len(n[3]) for n in nodes]
+    weight = [0 if n.linked else len(n.text) for n in nodes]
     total = sum(weight)
     if not total:
         return [False] * len(nodes)
@@ -204,13 +354,28 @@ def content_nodes(nodes: list[tuple[str, int, bool, str]]) -> list[bool]:
 
 def main_text(page: str) -> str:
     """The article's text: white space within a block is one space, blocks are joined by a line end."""
-    nodes = text_nodes(page)
-    blocks: dict[int, list[str]] = {}
-    for (_, block, _, text), keep in zip(nodes, content_nodes(nodes), strict=True):
-        if keep:
-            blocks.setdefault(block, []).append(text)
-    lines = (" ".join("".join(parts).split()) for parts in blocks.values())
-    return "\n".join(line for line in lines if line)
+    read = Page(page)
+    nodes = article_of(read, without_suspects(read))
+    keep = content_nodes(nodes)
+    kept: list[str] = []
+    headings: list[str] = []  # those that wait for what follows them
+    for numbers, line in lines_of(nodes):
+        if not line:
+            continue
+        if kept and COMMENTS_LINE.fullmatch(line):
+            break
+        linked = sum(len(nodes[i].text) for i in numbers if nodes[i].linked)
+        menu = 2 * linked > len(line) and not any(PUNCTUATION.search(nodes[i].text) for i in numbers if not nodes[i].linked)
+        if all(nodes[i].heading for i in numbers) and not menu:
+            headings.append(line)
+        elif any(keep[i] for i in numbers) and not menu and (nodes[numbers[0]].article or not RIGHTS_LINE.match(line)):
+            kept += [*headings, line]
+            headings.clear()
+        else:
+            headings.clear()
+    if headings and not kept:  # a page of headings alone
+        kept = headings
+    return "\n".join(kept)
 
 
 def extract_pages(rows: DataFrame) -> DataFrame:
@@ -237,4 +402,5 @@ def extract_pages(rows: DataFrame) -> DataFrame:
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages: page_id, url, text, n_chars."""
     return extract_pages(pages(spark, sf_dir))

@@ -242,6 +242,7 @@ def text_probabilities(net: ByteNet, texts: list[str]) -> list[np.ndarray]:
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learnt from labelled documents that are not held out."""
     docs = documents(spark, sf_dir)
     rows = predict(docs.select("doc_id", "text"), fit_languages(docs))
     return rows.select(

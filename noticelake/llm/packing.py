@@ -138,6 +138,7 @@ def pack_documents(
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 1024 tokens."""
     import public_tokenizers
 
     pieces = pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))

@@ -33,6 +33,54 @@ def test_layouts_and_comments_by_their_names():
     assert html_text.main_text(page) == text
 
 
+PARAGRAPH = "This is a paragraph of the article, with commas; it is long enough to be one, and it ends here."
+ARTICLE = "".join(f"<p>{PARAGRAPH} Number {i}.</p>" for i in range(5))
+ARTICLE_TEXT = "\n".join(f"{PARAGRAPH} Number {i}." for i in range(5))
+
+
+@pytest.mark.parametrize("page", [
+    f'<article><p title="a hidden gem">{PARAGRAPH}</p></article>',
+    f'<p data-hidden="false">{PARAGRAPH}</p>',
+    f'<p data-class="ad">{PARAGRAPH}</p>',
+    f'<section data-x="the role=form"><p>{PARAGRAPH}</p></section>',
+    *(f'<body><div>Menu two</div><div class="{name}"><p>{PARAGRAPH}</p></div></body>' for name in
+      ("notice-detail", "side", "share", "banner", "reply-box", "comment-view", "menu1", "promo")),
+    f'<form id="aspnetForm"><div><p>{PARAGRAPH}</p></div></form>',
+])
+def test_names_and_values_do_not_empty_an_article(page):
+    assert main_text_of(page) == PARAGRAPH
+
+
+def main_text_of(page):
+    return html_text.main_text(page)
+
+
+@pytest.mark.parametrize("around", [
+    '<div class="lnb">Menu one<br>Menu two</div>{}<div class="legal">Terms apply. All rights are ours, always.</div>',
+    "<div><ul><li><a href=/a>Menu one</a><li><a href=/b>Menu two</a></ul></div>{}<div>© 2024 The Owners, of everything here.</div>",
+    "<div>Home</div><div>About us</div>{}<div>Contact</div>",
+    '{}<div class="comments"><p>' + "I disagree, with all of this, strongly. " * 40 + "</p></div>",
+    "{}<h3>3 Comments</h3><div><p>I disagree, with all of this, strongly; and at length, as readers do.</p></div>",
+    '<div class="ad">Buy now, it is cheap. Really, it is.</div>{}<div><a href="/x">Read this as well, and that</a></div>',
+])
+@pytest.mark.parametrize("element", ["div", "article", "main"])
+def test_furniture_goes_with_and_without_article_elements(around, element):
+    page = f"<html><body>{around.format(f'<{element}><h1>The heading</h1>{ARTICLE}</{element}>')}</body></html>"
+    assert main_text_of(page) == f"The heading\n{ARTICLE_TEXT}"
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (4000, 16_000):
+        for page in ("<div>x" * n, "<b>" * n + "</i>" * n, "<p><i>" * n, "<li><b>" * n):
+            began = time.perf_counter()
+            main_text_of(page)
+            took.append(time.perf_counter() - began)
+    assert sum(took[4:]) < 12 * sum(took[:4]) + 1 and sum(took) < 20
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<", "<p", "plain", "</div></p>", "<p>a", "<a href='", "<!--", "<script>x", "&#x110000;&bogus;", "<p>" * 3000 + "deep"])
 def test_broken_pages_do_not_crash(page):
     assert isinstance(html_text.main_text(page), str)

@@ -161,37 +161,11 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.expr(peeled_sql("own_sketch", "edited_own_sketch", FINGERPRINT_CELLS)).alias("edited_differs"),
         F.expr(peeled_sql("own_sketch", "next_own_sketch", FINGERPRINT_CELLS)).alias("next_differs"),
     )
-    failed = F.col("edited_differs").isNull() | F.col("next_differs").isNull()
-    slim = [F.when(failed, F.col(c)).alias(c) for c in ("own", "edited_own", "next_own")]
-    versions = stored(
-        tried.select(
-            F.monotonically_increasing_id().alias("row"), "at", "n_chars", "edited_sha256", "own_sketch", "edited_own_sketch", *slim,
-            "n_own", "n_edited_own", "n_next_own", "edited_differs", "next_differs",
-        ),
-        "sketches",
+    # all of a document's rows stay where the join by its id has put them: what follows needs no shuffle
+    about = F.struct(
+        "n_chars", "edited_sha256", "own_sketch", "edited_own_sketch", "n_own", "n_edited_own", "n_next_own", "edited_differs", "next_differs"
     )
-    found = larger_sketches(versions.filter(failed))
-    counts = versions.join(found, "row", "left")
-
-    def likeness(other: str, differs: Column) -> Column:
-        total = F.col("n_own") + F.col(other)
-        return F.when(total == 0, F.lit(1.0)).otherwise((total - differs) / (total + differs)).cast("double")
-
-    return counts.select(
-        F.nullif(F.col("at"), F.lit(LEAST)).alias("doc_id"),
-        "n_chars",
-        "edited_sha256",
-        shown("own_sketch", "n_own").alias("fingerprint"),
-        shown("edited_own_sketch", "n_edited_own").alias("edited_fingerprint"),
-        likeness("n_edited_own", F.coalesce("edited_differs", "edited_found")).alias("near_edited"),
-        likeness("n_next_own", F.coalesce("next_differs", "next_found")).alias("near_next"),
-        F.col("edited_differs").isNotNull().alias("edited_by_fingerprint"),
-        F.col("next_differs").isNotNull().alias("next_by_fingerprint"),
-    )
-
-
-def larger_sketches(rows: DataFrame) -> DataFrame:
-    """row, edited_found and next_found: by how many digests the pairs differ whose fingerprints could not be peeled."""
+    numbered = tried.withColumn("row", F.monotonically_increasing_id()).withColumn("about", about)
 
     def dealt(pair: int, side: int, column: str, other: str, unless: str) -> Column:
         groups = groups_for(F.col("n_own") + F.col(other))
@@ -206,16 +180,43 @@ def larger_sketches(rows: DataFrame) -> DataFrame:
         )
         return F.when(F.col(unless).isNull(), entries).otherwise(F.slice(entries, 1, 0))
 
+    nothing = F.array(
+        F.struct(
+            F.lit(0).alias("pair"), F.lit(0).cast("long").alias("group"), F.lit(-1).alias("side"),
+            F.lit(0).cast("long").alias("digest"),
+        )
+    )
     entries = F.concat(
+        nothing,
         dealt(0, 0, "own", "n_edited_own", "edited_differs"), dealt(0, 1, "edited_own", "n_edited_own", "edited_differs"),
         dealt(1, 0, "own", "n_next_own", "next_differs"), dealt(1, 1, "next_own", "n_next_own", "next_differs"),
     )
-    exploded = rows.select("row", F.explode(entries).alias("e")).select("row", "e.pair", "e.group", "e.side", "e.digest")
+    exploded = numbered.select("at", "row", "about", F.explode(entries).alias("e")).select(
+        "at", "row", "e.pair", "e.group", "e.side", "e.digest", F.when(F.col("e.side") == -1, F.col("about")).alias("about")
+    )
     of_side = [F.collect_list(F.when(F.col("side") == s, F.col("digest"))).alias(c) for s, c in ((0, "a"), (1, "b"))]
-    grouped = exploded.groupBy("row", "pair", "group").agg(*of_side).withColumn("n", F.expr(difference_sql("a", "b")))
-    return grouped.groupBy("row").agg(
+    grouped = exploded.groupBy("at", "row", "pair", "group").agg(*of_side, F.first("about", ignorenulls=True).alias("about"))
+    counted = grouped.withColumn("n", F.expr(difference_sql("a", "b")))
+    per_row = counted.groupBy("at", "row").agg(
         F.sum(F.when(F.col("pair") == 0, F.col("n"))).alias("edited_found"),
         F.sum(F.when(F.col("pair") == 1, F.col("n"))).alias("next_found"),
+        F.first("about", ignorenulls=True).alias("about"),
+    )
+
+    def likeness(other: str, differs: Column) -> Column:
+        total = F.col("about.n_own") + F.col(f"about.{other}")
+        return F.when(total == 0, F.lit(1.0)).otherwise((total - differs) / (total + differs)).cast("double")
+
+    return per_row.select(
+        F.nullif(F.col("at"), F.lit(LEAST)).alias("doc_id"),
+        "about.n_chars",
+        "about.edited_sha256",
+        shown("about.own_sketch", "about.n_own").alias("fingerprint"),
+        shown("about.edited_own_sketch", "about.n_edited_own").alias("edited_fingerprint"),
+        likeness("n_edited_own", F.coalesce("about.edited_differs", "edited_found")).alias("near_edited"),
+        likeness("n_next_own", F.coalesce("about.next_differs", "next_found")).alias("near_next"),
+        F.col("about.edited_differs").isNotNull().alias("edited_by_fingerprint"),
+        F.col("about.next_differs").isNotNull().alias("next_by_fingerprint"),
     )
 
 

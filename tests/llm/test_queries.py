@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_language": "doc_id held_out lang_pred score",
     "op9_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op10_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op11_divergence": "lang source part item value rank",
+    "op12_mixing": "doc_id size source_size target taken",
+    "op13_spelling": "word form root n n_near form_n",
 }
 
 

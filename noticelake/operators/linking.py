@@ -52,16 +52,6 @@ def canonical_pick(df: DataFrame, cluster: str, order: Sequence[Column], node: s
     return df.join(first, cluster).withColumn("canonical", F.when(F.col(node) != F.col("canonical"), F.col("canonical")))
 
 
-def unique_of_tiers(pairs: DataFrame, left: str, right: str, tiers: Sequence[Column]) -> DataFrame:
-    """left, right, tier: the one candidate of the first tier that has any; several candidates link nothing."""
-    tier = F.coalesce(*[F.when(F.coalesce(t, F.lit(False)), F.lit(i)) for i, t in enumerate(tiers)])
-    tiered = pairs.select(left, right, tier.alias("tier")).filter("tier IS NOT NULL").distinct()
-    best = Window.partitionBy(left)
-    first = tiered.withColumn("__best", F.min("tier").over(best)).filter("tier = __best").drop("__best")
-    counted = first.withColumn("__n", F.count("*").over(best))
-    return counted.filter("__n = 1").drop("__n")
-
-
 def unique_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], node: str) -> DataFrame:
     """``left`` with n, how many rows of ``right`` have its keys, and other, their ``node`` if there is one alone.
 
@@ -93,19 +83,45 @@ def first_tier(tiers: Sequence[DataFrame], node: str) -> DataFrame:
     return best.filter("best.other IS NOT NULL").select(node, "best.other", "best.tier")
 
 
-def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, reach: float) -> DataFrame:
-    """Pairs of equal keys whose values ``a`` and ``b`` differ by less than ``reach``: each row of ``right`` is put in its own
-    bin of that width and the two beside it, so that only neighbours meet."""
-    place = F.floor(F.col(a) / reach)
-    beside = F.sequence(F.floor(F.col(b) / reach) - 1, F.floor(F.col(b) / reach) + 1)
-    met = left.withColumn("__bin", place).join(right.withColumn("__bin", F.explode(beside)), [*keys, "__bin"])
-    return met.filter(F.abs(F.col(a) - F.col(b)) < reach).drop("__bin")
-
+def lone_near(left: DataFrame, right: DataFrame, keys: Sequence[str], node: str, other: str, value: str, reach: float) -> DataFrame:
+    """``node`` of each row of ``left``, n and other: how many rows of ``right`` have its keys and a ``value`` that differs by less than
+    ``reach``, and the one if it is alone.
 
-def keep_all_if_none(pairs: DataFrame, left: str, keep: Column) -> DataFrame:
-    """Per left row the pairs that pass the filter, or all of them if none does."""
-    kept = F.max(F.coalesce(keep, F.lit(False)).cast("int")).over(Window.partitionBy(left))
-    return pairs.withColumn("__any", kept).filter((F.col("__any") == 0) | keep).drop("__any")
+    Both sides are laid in one line by value and summed up in a frame around each row, so no pairs are made. Values are compared
+    as exact decimals with four places. A range frame includes its ends; what lies exactly ``reach`` away is taken off by the next smaller step. Null
+    keys and values have no neighbours.
+    """
+    scale = 4
+    number = F.round(F.col(value).cast("decimal(28,8)") * 10**scale).cast("long")
+    sides = [
+        df.dropna(subset=[*keys, value]).select(*keys, number.alias("__at"), F.col(i).alias("__node"), F.lit(k).alias("__side"))
+        for k, (df, i) in enumerate(((left, node), (right, other)))
+    ]
+    steps = int(round(reach * 10**scale)) - 1
+    # rows of a value are summed first, so that a frame has a row for each value
+    of_right = F.col("__side") == 1
+    sums = sides[0].unionByName(sides[1]).groupBy(*keys, "__at").agg(F.count_if(of_right).alias("n"), F.sum(F.when(of_right, F.col("__node")).cast("decimal(38,0)")).alias("ids"))
+    # a key's line is cut into bins; what lies near an edge is known in both bins, so no task has to hold a whole key
+    width = 64 * (steps + 1)
+    bins = F.array_distinct(F.array(*[F.floor((F.col("__at") + d) / width) for d in (-steps, 0, steps)]))
+    sums = sums.withColumn("__bin", F.explode(bins))
+    near = Window.partitionBy(*keys, "__bin").orderBy("__at").rangeBetween(-steps, steps)
+    sums = sums.select(*keys, "__at", "__bin", F.sum("n").over(near).alias("n"), F.sum("ids").over(near).alias("ids"))
+    sums = sums.filter(F.col("__bin") == F.floor(F.col("__at") / width)).drop("__bin")
+    met = sides[0].join(sums, [*keys, "__at"])
+    return met.select(F.col("__node").alias(node), "n", F.when(F.col("n") == 1, F.col("ids").cast("long")).alias("other"))
+
+
+def keep_all_if_none(children: DataFrame, parent: str, keep: Column) -> DataFrame:
+    """Of each parent the children that pass the filter, or all of them if none does.
+
+    Whether any does is a grouped maximum that is joined back, so a parent with many children is split like any other join.
+    """
+    kept = F.coalesce(keep, F.lit(False))
+    marked = children.withColumn("__kept", kept)
+    known = marked.groupBy(F.col(parent).alias("__parent")).agg(F.max("__kept").alias("__any"))
+    back = marked.join(known, F.col(parent).eqNullSafe(F.col("__parent")))
+    return back.filter(F.col("__kept") | ~F.col("__any")).drop("__kept", "__any", "__parent")
 
 
 def address_ladder(queries: DataFrame, index: DataFrame) -> DataFrame:

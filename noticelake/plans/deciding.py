@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.functions.similarity import best_match
 from noticelake.functions.text import search_norm
 from noticelake.operators import eligibility, glyphs, rules
+from noticelake.operators.matching import best_match
 from noticelake.operators.relational import distinct_on, top_k_per_group
 from noticelake.registry import query
 from noticelake.session import checkpoint_dir, read_table
@@ -217,10 +217,8 @@ def glyph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    # names that end alike are compared, not all of a nation's
-    ends = F.substring("c_name", -3, 3) == F.substring("s_name", -3, 3)
-    pairs = c.join(s, (c.c_nationkey == s.s_nationkey) & ends)
-    return best_match(pairs, "c_custkey", "s_suppkey", F.col("c_name"), F.col("s_name"), 0.55)
+    s = s.withColumnRenamed("s_nationkey", "c_nationkey")
+    return best_match(c, s, ["c_nationkey"], ("c_custkey", "c_name"), ("s_suppkey", "s_name"), 0.55)
 
 
 @query("""SELECT CAST(CAST(ts + INTERVAL 9 HOUR AS DATE) AS VARCHAR) AS day, event_type AS path, count(*) AS views FROM events GROUP BY 1, 2""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticelake.functions.text import name_key_a
-from noticelake.operators.linking import lone_other, near_pairs
+from noticelake.operators.linking import lone_near, lone_other
 from noticelake.operators.relational import distinct_on, latest_rows, latest_snapshot, top_k_per_group
 from noticelake.plans.base import NOTICE_SQL, line_items, notices, shown
 from noticelake.registry import query
@@ -184,10 +184,9 @@ def canonical_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH cand AS (SELECT c_custkey, s_suppkey, count(*) OVER (PARTITION BY c_custkey) AS n FROM customer JOIN supplier
-  ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) < 25)
+  ON c_nationkey = s_nationkey AND abs(CAST(c_acctbal AS DECIMAL(18,4)) - CAST(s_acctbal AS DECIMAL(18,4))) < 25)
 SELECT c_custkey, s_suppkey FROM cand WHERE n = 1""")
 def unique_candidate_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "supplier")
-    pairs = near_pairs(c.withColumnRenamed("c_nationkey", "nation"), s.withColumnRenamed("s_nationkey", "nation"), ["nation"], "c_acctbal", "s_acctbal", 25)
-    counted = pairs.groupBy("c_custkey").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("s_suppkey"))
-    return counted.filter("n = 1").select("c_custkey", "s_suppkey")
+    found = lone_near(c.withColumnRenamed("c_nationkey", "nation").withColumnRenamed("c_acctbal", "at"), s.withColumnRenamed("s_nationkey", "nation").withColumnRenamed("s_acctbal", "at"), ["nation"], "c_custkey", "s_suppkey", "at", 25)
+    return found.filter("n = 1").select("c_custkey", F.col("other").alias("s_suppkey"))

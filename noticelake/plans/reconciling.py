@@ -96,7 +96,7 @@ def district_shorthand_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("n_name").agg(F.sum("units").alias("units"), F.sum("n").alias("n"))
 
 
-CASCADE_SQL = """WITH p AS (SELECT c_custkey, s_suppkey, CASE WHEN c_custkey % 1000 = s_suppkey THEN 0 WHEN substr(c_name, -2) = substr(s_name, -2) THEN 1 WHEN abs(c_acctbal - s_acctbal) < 300 THEN 2 END AS tier FROM customer JOIN supplier ON c_nationkey = s_nationkey),
+CASCADE_SQL = """WITH p AS (SELECT c_custkey, s_suppkey, CASE WHEN c_custkey % 1000 = s_suppkey THEN 0 WHEN substr(c_name, -2) = substr(s_name, -2) THEN 1 WHEN abs(CAST(c_acctbal AS DECIMAL(18,4)) - CAST(s_acctbal AS DECIMAL(18,4))) < 300 THEN 2 END AS tier FROM customer JOIN supplier ON c_nationkey = s_nationkey),
 t AS (SELECT *, min(tier) OVER (PARTITION BY c_custkey) AS best FROM p WHERE tier IS NOT NULL), n AS (SELECT *, count(*) OVER (PARTITION BY c_custkey) AS n FROM t WHERE tier = best)
 SELECT c_custkey, s_suppkey, tier FROM n WHERE n = 1"""
 
@@ -110,8 +110,8 @@ def cascading_unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = exact.filter("n = 0").drop("n", "other")
     alike = linking.unique_by_key(rest, s, ["nation", "ends"], "s_suppkey")
     rest = alike.filter("n = 0").drop("n", "other")
-    near = linking.near_pairs(rest.select("c_custkey", "nation", "c_acctbal"), s.select("s_suppkey", "nation", "s_acctbal"), ["nation"], "c_acctbal", "s_acctbal", 300)
-    close = near.groupBy("c_custkey").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("other")).withColumn("other", F.when(F.col("n") == 1, F.col("other")))
+    at = [df.withColumnRenamed(c, "at") for df, c in ((rest, "c_acctbal"), (s, "s_acctbal"))]
+    close = linking.lone_near(*at, ["nation"], "c_custkey", "s_suppkey", "at", 300)
     found = linking.first_tier([exact, alike, close], "c_custkey")
     return found.select("c_custkey", F.col("other").alias("s_suppkey"), "tier")
 

@@ -219,13 +219,25 @@ def narrow_to_one_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.first_tier(tiers, "id").select(F.col("id").alias("post"), F.col("other").alias("notice"), "tier")
 
 
-@query("""WITH p AS (SELECT c_custkey, s_suppkey, (s_suppkey % 7 = c_custkey % 7) AS keep FROM customer JOIN supplier ON c_nationkey = s_nationkey AND right(c_name, 2) = right(s_name, 2)),
-k AS (SELECT *, bool_or(keep) OVER (PARTITION BY c_custkey) AS any_kept FROM p) SELECT c_custkey, s_suppkey FROM k WHERE keep OR NOT any_kept""")
+@query("""WITH u AS (SELECT l_orderkey, l_linenumber, l_suppkey, (s.n_regionkey = c.n_regionkey) AS keep FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+ JOIN nation c ON c_nationkey = c.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s_nationkey = s.n_nationkey),
+k AS (SELECT *, bool_or(keep) OVER (PARTITION BY l_orderkey) AS any_kept FROM u) SELECT l_orderkey, l_linenumber, l_suppkey FROM k WHERE keep OR NOT any_kept""")
 def region_fallback_keep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "supplier")
-    ends = F.substring("c_name", -2, 2) == F.substring("s_name", -2, 2)
-    pairs = c.join(s, (c.c_nationkey == s.s_nationkey) & ends).select("c_custkey", "s_suppkey")
-    return linking.keep_all_if_none(pairs, "c_custkey", F.col("s_suppkey") % 7 == F.col("c_custkey") % 7)
+    """The lines of an order whose supplier is of the buyer's region; all lines where none is."""
+    nation = read_table(spark, sf_dir, "nation")
+
+    def regions(of: str) -> DataFrame:
+        return nation.select(F.col("n_nationkey").alias(f"{of}_nationkey"), F.col("n_regionkey").alias(f"{of}_region"))
+
+    buyer = read_table(spark, sf_dir, "customer").join(regions("c"), "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), "c_region")
+    wanted = read_table(spark, sf_dir, "orders").join(buyer, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), "c_region")
+    sellers = read_table(spark, sf_dir, "supplier").join(regions("s"), "s_nationkey").select(F.col("s_suppkey").alias("l_suppkey"), "s_region")
+    units = line_items(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_suppkey").join(wanted, "l_orderkey").join(sellers, "l_suppkey")
+    return linking.keep_all_if_none(units, "l_orderkey", F.col("s_region") == F.col("c_region")).select("l_orderkey", "l_linenumber", "l_suppkey")
+
+
+#: Parts over which the rows of one digest are spread.
+SALTS = 64
 
 
 LADDER_SQL = """WITH idx AS (SELECT p_brand AS road, p_size AS main, CAST(p_partkey % 3 AS INTEGER) AS sub, p_type AS district, CAST(p_partkey AS BIGINT) AS lon, CAST(p_partkey * 2 AS BIGINT) AS lat FROM part),
@@ -256,7 +268,13 @@ def address_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH k AS (SELECT doc_id, md5(coalesce(text, '')) AS h FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS first, count(*) OVER (PARTITION BY h) AS n FROM k""")
 def seen_set_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = read_table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("h"))
-    return k.join(k.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "h").select("doc_id", "first", "n")
+    # a digest of many documents is spread over parts, whose minima and numbers are folded and given back to each part
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    salted = k.withColumn("part", part)
+    parts = salted.groupBy("h", "part").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    whole = parts.groupBy("h").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
+    back = whole.select("h", "first", "n", F.explode("parts").alias("part"))
+    return salted.join(back, ["h", "part"]).select("doc_id", "first", "n")
 
 
 @query("""SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'unknown' WHEN l.quality = 1 AND coalesce(l.toxic, 0) = 0 THEN 'verified' ELSE 'rejected' END AS verdict FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Horizontal gap, in pixels, that separates two cells.
@@ -77,28 +77,78 @@ def page_cells(glyphs: DataFrame, gap: float = CELL_GAP) -> DataFrame:
     return glyphs.groupBy("doc_id", "page").applyInPandas(rebuild, CELLS)
 
 
-def under_header(cells: DataFrame, headers: Sequence[str]) -> DataFrame:
-    """Rows below the header row as doc_id, page, row and one column per header.
+#: A band without any cell is the edge of a column if it has this width, in pixels.
+LEAST_BAND = 2.5
+PAGE = ("doc_id", "page")
 
-    The header row is the first that holds all header words. A cell belongs to the header whose centre
-    is nearest; the cells of one column in a row are joined from left to right. Pages without a header
-    give no rows.
+
+def header_places(cells: DataFrame, headers: Sequence[str], lines: int = 3) -> DataFrame:
+    """doc_id, page, name, x (its centre) and bottom (its last row) of each header word of a page.
+
+    Words are compared without blanks. A word may stand on up to ``lines`` rows, one part below the other where they overlap.
+    Of several places of a word the first counts, as words of the header occur in the data too. Pages that lack a word
+    have no header.
+    """
+    names = {"".join(h.split()): h for h in headers}
+    wanted = F.array(*map(F.lit, names))
+    part = cells.select(*PAGE, F.col("row").alias("top"), F.col("row").alias("bottom"), "x0", "x1", F.regexp_replace("text", r"\s+", "").alias("word"))
+    begun = part.filter((F.col("word") != "") & F.exists(wanted, lambda n: n.startswith(F.col("word"))))
+    found = begun
+    for _ in range(lines - 1):
+        below = part.select(*PAGE, (F.col("top") - 1).alias("bottom"), F.col("x0").alias("l"), F.col("x1").alias("r"), F.col("word").alias("next"))
+        longer = begun.join(below, [*PAGE, "bottom"]).filter((F.col("l") < F.col("x1")) & (F.col("x0") < F.col("r")))
+        begun = longer.select(
+            *PAGE, "top", (F.col("bottom") + 1).alias("bottom"), F.least("x0", "l").alias("x0"), F.greatest("x1", "r").alias("x1"), F.concat("word", "next").alias("word")
+        ).filter(F.exists(wanted, lambda n: n.startswith(F.col("word"))))
+        found = found.unionByName(begun)
+    whole = found.filter(F.array_contains(wanted, F.col("word")))
+    place = F.struct("top", "x0", ((F.col("x0") + F.col("x1")) / 2).alias("x"), "bottom")
+    first = whole.groupBy(*PAGE, "word").agg(F.min(place).alias("at"))
+    spelt = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    full = first.groupBy(*PAGE).agg(F.collect_list(F.struct(F.col("at.x").alias("x"), spelt[F.col("word")].alias("name"))).alias("words"), F.max("at.bottom").alias("bottom"))
+    full = full.filter(F.size("words") == len(names))
+    return full.select(*PAGE, "bottom", F.inline("words")).select(*PAGE, "name", "x", "bottom")
+
+
+def column_edges(spans: DataFrame, headers: DataFrame, least: float = LEAST_BAND) -> DataFrame:
+    """doc_id, page, place (from 1) and edge between each two neighbouring header words.
+
+    The edge is the middle of the widest band between the centres of the words that no span of the page enters, the first of
+    those as wide; without a band as wide as ``least`` it is halfway. ``spans`` has doc_id, page, x0, x1; ``headers`` doc_id, page, x.
+
+    Spans are swept from left to right: a span begins a band if it starts beyond all before it.
+    """
+    order = Window.partitionBy(*PAGE).orderBy("x")
+    pairs = headers.select(*PAGE, F.col("x").alias("a"), F.lead("x").over(order).alias("b"), F.row_number().over(order).alias("place")).filter("b IS NOT NULL")
+    met = pairs.join(spans.select(*PAGE, "x0", "x1"), list(PAGE)).filter((F.col("x1") > F.col("a")) & (F.col("x0") < F.col("b")))
+    ends = pairs.select(*PAGE, "a", "b", "place", F.col("b").alias("x0"), F.col("b").alias("x1"))  # what ends the last band
+    swept = met.select(*ends.columns).unionByName(ends)
+    before = Window.partitionBy(*PAGE, "place").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
+    swept = swept.withColumn("reached", F.greatest("a", F.max("x1").over(before)))
+    width = F.col("x0") - F.col("reached")
+    band = F.when(width >= least, F.struct(width.alias("width"), (-F.col("reached")).alias("minus"), ((F.col("x0") + F.col("reached")) / 2).alias("middle")))
+    widest = swept.groupBy(*PAGE, "place", "a", "b").agg(F.max(band).alias("band"))
+    return widest.select(*PAGE, "place", F.coalesce("band.middle", (F.col("a") + F.col("b")) / 2).alias("edge"))
+
+
+def under_header(cells: DataFrame, headers: Sequence[str], lines: int = 3) -> DataFrame:
+    """Rows below the header as doc_id, page, row and one column per header word.
+
+    Columns are bounded by the bands that the cells below leave empty, so a wide column keeps what lies far from its word. The
+    cells of one column in a row are joined from left to right. Pages without a header give no rows.
     """
     names = list(headers)
-    marks = cells.filter(F.col("text").isin(names))
-    rows = marks.groupBy("doc_id", "page", "row").agg(
-        F.countDistinct("text").alias("n"), F.map_from_entries(F.collect_set(F.struct("text", ((F.col("x0") + F.col("x1")) / 2).alias("x")))).alias("at")
-    ).filter(F.col("n") == len(names))
-    first = rows.groupBy("doc_id", "page").agg(F.min_by(F.struct("row", "at"), "row").alias("head"))
-    body = cells.join(first, ["doc_id", "page"]).filter("row > head.row")
+    places = header_places(cells, names, lines)
+    bottoms = places.groupBy(*PAGE).agg(F.max("bottom").alias("bottom"), F.array_sort(F.collect_list(F.struct("x", "name"))).alias("columns"))
+    body = cells.join(bottoms, list(PAGE)).filter("row > bottom")
+    edges = column_edges(body, places).groupBy(*PAGE).agg(F.collect_list("edge").alias("edges"))
+    bounded = body.join(edges, list(PAGE), "left")
     middle = (F.col("x0") + F.col("x1")) / 2
-    nearest = F.array_min(F.array(*[F.struct(F.abs(middle - F.col("head.at")[n]).alias("d"), F.lit(i).alias("i")) for i, n in enumerate(names)]))["i"]
-    placed = body.withColumn("column", nearest).groupBy("doc_id", "page", "row", "column").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda c: c["text"]), " ").alias("value")
-    )
-    return placed.groupBy("doc_id", "page", "row").agg(
-        *[F.max(F.when(F.col("column") == i, F.col("value"))).alias(n) for i, n in enumerate(names)]
-    )
+    at = F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: e <= middle))
+    named = bounded.withColumn("column", F.col("columns")[at]["name"])
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda c: c["text"]), " ")
+    placed = named.groupBy(*PAGE, "row", "column").agg(joined.alias("value"))
+    return placed.groupBy(*PAGE, "row").agg(*[F.max(F.when(F.col("column") == n, F.col("value"))).alias(n) for n in names])
 
 
 def assign_blocks(ys: Sequence[float], labels: Sequence[float]) -> list[int]:
@@ -127,6 +177,87 @@ def assign_blocks(ys: Sequence[float], labels: Sequence[float]) -> list[int]:
     return out
 
 
+def block_labels(rows: DataFrame, labels: DataFrame, keys: Sequence[str], y: str, label_y: str, label: str) -> DataFrame:
+    """``rows`` with ``label``: what a merged cell says of them, that is drawn in the middle of the rows it spans.
+
+    Within its keys, one page each, every label takes a run of rows, so that the sum of the distances between labels and the
+    middles of their runs is least; of equal divisions the one with the latest first runs ending earliest. With fewer
+    rows than labels nothing is sure and the label is null, as it is for rows with a null height. Rows without labels get null.
+    """
+    columns = rows.columns
+    kinds = dict(rows.dtypes) | {label: dict(labels.dtypes)[label]}
+
+    def restore(own, others):
+        import pyarrow as pa
+
+        heights, texts = own[y].to_pylist(), others[label].to_pylist()
+        at = sorted((i for i, h in enumerate(heights) if h is not None), key=lambda i: heights[i])
+        marks = sorted((h, i) for i, h in enumerate(others[label_y].to_pylist()) if h is not None)
+        given: list = [None] * len(own)
+        for i, k in zip(at, assign_blocks([heights[i] for i in at], [h for h, _ in marks]), strict=False):
+            given[i] = texts[marks[k][1]]
+        return own.append_column(label, pa.array(given, others.schema.field(label).type))
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*columns, label])
+    return rows.groupBy(*keys).cogroup(labels.groupBy(*keys)).applyInArrow(restore, schema)
+
+
+#: A place where a glyph was lost.
+HOLE = "_"
+SEPARATORS = ".,"
+#: By how much of a digit's width a gap may miss a whole number of digits.
+HOLE_SLACK = 0.45
+
+
+def rendered(text: Column) -> Column:
+    """``text`` as a converter shows it that loses a glyph of each run of equal ones: of n, the one at n / 2 becomes a hole."""
+    runs = F.regexp_extract_all(text, F.lit(r"(?s)(.)\1*"), F.lit(0))
+    middle = F.transform(
+        runs, lambda r: F.when(F.length(r) < 2, r).otherwise(F.concat(F.substring(r, F.lit(1), F.floor(F.length(r) / 2).cast("int")), F.lit(HOLE), F.substring(r, (F.floor(F.length(r) / 2) + 2).cast("int"), F.length(r))))
+    )
+    return F.array_join(middle, "")
+
+
+def repaired(seen: Column) -> Column:
+    """The text that is shown as ``seen``; null if there is none.
+
+    A hole stands within a run, never at its start, so it is what stands before it; whether that is right shows when the
+    result is rendered again.
+    """
+    filled = F.regexp_replace(seen, f"(?s)([^{HOLE}]){HOLE}", "$1$1")
+    good = ~filled.contains(HOLE) & (rendered(filled) == seen)
+    return F.when(~seen.contains(HOLE), seen).when(good, filled)
+
+
+def with_holes(glyphs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys and seen: the digits of each number of glyphs (keys, x, ch), with a hole for each glyph that is lost.
+
+    The least step between two glyphs is the width of one, taken apart for digits and separators. Where the step is wider by about
+    a whole number of digits, as many are lost. Separators are left out. Numbers of less than three glyphs are as they are. What
+    is lost at the end of a number can't be seen.
+    """
+    order = Window.partitionBy(*keys).orderBy("x", "ch")
+    whole = Window.partitionBy(*keys)
+    is_separator = F.col("before").isin(*SEPARATORS)
+    rows = glyphs.select(*keys, "x", "ch", F.lag("ch").over(order).alias("before"), (F.col("x") - F.lag("x").over(order)).alias("gap"))
+    rows = rows.select(
+        *keys, "x", "ch", "before", "gap", F.count("*").over(whole).alias("n"),
+        F.coalesce(F.min(F.when(~is_separator, F.col("gap"))).over(whole), F.lit(0.0)).alias("step"), F.min(F.when(is_separator, F.col("gap"))).over(whole).alias("narrow"),
+    )
+    own = F.when(is_separator, F.coalesce("narrow", F.col("step") / 2)).otherwise(F.col("step"))
+    extra = F.when((F.col("n") >= 3) & (F.col("step") > 0), (F.col("gap") - own) / F.col("step"))
+    lost = F.when((F.rint(extra) > 0) & (F.abs(extra - F.rint(extra)) <= HOLE_SLACK), F.rint(extra).cast("int")).otherwise(0)
+    shown = F.concat(F.repeat(F.lit(HOLE), lost), F.when(F.col("ch").isin(*SEPARATORS), "").otherwise(F.col("ch")))
+    parts = F.array_sort(F.collect_list(F.struct("x", "ch", shown.alias("shown"))))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["shown"]), "").alias("seen"))
+
+
+def whole_number(seen: Column) -> Column:
+    """The number of digits with holes; null if a hole can't be filled or something else than digits is seen."""
+    fixed = repaired(seen)
+    return F.when(fixed.rlike("^[0-9]+$"), fixed.try_cast("decimal(38,0)"))
+
+
 def reconciled(units: Column, online: Column, visit: Column, total: Column, ratio: Column) -> tuple[Column, Column]:
     """(reconciled, repaired) of a competition row: total = online + visit, ratio = total / units within 0.15.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -112,6 +112,21 @@ def lone_near(left: DataFrame, right: DataFrame, keys: Sequence[str], node: str,
     return met.select(F.col("__node").alias(node), "n", F.when(F.col("n") == 1, F.col("ids").cast("long")).alias("other"))
 
 
+def relink(ledger: DataFrame, candidates: DataFrame, arrived: DataFrame, keys: Sequence[str], node: str, link: str, rule: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``ledger`` with the links of its pending rows (``link`` is null) worked out again where their keys got a new candidate.
+
+    ``rule`` takes pending rows and candidates and gives node, n and other, as the first linking did. Only keys among those of
+    ``arrived`` can come out otherwise than before, so the rest is not looked at; rows that are linked stay as they are. ``candidates``
+    holds old and new ones.
+    """
+    fresh = arrived.select(*keys).dropna().distinct()
+    pending = ledger.filter(F.col(link).isNull()).drop(link).join(fresh, list(keys), "left_semi")
+    asked = pending.select(*keys).distinct()
+    found = rule(pending, candidates.join(asked, list(keys), "left_semi")).filter("n = 1").select(F.col(node).alias("__node"), F.col("other").alias("__new"))
+    joined = ledger.join(found, F.col(node) == F.col("__node"), "left")
+    return joined.withColumn(link, F.coalesce(link, "__new")).select(*ledger.columns)
+
+
 def keep_all_if_none(children: DataFrame, parent: str, keep: Column) -> DataFrame:
     """Of each parent the children that pass the filter, or all of them if none does.
 

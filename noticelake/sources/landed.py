@@ -104,6 +104,23 @@ def sitemap_urls(pages: DataFrame, xml: str = "xml") -> DataFrame:
     return locs.groupBy("url").agg(F.min(F.struct("page", "pos")).alias("pos"))
 
 
+def sitemap_tree(files: DataFrame, root: str, skip: Column | None = None) -> DataFrame:
+    """url and pos of the addresses that a sitemap names, in its order and each once.
+
+    ``files`` has the address and xml of landed sitemaps. If the root is an index, the sitemaps that it names are read, one level
+    down; those that have not landed are left out. What ``skip`` says of ``url`` is left out too.
+    """
+    listed = files.select("address", F.col("xml").contains("<sitemapindex").alias("is_index"), F.posexplode(F.regexp_extract_all("xml", F.lit("<loc>\\s*([^<\\s]+)\\s*</loc>"), F.lit(1))).alias("at", "url"))
+    top = listed.filter(F.col("address") == root)
+    none = F.lit(-1)
+    direct = top.filter("NOT is_index").select("url", F.struct(F.col("at").alias("file"), none.alias("line")).alias("pos"))
+    named = top.filter("is_index").groupBy(F.col("url").alias("address")).agg(F.min("at").alias("file"))
+    below = listed.filter("NOT is_index").join(named, "address").select("url", F.struct("file", F.col("at").alias("line")).alias("pos"))
+    found = direct.unionByName(below)
+    kept = found if skip is None else found.filter(~F.coalesce(skip, F.lit(False)))
+    return kept.groupBy("url").agg(F.min("pos").alias("pos"))
+
+
 def manual_rows(files: DataFrame) -> DataFrame:
     """Rows of hand-made tables seq, columns array<string>, rows array<array<string>> as maps, in order."""
     cells = files.select("seq", "columns", F.posexplode("rows").alias("row_no", "cells"))

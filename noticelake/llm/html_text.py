@@ -3,7 +3,8 @@
 A page is read as a sequence of text nodes, each with the path of tags and classes from the root to it. Per path
 the lengths and the punctuation of its nodes are summed and divided by the number of nodes; links count
 against a path. Both ratios are smoothed along the page, fused into one score, and nodes whose score
-passes a threshold set by the page's own scores are content; a heading goes with what follows it.
+passes a threshold set by the page's own scores are content; a heading goes with what follows it. The element that holds
+nearly all content is the content's subtree, and in it lists, tables and paragraphs of one link belong to the text, however short.
 
 Some parts are left out whatever their ratios, since a reader's comment has the ratios of an article. What HTML itself
 sets apart (scripts, menus, footers, what is hidden) never counts. What a class, id or role only hints at is
@@ -34,6 +35,14 @@ THRESHOLD = 0.2
 WEAK_SHARE, STRONG_SHARE = 0.25, 0.05
 #: Share of a page's prose that its article elements must hold to be taken as the article.
 ARTICLE_SHARE = 0.25
+#: Share of the largest article's prose that a further article element without a main heading must hold to be part of the text.
+SECOND_SHARE = 0.25
+#: Share of the content's prose that the content's subtree holds.
+SUBTREE_SHARE = 0.8
+#: Words from which on a paragraph that is one link is taken for a sentence, and letters that make a paragraph long.
+LINK_WORDS, LONG = 4, 200
+#: Blocks that are looked at to tell what follows a heading such as Discussion.
+LOOK_AHEAD = 6
 #: Elements nest no deeper; those below count as beside each other, as in browsers.
 MOST_DEPTH = 512
 
@@ -56,7 +65,7 @@ INLINE = frozenset(
     "time tt u var wbr label ruby rt rp acronym".split()
 )
 NEVER = frozenset(
-    "nav footer aside button select option menu dialog head svg math object audio video canvas map datalist fieldset input iframe".split()
+    "nav footer aside select option menu dialog head svg math object audio video canvas map datalist fieldset input iframe".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset(
@@ -82,8 +91,14 @@ LAYOUT_WORDS = frozenset("has with no without layout columns".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 #: Words that make an article element a comment, an advert or a teaser.
 ARTICLE_MARKS = frozenset("comment comments reply replies ad advert sponsored promo related teaser".split())
-#: A line that begins the readers' part of a page, and one that claims rights.
-COMMENTS_LINE = re.compile(r"(?:\d+ )?(?:reader(?:s'|s|'s)? )?(?:comments?|responses|replies|discussion|leave a (?:comment|reply)|join the discussion|kommentare|commentaires|comentarios|댓글)(?: ?\(?\d+\)?)?:?", re.I)
+#: Elements that hold others, and those whose blocks may be short.
+STRUCTURE = frozenset("html body div section article main center".split())
+LISTED = frozenset("ul ol dl li dt dd table caption thead tbody tfoot tr td th pre blockquote figcaption".split())
+#: A line that begins the readers' part of a page, one that may as well head a part of the article, and one that claims rights.
+COMMENTS_LINE = re.compile(r"(?:\d+ )?(?:reader(?:s'|s|'s)? )?(?:comments?|leave a (?:comment|reply)|join the discussion|kommentare|commentaires|comentarios|댓글)(?: ?\(?\d+\)?)?:?", re.I)
+DISCUSSION_LINE = re.compile(r"(?:\d+ )?(?:reader(?:s'|s|'s)? )?(?:responses|replies|discussion)(?: ?\(?\d+\)?)?:?", re.I)
+#: What stands around readers' comments.
+COMMENT_SIGN = re.compile(r"\breply\b|\bsays\b|\bwrote\b|\b\d+ (?:minute|hour|day|week|month|year)s? ago\b|\blog ?in to\b|\bantworten\b|\brépondre\b|\bresponder\b|답글", re.I)
 RIGHTS_LINE = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 
 DROPPED = -1
@@ -157,6 +172,7 @@ class Page:
         self.titled: set[int] = set()  # articles with a main heading
         self.holders: set[int] = set()  # suspects with an article or a main heading in them
         self._paths: dict[tuple, int] = {}
+        self.parents, self.tags = [0], [""]  # of each path
         self._articles = 0
         self._read(page)
 
@@ -189,7 +205,7 @@ class Page:
             if tag is None:
                 continue
             tag = tag.lower()
-            if tag not in INLINE and tag not in ("a", "br", "img"):
+            if tag not in INLINE and tag not in ("a", "br", "img", "button"):
                 block += 1
             if found.group("close"):
                 if beyond and tag not in VOID:
@@ -258,8 +274,11 @@ class Page:
                     self._articles += 1
                     article = self._articles
         if tag not in INLINE:
-            path = self._paths.setdefault((path, tag, classes), len(self._paths) + 1)
-        return Open(tag, path, around.linked or tag == "a", suspect, article, around.heading or tag in HEADINGS)
+            around_path, path = path, self._paths.setdefault((path, tag, classes), len(self._paths) + 1)
+            if path == len(self.parents):
+                self.parents.append(around_path)
+                self.tags.append(tag)
+        return Open(tag, path, around.linked or tag in ("a", "button"), suspect, article, around.heading or tag in HEADINGS)
 
 
 @cache
@@ -301,16 +320,48 @@ def without_suspects(page: Page) -> list[Node]:
     return [n for n in page.nodes if n.suspect in opened]
 
 
+def marked(page: Page, tags: frozenset[str]) -> list[bool]:
+    """For each path whether it or a path around it is of one of the tags."""
+    out = [False] * len(page.parents)
+    for path in range(1, len(out)):
+        out[path] = page.tags[path] in tags or out[page.parents[path]]
+    return out
+
+
 def article_of(page: Page, nodes: list[Node]) -> list[Node]:
-    """The nodes of the page's article elements, if those hold enough of its prose; of several, those with a main heading."""
-    total = sum(map(prose, nodes))
+    """The nodes of the page's article elements, if those hold enough of its prose; of several, those with a main heading and
+    those that hold as much. A main heading before an article that has none of its own belongs to it.
+    """
+    own: Counter = Counter()
+    for node in nodes:
+        own[node.article] += prose(node)
+    total = sum(own.values())
     for wanted in (page.titled - {0}, set(range(1, page._articles + 1))):
+        largest = max((own[a] for a in wanted), default=0)
+        wanted = wanted | {a for a in own if a and own[a] >= max(1, SECOND_SHARE * largest)} if wanted else wanted
         kept = [n for n in nodes if n.article in wanted]
         if kept and sum(map(prose, kept)) >= ARTICLE_SHARE * total:
+            if page.titled.isdisjoint(wanted):
+                title, first = marked(page, frozenset(("h1",))), nodes.index(kept[0])
+                kept = [n for n in nodes[:first] if not n.article and title[n.path]] + kept
             return kept
     return nodes
 
 
+def subtree(page: Page, nodes: list[Node], keep: list[bool]) -> int:
+    """The path of the innermost element that holds nearly all content; elements beside it may have the same path."""
+    inside = [0] * len(page.parents)
+    for node, kept in zip(nodes, keep, strict=True):
+        inside[node.path] += prose(node) if kept else 0
+    for path in range(len(inside) - 1, 0, -1):
+        inside[page.parents[path]] += inside[path]
+    at = 0
+    for path in range(1, len(inside)):  # those inside have larger numbers
+        if page.parents[path] == at and page.tags[path] in STRUCTURE and inside[path] >= SUBTREE_SHARE * max(1, inside[0]):
+            at = path
+    return at
+
+
 def lines_of(nodes: list[Node]) -> list[tuple[list[int], str]]:
     """The numbers of the nodes of each block, and its text with white space as one space."""
     out: list[tuple[list[int], list[str]]] = []
@@ -352,23 +403,60 @@ def content_nodes(nodes: list[Node]) -> list[bool]:
     return [s >= level for s in score]
 
 
+def ends_text(lines: list[str], at: int, in_article: bool) -> bool:
+    """Whether the line begins the readers' part of the page.
+
+    A heading such as Comments does, unless a long paragraph without any sign of comments follows it within the article. One such as
+    Discussion does only if what follows has signs of comments, or outside an article.
+    """
+    sure, perhaps = COMMENTS_LINE.fullmatch(lines[at]), DISCUSSION_LINE.fullmatch(lines[at])
+    if not sure and not perhaps:
+        return False
+    after = [x for x in lines[at + 1 : at + 1 + LOOK_AHEAD] if x]
+    signs = any(len(x) < LONG and COMMENT_SIGN.search(x) for x in after)
+    if sure:
+        return signs or not in_article or not after or len(after[0]) < LONG
+    return signs
+
+
 def main_text(page: str) -> str:
     """The article's text: white space within a block is one space, blocks are joined by a line end."""
     read = Page(page)
     nodes = article_of(read, without_suspects(read))
     keep = content_nodes(nodes)
+    at = subtree(read, nodes, keep)
+    whole = read.tags[at] in ("", "html", "body")  # the page itself is the subtree
+    within, listed, pressed = [path == at for path in range(len(read.parents))], marked(read, LISTED), marked(read, frozenset(("button",)))
+    for path in range(1, len(within)):
+        within[path] = within[path] or within[read.parents[path]]
+    blocks = lines_of(nodes)
+    lines = [line for _, line in blocks]
+    size, links, home = Counter(), Counter(), []
+    for numbers, _ in blocks:
+        path = nodes[numbers[0]].path
+        while read.tags[path] in ("a", "button"):
+            path = read.parents[path]
+        home.append(path)
+        size[path] += sum(len(nodes[i].text) for i in numbers)
+        links[path] += sum(len(nodes[i].text) for i in numbers if nodes[i].linked)
     kept: list[str] = []
     headings: list[str] = []  # those that wait for what follows them
-    for numbers, line in lines_of(nodes):
+    for k, (numbers, line) in enumerate(blocks):
         if not line:
             continue
-        if kept and COMMENTS_LINE.fullmatch(line):
+        article, path = nodes[numbers[0]].article > 0, home[k]
+        if kept and ends_text(lines, k, article):
             break
         linked = sum(len(nodes[i].text) for i in numbers if nodes[i].linked)
         menu = 2 * linked > len(line) and not any(PUNCTUATION.search(nodes[i].text) for i in numbers if not nodes[i].linked)
+        sentence = menu and line[-1] in ".!?"  # a paragraph of one link that is a sentence
+        inside = within[path] and path != at and (not whole or article or (bool(kept) and (listed[path] or sentence)))
+        if menu and inside and not all(pressed[nodes[i].path] or nodes[i].text.isspace() for i in numbers):
+            # a paragraph that is one link says something; a list is a menu if most of it is links
+            menu = 2 * links[path] > size[path] if listed[path] else len(line.split()) < LINK_WORDS
         if all(nodes[i].heading for i in numbers) and not menu:
             headings.append(line)
-        elif any(keep[i] for i in numbers) and not menu and (nodes[numbers[0]].article or not RIGHTS_LINE.match(line)):
+        elif (inside or any(keep[i] for i in numbers)) and not menu and (article or not RIGHTS_LINE.match(line)):
             kept += [*headings, line]
             headings.clear()
         else:

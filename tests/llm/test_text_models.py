@@ -51,6 +51,60 @@ def test_names_and_values_do_not_empty_an_article(page):
     assert main_text_of(page) == PARAGRAPH
 
 
+LONG_PARTS = ["The first paragraph of the report is long enough, and it says what was found in spring.", "In the second one, the authors explain how they counted; it took three years, they say.", "The third paragraph closes the part, and names those who helped with the counting."]
+PROBES = {
+    "discussion": ("<h2>Discussion</h2><p>What was found agrees with earlier work, but not in all points.</p>", ["Discussion", "What was found agrees with earlier work, but not in all points."]),
+    "responses": ("<p>Responses:</p><p>Most of those who were asked agreed, a few did not.</p>", ["Responses:", "Most of those who were asked agreed, a few did not."]),
+    "list": ("<ul><li>two eggs<li>one cup of milk</ul>", ["two eggs", "one cup of milk"]),
+    "table": ("<table><tr><td>2020<td>15<tr><td>2021<td>18</table>", ["2020", "15", "2021", "18"]),
+    "link": ("<p><a href=x>The full report is published here, in two volumes.</a></p>", ["The full report is published here, in two volumes."]),
+    "button": ("<p>Press the <button>Save</button> key, then wait.</p>", ["Press the Save key, then wait."]),
+    "lone button": ("<button>Share this story now please</button>", []),
+    "links": ("<ul><li><a href=a>Another story of the day</a><li><a href=b>One more of them</a></ul>", []),
+    "comments": ("<h2>Comments</h2><div><p>anna says: nice!</p><p>Reply</p></div>", []),
+    "replies": ("<h3>3 replies</h3><p>bob, 2 days ago</p><p>I do not agree with that.</p>", []),
+}
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div class=content>{}</div>", "<main><article>{}</article></main>", "{}"])
+@pytest.mark.parametrize("probe", PROBES)
+def test_short_parts_of_an_article_stay_and_furniture_goes(probe, around):
+    inner, want = PROBES[probe]
+    body = "".join(f"<p>{p}</p>" for p in LONG_PARTS) + inner
+    menu = "<nav><ul><li><a href=/>Home</a></ul></nav><ul><li><a href=/a>News</a><li><a href=/b>Sport</a></ul>"
+    page = f"<html><body>{menu}{around.format(body)}<footer><p>All rights reserved, 2024.</p></footer></body></html>"
+    assert main_text_of(page).split("\n") == [*LONG_PARTS, *want]
+
+
+def test_headings_beside_articles_and_second_articles_stay():
+    own = "".join(f"<p>{p}</p>" for p in LONG_PARTS)
+    assert main_text_of(f"<body><h1>The title</h1><article>{own}</article></body>").split("\n") == ["The title", *LONG_PARTS]
+    two = main_text_of(f"<body><article><h1>One</h1>{own}</article><article><h2>Two</h2>{own}</article><article><p>Read more, here.</p></article></body>")
+    assert two.split("\n") == ["One", *LONG_PARTS, "Two", *LONG_PARTS]
+    assert main_text_of(f"<body><h1>Site</h1><article><h1>One</h1>{own}</article></body>").split("\n") == ["One", *LONG_PARTS]
+
+
+def test_pages_with_lists_and_tables_keep_every_block():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(40):
+        blocks, body = [], ""
+        for k in range(rng.randrange(4, 12)):
+            kind = rng.choice("pppult")
+            parts = [f"{rng.choice(LONG_PARTS)} Part {k}."] if kind == "p" else [f"item {k} {i} {rng.choice('abcdef')}" for i in range(rng.randrange(2, 5))]
+            blocks += parts
+            if kind == "p":
+                body += f"<p>{parts[0]}</p>"
+            elif kind == "t":
+                body += "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in parts) + "</table>"
+            else:
+                body += "<ul>" + "".join(f"<li>{x}</li>" for x in parts) + "</ul>"
+        first = f"<p>{LONG_PARTS[0]}</p><p>{LONG_PARTS[1]}</p>"
+        page = f"<body><div class=menu><a href=/>Home</a> <a href=/x>More</a></div><article>{first}{body}</article><div class=sidebar><p>Some other words, of no use.</p></div></body>"
+        assert main_text_of(page).split("\n") == [*LONG_PARTS[:2], *blocks]
+
+
 def main_text_of(page):
     return html_text.main_text(page)
 

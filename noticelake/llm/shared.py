@@ -95,19 +95,17 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, ho
     """``many`` joined on ``key`` with ``one``, which has each key once; ``counts`` has the rows of each key as ``n``.
 
     A key that holds a HOT_SHARE-th of all counted rows or more is split by a hash of the row, and its row of
-    ``one`` is repeated for each part. There are at most HOT_SHARE such keys, so that list can be broadcast.
+    ``one`` is repeated for each part. There are at most HOT_SHARE such keys, so they are written into the plan.
     Null keys meet nothing.
     """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     part = max(1, int(total) // HOT_SHARE)
-    hot = counts.filter(F.col("n") >= max(2, part)).select(F.col(key).alias("__nl_hot"), F.ceil(F.col("n") / part).cast("int").alias("__nl_parts"))
-    hot = F.broadcast(stored(hot, "hot-keys"))
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]).cast("long"), F.col("__nl_parts").cast("long")).cast("int")
-    left = many.join(hot, F.col(key) == F.col("__nl_hot"), "left").select(
-        *[F.col(f"`{c}`") for c in many.columns], F.coalesce(salt, F.lit(0)).alias("__nl_salt")
-    )
-    right = one.join(hot, F.col(key) == F.col("__nl_hot"), "left").select(
-        *[F.col(f"`{c}`") for c in one.columns],
-        F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__nl_parts"), F.lit(1)) - 1)).alias("__nl_salt"),
-    )
+    hot = counts.filter(F.col("n") >= max(2, part)).select(F.col(key).alias("key"), F.ceil(F.col("n") / part).cast("int").alias("parts")).collect()
+    if not hot:
+        return many.join(one, key, how)
+    known = F.create_map(*[F.lit(x) for r in hot for x in (r.key, r.parts)])
+    parts = F.coalesce(F.try_element_at(known, F.col(key)), F.lit(1))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]), parts.cast("long")).cast("int")
+    left = many.withColumn("__nl_salt", salt)
+    right = one.withColumn("__nl_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     return left.join(right, [key, "__nl_salt"], how).drop("__nl_salt")

@@ -17,6 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticelake.llm.exact_dedup import MAYBE, cell_bitmaps, filter_bits, with_maybe
 from noticelake.llm.shared import pages, salted_join, shared_dir, stored, write_file
 
 # Fixed values of the file formats.
@@ -199,17 +200,22 @@ def read_record(frame: bytes) -> tuple[int | None, str, str, int | None, int, st
 def with_reference(rows: DataFrame, min_bytes: int) -> DataFrame:
     """``rows`` with refers_to: the largest page id of an equal payload, null for a row with that id itself.
 
-    Ids and digests alone are grouped; a payload moves at most once, to meet its own row of references,
-    which has each page id and digest once.
+    Ids and digests alone are grouped. A Bloom filter of the digests that occur more than once lets all other payloads pass where they
+    are; only those that may be repeated move, to meet their own row of references, which has each page id and digest once.
     """
-    long_enough = F.octet_length("html") >= min_bytes
-    slim = stored(rows.filter(long_enough).select("page_id", F.sha1("html").alias("digest")), "page-digests")
+    own = F.when(F.octet_length("html") >= min_bytes, F.sha1("html"))
+    slim = stored(rows.select("page_id", own.alias("digest")).filter("digest IS NOT NULL"), "page-digests")
     groups = stored(slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1"), "payloads")
     again = salted_join(slim, groups.select("digest", "refers_to"), "digest", groups.select("digest", "n"))
     revisits = again.filter("refers_to IS NOT NULL AND NOT page_id <=> refers_to").distinct()
-    own = F.when(long_enough, F.sha1("html"))
-    same = (F.col("page_id").eqNullSafe(F.col("__nl_page"))) & (own == F.col("digest"))
-    return rows.join(revisits.withColumnRenamed("page_id", "__nl_page"), same, "left").select("page_id", "url", "html", "refers_to")
+    revisits = revisits.select(F.col("page_id").alias("__nl_page"), F.col("digest").alias("__nl_digest"), "refers_to")
+    bits = filter_bits(groups.count())
+    repeated = stored(cell_bitmaps(groups, bits, "digest", 1), "repeated")
+    flagged = with_maybe(rows.withColumn("digest", own), repeated, bits, "digest")
+    columns = ["page_id", "url", "html", "refers_to"]
+    alone = flagged.filter(~F.col(MAYBE)).withColumn("refers_to", F.lit(None).cast("long"))
+    same = F.col("page_id").eqNullSafe(F.col("__nl_page")) & (F.col("digest") == F.col("__nl_digest"))
+    return alone.select(*columns).unionByName(flagged.filter(MAYBE).join(revisits, same, "left").select(*columns))
 
 
 def write_archives(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import zlib
 from collections import defaultdict
@@ -102,6 +103,19 @@ def test_exact_dedup(spark, texts):
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows(spark, "op6_exact_dedup")} == want
 
 
+def test_archives(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    by_payload = defaultdict(list)
+    for r in pages:
+        by_payload[r.html or ""].append(r.page_id)
+    want = {}
+    for r in pages:
+        raw, last = (r.html or "").encode(), max(by_payload[r.html or ""])
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        want[r.page_id] = (len(raw), digest, "response", None) if r.page_id == last else (len(raw), digest, "revisit", last)
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows(spark, "op7_warc")} == want
+
+
 def test_bpe(spark, texts):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for r in rows(spark, "op9_bpe"):

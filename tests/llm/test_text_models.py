@@ -178,6 +178,13 @@ def test_small_payloads_are_never_revisits(spark, tmp_path):
     assert {r.page_id: r.refers_to for r in warc.read_archives(spark, str(tmp_path), listed).collect()} == {1: None, 2: None, 3: 4, 4: None}
 
 
+def test_references_of_repeated_and_missing_ids(spark, tmp_path):
+    rows = [(5, "u", "A"), (5, "u", "B"), (9, "u", "A"), (7, "u", "B"), (None, "u", "A"), (None, "u", "C"), (11, "u", "Z"), (11, "u", "Z"), (1, "u", None)]
+    got = warc.with_reference(spark.createDataFrame(rows, "page_id long, url string, html string"), 0).collect()
+    assert sorted(map(repr, ((r.page_id, r.html, r.refers_to) for r in got))) == sorted(map(repr, [
+        (5, "A", 9), (5, "B", 7), (9, "A", None), (7, "B", None), (None, "A", 9), (None, "C", None), (11, "Z", None), (11, "Z", None), (1, None, None)]))
+
+
 def archive():
     return warc.to_archive([warc.to_record(i, "http://x/", prose(50, i).encode(), None) for i in range(40)])
 

@@ -5,23 +5,27 @@ or more as packed bitmaps. Pass two looks each row up: a row with a cell that wa
 text of its own and passes straight through. Only the rest, possibly repeated, are shuffled and
 grouped by the digest of their text.
 
-The filter has a fixed largest size, so what is broadcast is bounded. With more texts than it can
-tell apart it lets more rows through to the exact grouping, never fewer.
+A filter has a fixed largest size, so what is broadcast is bounded. More texts than it can tell apart are first laid out by
+ranges of their digests' hashes, without a shuffle, and each range has a filter of its own. A fuller filter lets more rows
+through to the exact grouping, never fewer.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from noticelake.llm.shared import documents, salted_join, stored, text_or_empty
+from noticelake.llm.shared import documents, salted_join, shared_dir, stored, text_or_empty
 
 #: Bits of one bitmap row, as bitmap_construct_agg makes them.
 BITMAP_BITS = 32768
 #: The filter has at most this many bitmaps: 64 MB to broadcast.
 MAX_BITMAPS = 16384
 CELLS_PER_TEXT = 16
-SEEDS = (1, 2)
+SEEDS, RANGE_SEED = (1, 2), 3
 DIGEST, MAYBE = "__nl_digest", "__nl_maybe"
 
 
@@ -64,12 +68,40 @@ def filter_bits(rows: int) -> int:
     return min(MAX_BITMAPS, wanted) * BITMAP_BITS
 
 
+def ranges_needed(rows: int) -> int:
+    """How many filters so many rows need."""
+    return max(1, -(-rows * CELLS_PER_TEXT // (BITMAP_BITS * MAX_BITMAPS)))
+
+
+def laid_out(rows: DataFrame, ranges: int, name: str) -> list[DataFrame]:
+    """``rows`` by range of the hash of their DIGEST: each task writes what it has to a folder of each range."""
+    if ranges == 1:
+        return [rows]
+    spark, at = rows.sparkSession, F.pmod(F.xxhash64(DIGEST, F.lit(RANGE_SEED)), F.lit(ranges)).cast("int")
+    path = shared_dir(spark, name)
+    rows.withColumn("__nl_range", at).write.partitionBy("__nl_range").parquet(path)
+    read = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("__nl_range", T.IntegerType())])).parquet(path)
+    return [read.filter(F.col("__nl_range") == k).drop("__nl_range") for k in range(ranges)]
+
+
 def digests_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The ids and text digests, written once so that both passes read them and not the texts."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text_or_empty(text_col), 256).alias(DIGEST))
     return stored(slim, "digests")
 
 
+def filters_of(slim: DataFrame, total: int) -> tuple[list[DataFrame], list[DataFrame], int]:
+    """The digests by range, the bitmaps of each range, and the bits of a filter."""
+    ranges = ranges_needed(total)
+    bits, parts = filter_bits(-(-total // ranges)), laid_out(slim, ranges, "digest-ranges")
+    return parts, [stored(cell_bitmaps(p, bits), "bitmaps") for p in parts], bits
+
+
+def all_flagged(parts: list[DataFrame], bitmaps: list[DataFrame], bits: int) -> DataFrame:
+    """The rows of all ranges with MAYBE."""
+    return reduce(lambda a, b: a.unionByName(b), [with_maybe(p, b, bits) for p, b in zip(parts, bitmaps, strict=True)])
+
+
 def groups_of(again: DataFrame) -> DataFrame:
     """Of each digest among the possibly repeated rows: the id that stays and how many rows share it."""
     return again.groupBy(DIGEST).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -84,8 +116,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read.
     """
     slim = digests_of(docs, id_col, text_col)
-    bits = filter_bits(slim.count())
-    flagged = with_maybe(slim, stored(cell_bitmaps(slim, bits), "bitmaps"), bits)
+    flagged = all_flagged(*filters_of(slim, slim.count()))
     single = flagged.filter(~F.col(MAYBE)).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), DIGEST
     )
@@ -109,10 +140,10 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the largest id and the text, one stays. Columns may have any names but those beginning __nl_.
     """
     slim = digests_of(docs, id_col, text_col)
-    bits = filter_bits(slim.count())
-    bitmaps = stored(cell_bitmaps(slim, bits), "bitmaps")
-    flagged = with_maybe(docs.withColumn(DIGEST, F.sha2(text_or_empty(text_col), 256)), bitmaps, bits)
-    again = with_maybe(slim, bitmaps, bits).filter(MAYBE)
+    parts, bitmaps, bits = filters_of(slim, slim.count())
+    whole = laid_out(docs.withColumn(DIGEST, F.sha2(text_or_empty(text_col), 256)), len(parts), "text-ranges")
+    flagged = all_flagged(whole, bitmaps, bits)
+    again = all_flagged(parts, bitmaps, bits).filter(MAYBE)
     keep = groups_of(again).select(F.col(DIGEST).alias("__nl_keep"), F.col("keep_id").alias("__nl_keep_id"))
     stays = (F.col(DIGEST) == F.col("__nl_keep")) & F.col(id_col).cast("long").eqNullSafe(F.col("__nl_keep_id"))
     repeated = flagged.filter(MAYBE).join(keep, stays, "left_semi").dropDuplicates([DIGEST])

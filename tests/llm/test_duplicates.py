@@ -34,6 +34,31 @@ def test_a_full_filter_only_lets_more_through(spark, monkeypatch):
     assert sorted(map(repr, exact_dedup.exact_groups(docs).collect())) == want
 
 
+def test_filters_by_range_give_the_same_groups(spark, monkeypatch):
+    docs = awkward(spark).unionByName(spark.range(60).select(
+        (F.col("id") + 100).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 40).cast("string")).alias("text"),
+        *[F.lit(None).cast(t).alias(c) for c, t in awkward(spark).dtypes[2:]]))
+    want, kept = sorted(map(repr, exact_dedup.exact_groups(docs).collect())), sorted(map(repr, exact_dedup.drop_exact(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "MAX_BITMAPS", 1)
+    monkeypatch.setattr(exact_dedup, "CELLS_PER_TEXT", 2000)
+    assert exact_dedup.ranges_needed(docs.count()) > 3
+    assert sorted(map(repr, exact_dedup.exact_groups(docs).collect())) == want
+    assert sorted(map(repr, exact_dedup.drop_exact(docs).collect())) == kept
+    assert exact_dedup.exact_groups(empty(spark)).count() == 0 and exact_dedup.drop_exact(empty(spark)).count() == 0
+
+
+def test_hot_keys_are_joined_like_others(spark):
+    from noticelake.llm.shared import salted_join
+
+    many = spark.createDataFrame([("hot", i) for i in range(300)] + [(f"k{i}", i) for i in range(300)] + [(None, 1), ("alone", 2)], "key string, v int")
+    one = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(200)], (None, 7)], "key string, w int")
+    counts = many.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        got = sorted(map(repr, salted_join(many, one, "key", counts, how).collect()))
+        assert got == sorted(map(repr, many.join(one, "key", how).collect()))
+        assert got == sorted(map(repr, salted_join(many, one, "key", counts.filter("n < 0"), how).collect()))
+
+
 def test_unique_rows_pass_the_filter(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.floor(F.col("id") / 2 * F.when(F.col("id") < 100, 1).otherwise(2))).alias("text"))
     slim = exact_dedup.digests_of(docs, "doc_id", "text")

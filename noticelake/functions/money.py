@@ -66,3 +66,31 @@ def scaled(value: Column, low: int, high: int, factors: tuple[int, ...] = (1, 10
     """The value in won if exactly one of the factors puts it in the plausible range."""
     fits = F.filter(F.array(*[value * f for f in factors]), lambda x: (x >= low) & (x <= high))
     return F.when(F.size(fits) == 1, fits[0])
+
+
+def common_area(shared: Column, other: Column) -> Column:
+    """What a home shares with others: both parts to two places; a part that is not stated counts as nothing, without both it is null."""
+    parts = [F.coalesce(p.cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)")) for p in (shared, other)]
+    return F.when(shared.isNotNull() | other.isNotNull(), (F.floor((parts[0] + parts[1]) * 100 + F.lit("0.5").cast("decimal(2,1)")) / 100).cast("double"))
+
+
+def price_rows(deposit: Column, rent: Column, most_deposit: Column, most_rent: Column, down: Column, interim: Column, balance: Column) -> Column:
+    """The rows of a table of prices as an array of (row, deposit, rent): the base, how it is paid, and the most.
+
+    Payments are those stated, where 0 is not stated. Where none is and there is no rent to be paid, a tenth is taken to be due
+    at once and nine tenths at the end. The most is shown only if it differs.
+    """
+
+    def row(name: str, d: Column, r: Column | None = None) -> Column:
+        return F.struct(F.lit(name).alias("row"), d.cast("long").alias("deposit"), (F.lit(None) if r is None else r).cast("long").alias("rent"))
+
+    stated = {"down": down, "interim": interim, "balance": balance}
+    any_stated = F.greatest(*[F.coalesce(c, F.lit(0)) for c in stated.values()]) > 0
+    guessed = ~any_stated & rent.isNull() & deposit.isNotNull()
+    differs = F.coalesce(most_deposit.isNotNull() & ~most_deposit.eqNullSafe(deposit), F.lit(False)) | (most_rent.isNotNull() & ~most_rent.eqNullSafe(rent))
+    rows = [
+        row("base", deposit, rent), *[F.when(c > 0, row(n, c)) for n, c in stated.items()],
+        F.when(guessed, row("down-est", half_up(deposit * 0.1))), F.when(guessed, row("balance-est", half_up(deposit * 0.9))),
+        F.when(differs, row("max", F.coalesce(most_deposit, deposit), F.coalesce(most_rent, rent))),
+    ]
+    return F.array_compact(F.array(*rows))

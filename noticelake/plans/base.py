@@ -23,7 +23,8 @@ NOTICE_SQL = """notice AS (
     'type' || CAST(o_orderkey % 6 AS VARCHAR) AS housing_type,
     CASE WHEN o_orderkey % 2 = 0 THEN 'public' ELSE 'private' END AS sector,
     o_custkey, CAST(NULL AS BIGINT) AS nothing,
-    CASE WHEN o_orderkey % 17 = 0 THEN o_orderkey - 1 END AS canonical_id
+    CASE WHEN o_orderkey % 17 = 0 THEN o_orderkey - 1 END AS canonical_id,
+    'province' || CAST(o_custkey % 5 AS VARCHAR) AS sido, CASE WHEN o_orderkey % 9 <> 0 THEN 'district' || CAST(o_orderkey % 4 AS VARCHAR) END AS sigungu
   FROM orders)"""
 
 CLOSED_SQL = f"""((status = 'F') OR (apply_end IS NOT NULL AND apply_end < DATE '{AS_OF}')
@@ -47,6 +48,8 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 2 == 0, "public").otherwise("private").alias("sector"),
         "o_custkey",
         F.when(key % 17 == 0, key - 1).alias("canonical_id"),
+        F.concat(F.lit("province"), (F.col("o_custkey") % 5).cast("string")).alias("sido"),
+        F.when(key % 9 != 0, F.concat(F.lit("district"), (key % 4).cast("string"))).alias("sigungu"),
     )
 
 

@@ -21,6 +21,8 @@ class Filters:
     sector: str | None = None
     agency: str | None = None
     housing_type: str | None = None
+    sido: str | None = None
+    sigungu: str | None = None
     max_deposit: int | None = None
     max_rent: int | None = None
     closing: bool = False
@@ -28,7 +30,9 @@ class Filters:
 
     def predicates(self) -> list[Column]:
         out = [F.col("canonical_id").isNull()]
-        for c in ("sector", "agency", "housing_type"):
+        # a district means something only within its province, as several provinces have one of the same name
+        named = ("sector", "agency", "housing_type", "sido", *(["sigungu"] if self.sido is not None else []))
+        for c in named:
             if getattr(self, c) is not None:
                 out.append(F.col(c) == getattr(self, c))
         if self.max_deposit is not None:
@@ -148,6 +152,15 @@ def filter_conjunctive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(notices(spark, sf_dir).filter(all_of(chosen.predicates())), *COLUMNS)
 
 
+@query(f"""WITH {NOTICE_SQL}, base AS (SELECT * FROM notice WHERE canonical_id IS NULL AND NOT {CLOSED_SQL})
+SELECT 'both' AS asked, id FROM base WHERE sido = 'province2' AND sigungu = 'district1' UNION ALL SELECT 'alone', id FROM base WHERE min_deposit <= 900 UNION ALL SELECT 'province', id FROM base WHERE sido = 'province4'""")
+def filter_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By province and district, by a district alone, which does not filter, with a cap, and by a province."""
+    chosen = {"both": Filters(sido="province2", sigungu="district1"), "alone": Filters(sigungu="district1", max_deposit=900), "province": Filters(sido="province4")}
+    rows = notices(spark, sf_dir)
+    return union_tagged({k: rows.filter(all_of(f.predicates())).select("id") for k, f in chosen.items()}, "asked")
+
+
 @query(f"WITH {NOTICE_SQL} SELECT id, {CLOSED_SQL} AS closed FROM notice")
 def closed_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notices(spark, sf_dir).select("id", closed().alias("closed"))

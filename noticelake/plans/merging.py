@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticelake.functions import money
 from noticelake.operators import merge
 from noticelake.operators.relational import SortKey
 from noticelake.plans.base import NOTICE_SQL, line_items, notices
@@ -87,16 +88,47 @@ def korean_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(key.order(), "p_partkey").limit(100)
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(CAST(l_extendedprice AS DECIMAL(18,4)) + CAST(l_tax AS DECIMAL(18,4)), 2)::DOUBLE AS common_area,
-CAST(l_quantity AS BIGINT) * 9000 AS low, CAST(l_quantity AS BIGINT) * 11000 AS high FROM lineitem""")
-def common_areas_and_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def exact(c: str) -> Column:
-        return F.col(c).cast("decimal(18,4)")
+AREA_SQL = "CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_extendedprice AS DECIMAL(18,4)) END AS a, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_tax AS DECIMAL(18,4)) END AS b"
 
-    q = F.col("l_quantity").cast("long")
-    return line_items(spark, sf_dir).select(
-        "l_orderkey", "l_linenumber", F.round(exact("l_extendedprice") + exact("l_tax"), 2).cast("double").alias("common_area"), (q * 9000).alias("low"), (q * 11000).alias("high")
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN CAST(round(coalesce(a, 0) + coalesce(b, 0), 2) AS DOUBLE) END AS common_area
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, {AREA_SQL} FROM lineitem)""")
+def common_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    area = money.common_area(F.when(n % 3 != 0, F.col("l_extendedprice")), F.when(n % 2 == 0, F.col("l_tax")))
+    return line_items(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", area.alias("common_area"))
+
+
+PRICE_SQL = """WITH n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS d, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS r,
+CASE WHEN o_orderkey % 4 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) + o_orderkey % 2 * 500 END AS md, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey + o_orderkey % 10 END AS mr,
+CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey % 7 * 10 END AS down, CASE WHEN o_orderkey % 12 = 0 THEN o_orderkey % 5 * 10 END AS interim, CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey % 11 * 10 END AS balance FROM orders),
+g AS (SELECT *, coalesce(down, 0) <= 0 AND coalesce(interim, 0) <= 0 AND coalesce(balance, 0) <= 0 AND r IS NULL AND d IS NOT NULL AS guessed FROM n)
+SELECT id, 'base' AS "row", d AS deposit, r AS rent FROM g UNION ALL SELECT id, 'down', down, NULL FROM g WHERE down > 0 UNION ALL SELECT id, 'interim', interim, NULL FROM g WHERE interim > 0
+UNION ALL SELECT id, 'balance', balance, NULL FROM g WHERE balance > 0 UNION ALL SELECT id, 'down-est', CAST(floor(d / 10.0 + 0.5) AS BIGINT), NULL FROM g WHERE guessed
+UNION ALL SELECT id, 'balance-est', CAST(floor(d * 9 / 10.0 + 0.5) AS BIGINT), NULL FROM g WHERE guessed
+UNION ALL SELECT id, 'max', coalesce(md, d), coalesce(mr, r) FROM g WHERE (md IS NOT NULL AND md IS DISTINCT FROM d) OR (mr IS NOT NULL AND mr IS DISTINCT FROM r)"""
+
+
+@query(PRICE_SQL)
+def price_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price rows of each notice: base, payments as stated or a tenth and nine tenths, and the most."""
+    k, d, c = F.col("o_orderkey"), F.floor("o_totalprice"), F.col("o_custkey")
+    rows = money.price_rows(
+        F.when(k % 13 != 0, d), F.when(k % 3 != 0, c), F.when(k % 4 != 0, d + k % 2 * 500), F.when(k % 5 == 0, c + k % 10),
+        F.when(k % 6 == 0, k % 7 * 10), F.when(k % 12 == 0, k % 5 * 10), F.when(k % 6 == 0, k % 11 * 10),
     )
+    return read_table(spark, sf_dir, "orders").select(k.alias("id"), F.inline(rows))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 OR l_linenumber % 2 = 0 THEN CAST(round(CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_extendedprice AS DECIMAL(18,4)) ELSE 0 END
+ + CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_tax AS DECIMAL(18,4)) ELSE 0 END, 2) AS DOUBLE) END AS common_area,
+CAST(floor(CAST(l_quantity AS BIGINT) * 10000 / 10.0 + 0.5) AS BIGINT) AS low, CAST(floor(CAST(l_quantity AS BIGINT) * 10000 * 9 / 10.0 + 0.5) AS BIGINT) AS high FROM lineitem""")
+def common_areas_and_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared areas, and the tenth and nine tenths that a deposit without stated payments is paid in."""
+    n, none = F.col("l_linenumber"), F.lit(None).cast("long")
+    area = money.common_area(F.when(n % 3 != 0, F.col("l_extendedprice")), F.when(n % 2 == 0, F.col("l_tax")))
+    paid = money.price_rows(F.col("l_quantity").cast("long") * 10_000, *[none] * 6)
+    return line_items(spark, sf_dir).select("l_orderkey", "l_linenumber", area.alias("common_area"), paid[1]["deposit"].alias("low"), paid[2]["deposit"].alias("high"))
 
 
 @query("""SELECT l_partkey AS complex, count(*) AS units, CAST(min(nullif(CAST(l_quantity AS BIGINT) - 1, 0)) AS BIGINT) AS min_deposit, CAST(min(CAST(l_quantity AS BIGINT) % 7) AS BIGINT) AS min_rent,

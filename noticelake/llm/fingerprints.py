@@ -72,6 +72,14 @@ def peeled_sql(first: str, second: str, cells: int) -> str:
         t -> CASE WHEN forall(t.cells, c -> c.c = 0 AND c.k = 0 AND c.h = 0) THEN t.n END)"""
 
 
+def tried_sql(first: str, second: str) -> Column:
+    """The difference of two arrays of digests by their fingerprints; null if these can't tell, as they surely can't where one text
+    has more digests than there are cells beyond the other's.
+    """
+    peeled = peeled_sql(f"{first}_sketch", f"{second}_sketch", FINGERPRINT_CELLS)
+    return F.expr(f"CASE WHEN abs(size({first}) - size({second})) <= {FINGERPRINT_CELLS} THEN {peeled} END")
+
+
 def difference_sql(first: str, second: str) -> str:
     """The size of the symmetric difference of two arrays of distinct digests, by sketches of growing size.
 
@@ -158,8 +166,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     tried = sketched.select(
         "at", "n_chars", "edited_sha256", "own_sketch", "edited_own_sketch", "own", "edited_own", "next_own",
         *[F.size(c).alias(f"n_{c}") for c in ("own", "edited_own", "next_own")],
-        F.expr(peeled_sql("own_sketch", "edited_own_sketch", FINGERPRINT_CELLS)).alias("edited_differs"),
-        F.expr(peeled_sql("own_sketch", "next_own_sketch", FINGERPRINT_CELLS)).alias("next_differs"),
+        *[tried_sql("own", c).alias(f"{c.split('_')[0]}_differs") for c in ("edited_own", "next_own")],
     )
     # all of a document's rows stay where the join by its id has put them: what follows needs no shuffle
     about = F.struct(

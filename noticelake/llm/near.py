@@ -10,12 +10,17 @@ of them; those it does not resemble go on with a hub of their own, and so on, un
 compared. What is left of a bucket after ROUNDS of this is full of texts that only share a part; those that are not
 connected yet are compared in blocks, and only what connects them leaves a block.
 
+A document that the hub resembles and one that it does not may still be alike. By the triangle inequality of Jaccard distances the hub
+is then not far from the second either: those in that ring that are not connected with the hub by other ways are compared with
+what resembles it, in blocks too. So of two similar texts that share a bucket no link is lost.
+
 All candidates are compared by their exact sets of shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -103,13 +108,61 @@ def only_these(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return with_maybe(rows, bitmaps, bits, "doc_id").filter(MAYBE).select(*rows.columns).join(ids, "doc_id", "left_semi")
 
 
-def similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs a, b whose sets of shingles have at least this Jaccard similarity. A document of many pairs should be b."""
+def ring(similarity: float) -> float:
+    """How like each other two texts are at least that both resemble a third."""
+    return 2 * similarity - 1
+
+
+def similar(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Those pairs a, b whose sets of shingles have at least this Jaccard similarity, sim. A document of many pairs should be b."""
     half = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     per_b = pairs.groupBy("b").agg(F.count("*").alias("n"))
     both = salted_join(half, sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b", per_b)
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    either = F.size("sa") + F.size("sb") - common
+    # counts are compared, not the quotient, so that the least is exact
+    return both.filter(common >= least * either).select("a", "b", common.cast("long").alias("common"), either.cast("long").alias("either"))
+
+
+def alike(known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b among those known that are similar."""
+    return known.filter(F.col("common") >= similarity * F.col("either")).select("a", "b")
+
+
+def connecting(first: np.ndarray, second: np.ndarray, ids: np.ndarray, roots: np.ndarray, seen: np.ndarray, shingled: list, similarity: float) -> list:
+    """Edges (larger, smaller id) between rows of ``first`` and of ``second`` that are similar and whose roots differ, as many as connect
+    them. Signatures and sizes rule out what can't be similar before any sets are compared.
+    """
+    enough = int(np.floor(HASHES * (similarity - DEVIATIONS * np.sqrt(similarity * (1 - similarity) / HASHES))))
+    sizes = np.array([len(x) for x in shingled])
+    group, found = roots.copy(), []  # whatever is connected has one number
+    same = len(first) == len(second) and bool((first == second).all())
+    for x in first.tolist():
+        rest = second[group[second] != group[x]]
+        if same:
+            rest = rest[ids[rest] < ids[x]]
+        rest = rest[np.minimum(sizes[rest], sizes[x]) >= similarity * np.maximum(sizes[rest], sizes[x])]
+        rest = rest[(seen[rest] == seen[x]).sum(axis=1) >= enough]
+        for y in rest.tolist():
+            if group[x] != group[y]:
+                common = len(np.intersect1d(shingled[x], shingled[y], assume_unique=True))
+                if common >= similarity * (sizes[x] + sizes[y] - common):
+                    group[group == group[y]] = group[x]
+                    found.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+    return found
+
+
+def columns_of(table) -> tuple:
+    """ids, roots, signatures and sorted shingles of a table of documents."""
+    ids, roots = (table[c].to_numpy() for c in ("doc_id", "root"))
+    seen = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(-1, HASHES)
+    return ids, roots, seen, [np.sort(x.values.to_numpy()) for x in table["s"].combine_chunks()]
+
+
+def as_edges(found: list):
+    import pyarrow as pa
+
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
 def left_over(members: DataFrame, marks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -118,7 +171,6 @@ def left_over(members: DataFrame, marks: DataFrame, sets: DataFrame, similarity:
     Blocks of documents are compared with each other, first by their signatures and then, if those allow the similarity, by
     their sets; of what is connected within a block only as many edges leave it as connect it.
     """
-    enough = int(np.floor(HASHES * (similarity - DEVIATIONS * np.sqrt(similarity * (1 - similarity) / HASHES))))
     sizes = members.groupBy("p").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("long").alias("blocks"))
     dealt = members.join(marks, "doc_id").join(sizes, "p").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     others = F.transform(
@@ -129,31 +181,50 @@ def left_over(members: DataFrame, marks: DataFrame, sets: DataFrame, similarity:
     spread = spread.select("p", "at.i", "at.j", "block", "doc_id", "root", "marks", "s")
 
     def compare(key, table):
-        import pyarrow as pa
-
         _, i, j = (k.as_py() for k in key)
-        block, ids, roots = (table[c].to_numpy() for c in ("block", "doc_id", "root"))
-        seen = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(-1, HASHES)
-        shingled = [np.sort(x.values.to_numpy()) for x in table["s"].combine_chunks()]
-        sizes = np.array([len(x) for x in shingled])
-        first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        group = roots.copy()  # whatever is connected has one number
-        found = []
-        for x in first.tolist():
-            rest = second[ids[second] < ids[x]] if i == j else second
-            rest = rest[np.minimum(sizes[rest], sizes[x]) >= similarity * np.maximum(sizes[rest], sizes[x])]
-            rest = rest[(seen[rest] == seen[x]).sum(axis=1) >= enough]
-            for y in rest.tolist():
-                if group[x] != group[y]:
-                    common = len(np.intersect1d(shingled[x], shingled[y], assume_unique=True))
-                    if common >= similarity * (sizes[x] + sizes[y] - common):
-                        group[group == group[y]] = group[x]
-                        found.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+        block = table["block"].to_numpy()
+        return as_edges(connecting(np.flatnonzero(block == i), np.flatnonzero(block == j), *columns_of(table), similarity))
 
     return spread.groupBy("p", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def across(spokes: list[DataFrame], known: DataFrame, roots: DataFrame, marks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """Edges a, b (a > b) between what a bucket's hub resembles and what it does not, where these are not connected; None if all are.
+
+    ``spokes`` has the members p, doc_id, hub of each round, ``known`` the similarities of pairs down to the ring, ``roots``
+    what documents are connected with so far.
+    """
+    every = reduce(lambda a, b: a.unionByName(b), [m.select(F.xxhash64("p", F.lit(k)).alias("p"), "doc_id", "hub") for k, m in enumerate(spokes)])
+    near = every.join(known.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), (F.col("common") / F.col("either")).alias("sim")), ["doc_id", "hub"])
+    near = stored(near, "ring")
+    beside = near.filter(F.col("sim") < similarity).join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    hubs = beside.groupBy("hub").agg(F.count("*").alias("n"))
+    hub_roots = hubs.join(roots, F.col("hub") == F.col("doc_id"), "left").select("hub", F.coalesce("root", "hub").alias("hub_root"))
+    apart = stored(salted_join(beside, hub_roots, "hub", hubs).filter("root <> hub_root").select("p", "doc_id", "root", "sim"), "apart")
+    if apart.isEmpty():
+        return None
+    # what is as like the hub as this is too far from all of those apart; a little is left for rounding
+    buckets = apart.groupBy("p").agg(F.max("sim").alias("closest"), F.ceil(F.count("*") / BLOCK_DOCS).cast("long").alias("blocks"))
+    within = near.filter(F.col("sim") >= similarity).join(buckets, "p").filter(F.col("sim") <= F.col("closest") + (1 - similarity) + 1e-9)
+    within = within.join(roots, "doc_id").select("p", "doc_id", "root", "blocks")
+    others = within.groupBy("p").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("long").alias("others"))
+
+    def placed(rows: DataFrame, own: str, count: str, other: str, across_: str, side: int) -> DataFrame:
+        own_block = F.pmod(F.xxhash64("doc_id"), F.col(count)).alias(own)
+        all_blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col(across_) - 1)).alias(other)
+        full = rows.join(marks, "doc_id").join(sets, "doc_id")
+        return full.select("p", own_block, F.lit(side).alias("side"), "doc_id", "root", "marks", "s", all_blocks)
+
+    left = placed(apart.select("p", "doc_id", "root").join(buckets, "p").join(others, "p"), "i", "blocks", "j", "others", 0)
+    right = placed(within.join(others, "p"), "j", "others", "i", "blocks", 1)
+
+    def compare(table):
+        side = table["side"].to_numpy()
+        return as_edges(connecting(np.flatnonzero(side == 0), np.flatnonzero(side == 1), *columns_of(table), similarity))
+
+    return left.unionByName(right.select(*left.columns)).groupBy("p", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_groups(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -184,24 +255,34 @@ def near_groups(
     close = stored(close, "close")
     needed = stored(weights.select("doc_id").union(close.select(F.explode(F.array("a", "b")))).distinct(), "needed-ids")
     sets = stored(shingle_sets(only_these(rows, needed), words), "shingles")
-    tried = stored(as_pairs(members).union(close).distinct(), "candidates-1")
-    edges = stored(similar(sets, tried, similarity), "similar-1")
+    tried, spokes = stored(as_pairs(members).union(close).distinct(), "candidates-1"), [members]
+    known = stored(similar(sets, tried, ring(similarity)), "similar-1")
+    marks = prints.select("doc_id", "marks")
+    more: list[DataFrame] = []
     for k in range(2, ROUNDS + 1):
-        members = with_hubs(unlike_hubs(members, edges), k)
+        members = with_hubs(unlike_hubs(members, alike(known, similarity)), k)
         if members.isEmpty():
             break
+        spokes.append(members)
         pairs = stored(as_pairs(members).join(tried, ["a", "b"], "left_anti"), f"candidates-{k}")
         if not pairs.isEmpty():
-            edges = stored(edges.union(similar(sets, pairs, similarity)), f"similar-{k}")
+            known = stored(known.union(similar(sets, pairs, ring(similarity))), f"similar-{k}")
             tried = tried.union(pairs)
     else:
-        roots = components(ordered(edges)).withColumnRenamed("node", "doc_id")
-        left = unlike_hubs(members, edges).join(roots, "doc_id", "left").select("doc_id", "p", F.coalesce("root", "doc_id").alias("root"))
-        edges = edges.union(stored(left_over(stored(left, "left"), prints.select("doc_id", "marks"), sets, similarity), "similar-left"))
-    roots = components(ordered(edges))
-    return prints.join(roots, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", F.coalesce("root", "doc_id").alias("group_id")
-    )
+        roots = connected(alike(known, similarity))
+        left = unlike_hubs(members, alike(known, similarity)).join(roots, "doc_id", "left").select("doc_id", "p", F.coalesce("root", "doc_id").alias("root"))
+        more.append(stored(left_over(stored(left, "left"), marks, sets, similarity), "similar-left"))
+    edges = reduce(lambda a, b: a.union(b), more, alike(known, similarity))
+    roots = connected(edges)
+    missed = across(spokes, known, roots, marks, sets, similarity)
+    if missed is not None:
+        roots = connected(edges.union(stored(missed, "similar-across")))
+    return prints.select("doc_id").join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """doc_id and root of the documents that edges a, b connect."""
+    return components(ordered(edges)).withColumnRenamed("node", "doc_id")
 
 
 def with_hubs(members: DataFrame, k: int) -> DataFrame:

@@ -138,3 +138,16 @@ def test_fingerprints(spark, texts):
         assert by_text.setdefault(t, r.fingerprint) == r.fingerprint and 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
         if edited == t:
             assert r.near_edited == 1 and r.edited_fingerprint == r.fingerprint
+
+
+def test_queries_with_sql_give_its_rows(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        cursor = con.execute(sql)
+        columns = [c[0] for c in cursor.description]
+        got = queries.queries()[name](spark, SF)
+        assert sorted(got.columns) == sorted(columns)
+        assert sorted(map(repr, cursor.fetchall())) == sorted(repr(tuple(r[c] for c in columns)) for r in got.collect())

@@ -26,7 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those of no language that the labelled rows show.
 
     Learns from the labelled documents of its own input; with no labels no document is rejected for
-    its language.
+    its language. A null text has no letter, so it goes, as do empty ones; null ids and labels are no reason to go. Rows that repeat
+    a text fare alike. An empty table stays empty; all columns stay as they are.
     """
     net = fit_languages(docs)
     if net is None:
@@ -37,17 +38,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest id of each text."""
+    """Keeps the row with the largest id of each text.
+
+    A null text counts as empty, a null id is smaller than all others. Of rows that repeat both the largest id and the text one
+    stays. An empty table stays empty.
+    """
     return drop_exact(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates, that with the smallest id.
+
+    Texts without words, null ones among them, and rows without an id say nothing of each other and all stay. Rows that repeat an id
+    are one document: all of them stay, or none. An empty table stays empty.
+    """
     return drop_near(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 1024 tokens, with their ids."""
+    """The pieces of all documents in windows of 1024 tokens, with their ids.
+
+    A null text is a single end id; a null id stays null; repeated rows are packed each for itself; an empty table gives no pieces.
+    """
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -94,3 +94,33 @@ def price_rows(deposit: Column, rent: Column, most_deposit: Column, most_rent: C
         F.when(differs, row("max", F.coalesce(most_deposit, deposit), F.coalesce(most_rent, rent))),
     ]
     return F.array_compact(F.array(*rows))
+
+
+#: Amounts that there may be, and below which a bare number is one of ten thousands.
+DEPOSITS, RENTS = (1_000_000, 1_500_000_000), (10_000, 20_000_000)
+SMALL_DEPOSIT, SMALL_RENT = 100_000, 10_000
+
+
+def in_won(value: Column, column_scale: Column, table_scale: Column, rent: bool = False) -> Column:
+    """An amount in won: by the unit of its column, else that of its table, else by its size.
+
+    If that is no amount that there may be, the unit is taken to be wrong, and the one factor that gives such an amount is used; with
+    several or none the amount is null.
+    """
+    least, most = RENTS if rent else DEPOSITS
+    guessed = F.when(value < (SMALL_RENT if rent else SMALL_DEPOSIT), 10_000).otherwise(1)
+    exact = value.cast("decimal(28,4)")
+    stated = F.floor(exact * F.coalesce(F.nullif(column_scale, F.lit(0)), F.nullif(table_scale, F.lit(0)), guessed).cast("decimal(9,0)")).cast("long")
+    return F.when(value.isNull(), F.lit(None).cast("long")).when(stated.between(least, most), stated).otherwise(F.floor(scaled(exact, least, most)).cast("long"))
+
+
+def area_band(label: Column) -> Column:
+    """(low, high) of a label such as over 60 and up to 85 square metres; high is null if there is none, all is null for other labels."""
+    marks = F.regexp_extract_all(label, F.lit(r"(\d+(?:\.\d+)?)\s*㎡\s*(?:이하|초과|미만|이상)"), F.lit(0))
+    upper = F.filter(marks, lambda m: m.rlike("이하|미만"))
+    lower = F.filter(marks, lambda m: m.rlike("초과|이상"))
+
+    def last(found: Column) -> Column:
+        return F.regexp_extract(F.try_element_at(found, F.lit(-1)), r"\d+(?:\.\d+)?", 0).cast("double")
+
+    return F.when(F.size(marks) > 0, F.struct(F.coalesce(last(lower), F.lit(0.0)).alias("low"), last(upper).alias("high")))

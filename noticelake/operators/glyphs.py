@@ -271,6 +271,34 @@ def reconciled(units: Column, online: Column, visit: Column, total: Column, rati
     return ok, ok & (holes == 1)
 
 
+def point_dropped(ratio: Column, derived: Column) -> Column:
+    """Whether a printed ratio is the derived one that lost its point, as 63 for 6.3; a nought at the end may be missing."""
+
+    def digits(x: Column) -> Column:
+        return F.rtrim(F.replace(F.format_string("%.1f", x), F.lit("."), F.lit("")), F.lit("0"))
+
+    return F.coalesce((derived > 0) & (ratio != derived) & (digits(ratio) == digits(derived)), F.lit(False))
+
+
+def competition(units: Column, online: Column, visit: Column, total: Column, ratio: Column) -> Column:
+    """(total, ratio, ok, repaired) of a row of applicants; null stands for a cell that is not there or can't be read.
+
+    If the sum is right, a ratio that differs from it by more than 0.15 gives way to what it comes to. A total that can't be read
+    follows from ratio and units. Without a right sum the row still holds if the printed ratio agrees with the printed total, be
+    it that only its point was lost.
+    """
+    sum_ok = F.coalesce(total == F.coalesce(online, F.lit(0)) + F.coalesce(visit, F.lit(0)), F.lit(False)) & online.isNotNull() & visit.isNotNull()
+    derived = F.when((units > 0) & total.isNotNull(), F.round(total / units, 1))
+    close = F.coalesce(F.abs(ratio - derived) <= 0.15, F.lit(False)) | point_dropped(ratio, derived)
+    by_sum = sum_ok & derived.isNotNull() & ~F.coalesce(F.abs(ratio - derived) <= 0.15, F.lit(False))
+    by_ratio = total.isNull() & (units > 0) & (ratio > 0)
+    made = F.when(F.coalesce(by_ratio, F.lit(False)), F.rint(ratio * units).cast("long"))
+    return F.struct(
+        F.coalesce(total, made).cast("long").alias("total"), F.when(by_sum, derived).otherwise(ratio).alias("ratio"),
+        (sum_ok | made.isNotNull() | close).alias("ok"), (by_sum | made.isNotNull()).alias("repaired"),
+    )
+
+
 def cut_parts(cut: Column) -> tuple[Column, Column]:
     """Rank and score of a cutline text such as '2순위 5점'."""
     rank = F.nullif(F.regexp_extract(cut, "([0-9]+)\\s*순위", 1), F.lit("")).try_cast("int")

@@ -120,3 +120,36 @@ def amendment_links(rows: DataFrame, cluster: str, node: str, amended: Column, c
     """node and amends: for the canonical row of a cluster, if it is an amendment and others are not, the latest such; else null."""
     original = rows.filter(~amended).groupBy(cluster).agg(F.max(node).alias("amends"))
     return rows.join(original, cluster, "left").select(node, F.when(canonical & amended, F.col("amends")).alias("amends"))
+
+
+def replace_by_post(children: DataFrame, ledger: DataFrame, batch: DataFrame, posts: DataFrame, keys: Sequence[str], order: str, now: Column, empty: str) -> tuple[DataFrame, DataFrame]:
+    """The children and the ledger after some posts were read again.
+
+    The children of the posts in ``posts`` are exactly those of the batch, of rows with one key the first by ``order``; those of other
+    posts stay. Their rows in the ledger get the number of rows, the time, and a note where there is no row. ``ledger`` has post, row_count,
+    parsed_at and note; the first of ``keys`` is the post.
+    """
+    post = keys[0]
+    own = first_wins(batch.join(posts.select(post).distinct(), post, "left_semi"), keys, order)
+    after = replace_children(children, own, posts, post)
+    counts = batch.groupBy(F.col(post).alias("__post")).agg(F.count("*").alias("__n"))
+    read = posts.select(F.col(post).alias("__post")).distinct().join(counts, "__post", "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    joined = ledger.join(read, F.col(post) == F.col("__post"), "left")
+    seen, n = F.col("__post").isNotNull(), F.col("__n")
+    new = {"row_count": n, "parsed_at": now, "note": F.when(n == 0, F.lit(empty))}
+    return after, joined.select(*[F.when(seen, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in ledger.columns])
+
+
+def write_matches(places: DataFrame, cache: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The places and the cache of matches after a geocoding run.
+
+    ``found`` has place, address (as it is normalised), lon, lat and precision. The cache has a row for each normalised address, so that
+    places spelt in several ways share one; of several matches of an address the one of the smallest place counts. Places that the run
+    missed keep what they had.
+    """
+    once = found.groupBy("address").agg(F.min_by(F.struct("lon", "lat", "precision"), "place").alias("m")).select("address", "m.*")
+    merged = upsert(cache, once, ["address"]).drop("inserted", "changed")
+    given = found.groupBy("place").agg(F.min_by(F.struct("lon", "lat", "precision"), "address").alias("__m"))
+    joined = places.join(given, "place", "left")
+    out = [F.when(F.col("__m").isNotNull(), F.col(f"__m.{c}")).otherwise(F.col(c)).alias(c) if c in ("lon", "lat", "precision") else F.col(c) for c in places.columns]
+    return joined.select(*out), merged

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from noticelake.registry import QUERIES, SQL
 
-MODULES = ["listing", "joining", "aggregating", "scalars", "storing", "deciding", "reconciling", "placing", "titling", "merging", "rebuilding", "fitting"]
+MODULES = ["listing", "joining", "aggregating", "scalars", "storing", "deciding", "reconciling", "placing", "titling", "merging", "rebuilding", "fitting", "completing"]
 for _name in MODULES:
     import_module(f"noticelake.plans.{_name}")
 

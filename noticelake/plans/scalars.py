@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.functions import dates, money, text
+from noticelake.functions.titles import let
 from noticelake.plans.base import AS_OF, NOTICE_SQL, as_of, notices, shown
 from noticelake.registry import query
 from noticelake.session import read_table
+from noticelake.streaming.page_views import is_robot
 
 NORM_SQL = r"lower(regexp_replace(coalesce({}, ''), '[\s\x{{00A0}}\x{{3000}}]+', '', 'g'))"
 
 
 @query(f"SELECT doc_id, length({NORM_SQL.format('text')}) AS n, md5({NORM_SQL.format('text')}) AS h FROM documents WHERE {NORM_SQL.format('text')} LIKE '%thea%'")
 def search_norm_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    norm = text.search_norm(F.col("text"))
-    rows = read_table(spark, sf_dir, "documents").filter(norm.contains("thea"))
-    return rows.select("doc_id", F.length(norm).alias("n"), F.md5(norm).alias("h"))
+    found = let(text.search_norm(F.col("text")), lambda t: F.when(t.contains("thea"), F.struct(F.length(t).alias("n"), F.md5(t).alias("h"))))
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", found.alias("f"))
+    return rows.filter("f IS NOT NULL").select("doc_id", "f.n", "f.h")
 
 
 @query(r"SELECT doc_id FROM documents WHERE text LIKE '%100\%%' ESCAPE '\' OR text LIKE '%a\_b%' ESCAPE '\'")
@@ -228,10 +230,21 @@ def visitor_top_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.orderBy(F.col("visitors").desc(), F.col("views").desc(), "event_type").limit(20)
 
 
-@query("""SELECT url AS agent, count(*) AS n FROM pages WHERE NOT regexp_matches(url, '(bot|crawl|spider|/de/)') AND length(url) >= 10 GROUP BY 1""")
+#: Parts of the agents that the pages' visitors are given, by the page's number.
+AGENTS = ("Mozilla/5.0 (X11; Linux)", "Mozilla/5.0 (compatible; Googlebot/2.1)", "NAVER(inapp; search; 1000)", "Yeti/1.1", "curl/8.5.0", "okhttp/4.12", "cubot note 20", "HeadlessChrome/120", "short", "Mozilla/5.0 (iPhone) bytespider")
+ROBOTS_SQL = r"bot\b|bot/|crawler|crawl(ing)?|spider|slurp|yeti|daumoa|mediapartners|adsbot|facebookexternalhit|embedly|scrapy|curl/|wget|python-requests|python-urllib|go-http-client|okhttp|java/|libwww|headless|phantomjs|puppeteer|playwright|selenium|webdriver|lighthouse|pingdom|uptimerobot|gtmetrix|semrush|ahrefs|mj12|dotbot|petalbot|bytespider|applebot|amazonbot|claudebot|gptbot|ccbot|perplexity"
+AGENT_SQL = "[" + ", ".join(f"'{a}'" for a in AGENTS) + "]"
+
+
+@query(f"""WITH a AS (SELECT page_id, CASE WHEN page_id % 13 <> 0 THEN {AGENT_SQL}[1 + page_id % 10] || CASE WHEN page_id % 10 = 8 THEN '' ELSE ' ' || regexp_extract(url, '^https?://([^/]+)', 1) END END AS agent FROM pages)
+SELECT agent, count(*) AS n FROM a WHERE length(trim(coalesce(agent, ''))) >= 10 AND NOT regexp_matches(lower(agent), '{ROBOTS_SQL}') GROUP BY 1""")
 def bot_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = ~F.col("url").rlike("(bot|crawl|spider|/de/)") & (F.length("url") >= 10)
-    return read_table(spark, sf_dir, "pages").filter(clean).groupBy(F.col("url").alias("agent")).agg(F.count("*").alias("n"))
+    """Agents of people: robots go by the whole list of their names, and by having hardly any."""
+    k, host = F.col("page_id"), F.regexp_extract("url", "^https?://([^/]+)", 1)
+    tail = F.when(k % 10 == 8, "").otherwise(F.concat(F.lit(" "), host))
+    agent = F.when(k % 13 != 0, F.concat(F.array(*map(F.lit, AGENTS))[(k % 10).cast("int")], tail))
+    rows = read_table(spark, sf_dir, "pages").select(agent.alias("agent")).filter(~is_robot(F.col("agent")))
+    return rows.groupBy("agent").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT user_id, date_diff('second', max(ts), TIMESTAMP '2024-02-01 00:00:00') // 60 AS age_minutes, (date_diff('second', max(ts), TIMESTAMP '2024-02-01 00:00:00') // 60 > 2 * 1440) AS late,

@@ -1,8 +1,8 @@
-"""Titles of notices and results, and names of estates: each order bears one of a list of real ones."""
+"""Titles of notices and results, and names of estates, composed for each order of what real ones are made of."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.functions import titles
@@ -41,15 +41,35 @@ def values_sql(rows: tuple, names: str) -> str:
     return f"(VALUES {', '.join(f'({i}, {c})' for i, c in enumerate(cells))}) AS sample(place, {names})"
 
 
-TITLE_SQL = f"title AS (SELECT o_orderkey AS id, kind, title FROM orders JOIN {values_sql(TITLES, 'kind, title')} ON o_orderkey % {len(TITLES)} = place)"
-NAME_SQL = f"named AS (SELECT o_orderkey AS id, name FROM orders JOIN {values_sql(NAMES, 'name')} ON o_orderkey % {len(NAMES)} = place)"
+#: What a title may open with and end in, and the first of its years.
+OPENINGS = ("", "", "[정정]", "(수정)", "[수정공고] ", "[2차] ")
+ENDINGS = ("", "", "_수정게시", " - 재공고", " (일정 정정)")
+FIRST_YEAR, YEARS = 2013, 14
+
+
+def texts_sql(values: tuple, at: str) -> str:
+    return "[" + ", ".join("'" + v + "'" for v in values) + f"][1 + CAST({at} AS INTEGER)]"
+
+
+TITLE_SQL = f"""title AS (SELECT o_orderkey AS id, kind, {texts_sql(OPENINGS, 'o_orderkey // 20 % 6')} || regexp_replace(title, '20[0-9][0-9]년', CAST({FIRST_YEAR} + o_orderkey // 600 % {YEARS} AS VARCHAR) || '년')
+  || {texts_sql(ENDINGS, 'o_orderkey // 120 % 5')} AS title FROM orders JOIN {values_sql(TITLES, 'kind, title')} ON o_orderkey % {len(TITLES)} = place)"""
+NAME_SQL = f"""named AS (SELECT o_orderkey AS id, name || ' ' || CAST(o_orderkey // {len(NAMES)} % 40 + 1 AS VARCHAR) || '단지' || CASE WHEN o_orderkey % 7 = 0 THEN ' (A' || CAST(o_orderkey // 200 % 9 AS VARCHAR) || ')' ELSE '' END AS name
+  FROM orders JOIN {values_sql(NAMES, 'name')} ON o_orderkey % {len(NAMES)} = place)"""
 
 
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, kind, title: one of TITLES for each order."""
-    sample = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("title")) for k, t in TITLES])
-    rows = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), sample[F.col("o_orderkey") % len(TITLES)].alias("s"))
-    return rows.select("id", "s.kind", "s.title")
+    """id, kind, title: one of TITLES with an opening, a year and an ending, each by another digit of the order's number."""
+    k = F.col("o_orderkey")
+
+    def digit(unit: int, base: int) -> Column:
+        return (F.floor(k / unit) % base).cast("int")
+
+    sample = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(t).alias("title")) for kind, t in TITLES])
+    rows = read_table(spark, sf_dir, "orders").select(k.alias("id"), k.alias("o_orderkey"), sample[digit(1, len(TITLES))].alias("s"))
+    year = F.concat((digit(600, YEARS) + FIRST_YEAR).cast("string"), F.lit("년"))
+    opening, ending = (F.array(*map(F.lit, v)) for v in (OPENINGS, ENDINGS))
+    title = F.concat(opening[digit(20, len(OPENINGS))], F.regexp_replace("s.title", F.lit("20[0-9][0-9]년"), year), ending[digit(120, len(ENDINGS))])
+    return rows.select("id", "s.kind", title.alias("title"))
 
 
 @query(f"""WITH {TITLE_SQL}, n AS (SELECT id, kind, translate(regexp_replace(title, '[\\s·ㆍ.\\-–—_''"‧]', '', 'g'), 'ⅡⅠ', '21') AS t FROM title),
@@ -123,8 +143,12 @@ def recruited_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titled(spark, sf_dir).select("id", F.array_join(titles.recruited_types(F.col("title"), F.col("kind")), ",").alias("codes"))
 
 
-@query(rf"""WITH {TITLE_SQL} SELECT id, regexp_replace(CASE WHEN title LIKE '[정정]%' THEN substr(title, 5) WHEN ends_with(title, '_수정게시') THEN replace(title, '_수정게시', '') ELSE title END,
-  '[\s.·・]', '', 'g') AS title_key, (title LIKE '[정정]%' OR ends_with(title, '_수정게시')) AS amended FROM title""")
+@query(rf"""WITH {TITLE_SQL}, a AS (SELECT id, trim(title) AS t, regexp_extract(trim(title), '^[(\[（][^)\]）]*[)\]）]') AS m FROM title),
+b AS (SELECT id, t AS whole, CASE WHEN regexp_matches(m, '수정|정정|변경|재공고') AND length(trim(substr(t, length(m) + 1))) >= 10 THEN trim(substr(t, length(m) + 1)) ELSE t END AS t FROM a),
+c AS (SELECT *, regexp_extract(t, '[(\[（][^)\]）]*[)\]）]$') AS m FROM b),
+d AS (SELECT id, whole, CASE WHEN regexp_matches(m, '수정|정정|변경|재공고') AND length(trim(left(t, length(t) - length(m)))) >= 10 THEN trim(left(t, length(t) - length(m))) ELSE t END AS t FROM c),
+e AS (SELECT id, whole, CASE WHEN length(trim(regexp_replace(t, '[_-]\s*(수정|정정|변경|재공고)[^\s_-]*$', ''))) >= 10 THEN trim(regexp_replace(t, '[_-]\s*(수정|정정|변경|재공고)[^\s_-]*$', '')) ELSE t END AS t FROM d)
+SELECT id, regexp_replace(t, '[\s.·・]', '', 'g') AS title_key, t <> whole AS amended FROM e""")
 def amended_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("title")
     return titled(spark, sf_dir).select("id", titles.title_key(t).alias("title_key"), titles.is_amendment(t).alias("amended"))
@@ -136,7 +160,9 @@ replace(replace(replace(replace(replace(replace(upper(regexp_replace(regexp_repl
  '역세권청년주택', ''), '아파트', ''), '오피스텔', '') AS key_e,
 replace(replace(replace(upper(regexp_replace(bare, '[\s\-_\[\]·]', '', 'g')), 'VIEW', '뷰'), '이편한세상', 'E편한세상'), '아파트', '') AS key_f FROM p""")
 def name_keys_a_to_f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.array(*map(F.lit, NAMES))[F.col("o_orderkey") % len(NAMES)]
+    k = F.col("o_orderkey")
+    block = F.when(k % 7 == 0, F.concat(F.lit(" (A"), (F.floor(k / 200) % 9).cast("string"), F.lit(")"))).otherwise("")
+    name = F.concat(F.array(*map(F.lit, NAMES))[k % len(NAMES)], F.lit(" "), (F.floor(k / len(NAMES)) % 40 + 1).cast("string"), F.lit("단지"), block)
     rows = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), name.alias("name"))
     n = F.col("name")
     return rows.select(
@@ -144,11 +170,15 @@ def name_keys_a_to_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CELLS = ("69,000", "9.880", "37,4", "75.4", "69,000,00", "￦60,000,000원", "-", "미정", "12,345,678", "1,5")
-
-
-@query(f"""SELECT o_orderkey AS id, CAST(CASE o_orderkey % 10 WHEN 0 THEN 69000 WHEN 1 THEN 9880 WHEN 2 THEN 37.4 WHEN 3 THEN 75.4 WHEN 5 THEN 60000000
-  WHEN 8 THEN 12345678 WHEN 9 THEN 1.5 END AS DOUBLE) AS amount FROM orders""")
+@query("""WITH c AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) AS v, o_orderkey % 8 AS kind FROM orders)
+SELECT id, CAST(CASE kind WHEN 0 THEN v WHEN 1 THEN v WHEN 2 THEN v / 10.0 WHEN 3 THEN v WHEN 4 THEN CASE WHEN v < 1000 THEN v + 0.5 END WHEN 5 THEN v / 100.0 WHEN 7 THEN v END AS DOUBLE) AS amount FROM c""")
 def money_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = F.array(*map(F.lit, CELLS))[F.col("o_orderkey") % len(CELLS)]
-    return read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), titles.money_cell(cell).cast("double").alias("amount"))
+    """Cells of price tables: with commas, with points typed for them, a comma for a point, a currency's signs, torn groups, nothing."""
+    k, v = F.col("o_orderkey"), F.floor("o_totalprice").cast("long")
+    commas = F.format_number(v, 0)
+    forms = [
+        commas, F.replace(commas, F.lit(","), F.lit(".")), F.concat(F.floor(v / 10).cast("string"), F.lit(","), (v % 10).cast("string")), F.concat(F.lit("￦ "), commas, F.lit("원")),
+        F.concat(commas, F.lit(",5")), F.concat(F.floor(v / 100).cast("string"), F.lit("."), F.lpad((v % 100).cast("string"), 2, "0")), F.lit("미정"), F.concat(F.lit(" "), v.cast("string")),
+    ]
+    cell = F.coalesce(*[F.when(k % len(forms) == i, f) for i, f in enumerate(forms)])
+    return read_table(spark, sf_dir, "orders").select(k.alias("id"), titles.money_cell(cell).cast("double").alias("amount"))

@@ -67,12 +67,15 @@ def reached(items: list[tuple[int, int]], budget: int) -> dict[int, int]:
     return chosen
 
 
-def fitted(histogram: list[tuple[int, int]], budget: int) -> dict[int, int]:
+def fitted(histogram: list[tuple[int, int]], budget: int, spare: bool = False) -> dict[int, int]:
     """How many documents of each length to take so that their words come to ``budget``; (length, n) are all there are.
 
+    ``spare``: all documents are taken once already, so that some may be given back; their number is then negative.
+
     Walking up the lengths, each gives its even share, with what rounding left over from those below. The words are then off by
     no more than the longest document; the longest go, and others come in, until what is lacking is
-    small. Documents of about the usual length give back a room of ROOM such, and the programme fills that from all not taken.
+    small. Documents of about the usual length give back a room of ROOM such, and the programme fills that from all not taken. If it
+    can't be filled exactly, the shortest give back as much too.
     """
     histogram = sorted((length, n) for length, n in histogram if length > 0 and n > 0)
     total, docs = sum(length * n for length, n in histogram), sum(n for _, n in histogram)
@@ -93,13 +96,24 @@ def fitted(histogram: list[tuple[int, int]], budget: int) -> dict[int, int]:
         chosen[length] += more
         lacking -= more * length
     around = sorted(histogram, key=lambda x: (x[0] > usual, abs(x[0] - usual)))
-    for length, _ in around:
-        back = min(chosen[length], max(0, -((lacking - ROOM * usual) // length)))
-        chosen[length] -= back
-        lacking += back * length
-    for length, n in reached([(length, n - chosen[length]) for length, n in around], lacking).items():
-        chosen[length] += n
-    return {length: n for length, n in chosen.items() if n}
+
+    def filled(orders: list[list[tuple[int, int]]]) -> tuple[int, dict[int, int]]:
+        """What is missed, and the choice, after documents were given back in these orders, a room for each, and the room was filled."""
+        own, room = dict(chosen), lacking
+        for k, order in enumerate(orders, 1):
+            for length, n in order:
+                back = min(own[length] + n * spare, max(0, -((room - k * ROOM * usual) // length)))
+                own[length] -= back
+                room += back * length
+        for length, n in reached([(length, n - own[length]) for length, n in around], room).items():
+            own[length] += n
+            room -= n * length
+        return abs(room), own
+
+    missed, best = filled([around])
+    if missed:  # documents of about the usual length can't make up a difference that only short ones have
+        missed, best = min((missed, best), filled([around, histogram]), key=lambda x: x[0])
+    return {length: n for length, n in best.items() if n}
 
 
 def numbered(rows: DataFrame, order: list) -> DataFrame:
@@ -177,9 +191,12 @@ def mix(
 
         size, target = table["source_size"][0].as_py(), table["target"][0].as_py()
         whole, budget = divmod(min(int(target + 0.5), most * size), size) if size else (0, 0)
-        chosen = fitted(list(zip(table["size"].to_pylist(), table["n"].to_pylist(), strict=True)), budget)
-        table = table.append_column("whole", pa.array([whole] * len(table), pa.int64()))
-        return table.append_column("more", pa.array([chosen.get(a, 0) for a in table["size"].to_pylist()], pa.int64()))
+        lengths = list(zip(table["size"].to_pylist(), table["n"].to_pylist(), strict=True))
+        chosen = fitted(lengths, budget, whole > 0)
+        more = [chosen.get(a, 0) for a, _ in lengths]
+        # what gives back some is taken whole once less, and then but for those
+        table = table.append_column("whole", pa.array([whole - (m < 0) for m in more], pa.int64()))
+        return table.append_column("more", pa.array([m + n * (m < 0) for m, (_, n) in zip(more, lengths, strict=True)], pa.int64()))
 
     known = targets.select(source_key("source").alias("key"), "source_size", "target")
     counted = lengths.select(source_key("source").alias("key"), "size", "n").join(known, "key")

@@ -144,6 +144,14 @@ def test_mix_meets_its_targets_to_the_word(spark):
     assert max(off.values()) <= 0.5
 
 
+def test_a_small_rest_is_met_by_giving_back(spark):
+    assert sum(a * n for a, n in mixing.fitted([(50, 40), (70, 9), (33, 20)], 7, spare=True).items()) == 7
+    assert all(-n <= mixing.fitted([(50, 2), (33, 2)], 1, spare=True).get(a, 0) <= n for a, n in [(50, 2), (33, 2)])
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source", "text")
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
+    assert max(check_mix(rows, mixing.mix(docs).collect()).values()) <= 0.5
+
+
 def test_mix_of_a_hot_length_and_a_small_source(spark):
     rows = [(k, "hot", "one two three") for k in range(3000)] + [(5000 + k, "tiny", "a b") for k in range(3)] + [(6000, None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")

@@ -85,14 +85,15 @@ def supply_into_estates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def parcel_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as notices linked to parts as estates, by parcel, kind, name and number of homes."""
+    """Orders as notices about the first of their parts, linked to parts as estates by parcel, kind, name and number of homes."""
     part = read_table(spark, sf_dir, "part")
     parcel = F.concat(F.lit("p"), (F.col("p_partkey") % 700).cast("string"))
     estates = part.select(
         F.col("p_partkey").alias("code"), parcel.alias("parcel"), F.col("p_type").alias("kind"), F.concat_ws(" ", "p_name", F.col("p_partkey") % 4).alias("name"), F.col("p_size").cast("long").alias("homes")
     )
-    seen = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 800).alias("k"), (F.col("o_totalprice") % 60).cast("long").alias("homes"), (F.col("o_orderkey") % 2000).alias("p_partkey"))
-    notices = seen.join(part, "p_partkey").select(
+    seen = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 800).alias("k"), (F.col("o_totalprice") % 60).cast("long").alias("homes"))
+    about = line_items(spark, sf_dir).groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_partkey").alias("p_partkey"))
+    notices = seen.join(about, "id").join(part, "p_partkey").select(
         "id", F.concat(F.lit("p"), F.col("k").cast("string")).alias("parcel"), F.col("p_type").alias("kind"), F.concat_ws(" ", "p_name", F.col("p_partkey") % 3).alias("name"), "homes"
     )
     return matching.parcel_links(notices, estates)

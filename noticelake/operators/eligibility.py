@@ -12,6 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticelake.operators.relational import small
+
 SINGLE, MARRIED, ENGAGED, ANY = "미혼", "기혼", "예비신혼부부", "무관"
 SELF, SELF_OR_HOME = "본인", ("세대주분기", "청년특공_분기")
 WITH_PARENTS = "본인+부모"
@@ -126,9 +128,9 @@ def with_income_limits(pairs: DataFrame, standard: DataFrame) -> DataFrame:
     def bonus(household: Column) -> Column:
         return F.when(F.col("income_small_bonus"), small_bonus(household)).otherwise(0)
 
-    table = standard.groupBy().agg(
+    table = small(standard).groupBy().agg(
         F.map_from_entries(F.collect_list(F.struct(F.struct(F.col("household").cast("int"), F.col("pct").cast("int")), F.col("amount").cast("double")))).alias("__known")
-    )  # a few rows by nature
+    )  # one row of a table whose size is checked
 
     def limit(household: Column, pct: Column) -> Column:
         size = F.least(F.greatest(household, F.lit(1)), F.lit(LARGEST_HOUSEHOLD)).cast("int")

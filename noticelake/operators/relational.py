@@ -22,6 +22,17 @@ def desc(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).desc_nulls_first()
 
 
+#: Rows of a table, at most, that is sent to every task.
+MOST_SMALL = 10_000
+
+
+def small(df: DataFrame, most: int = MOST_SMALL) -> DataFrame:
+    """``df`` marked to be sent to every task, after its rows were counted; more than ``most`` are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a table of more than {most} rows is not sent to every task")
+    return F.broadcast(df)
+
+
 def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given order."""
     return top_k_per_group(df, keys, order, 1)

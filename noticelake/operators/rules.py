@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.operators.relational import distinct_on
+from noticelake.operators.relational import distinct_on, small
 
 
 def at_most(value: Column, limit: Column) -> Column:
@@ -40,7 +40,7 @@ def income_limits(profiles: DataFrame, standard: DataFrame, household: str, pct:
     rows = profiles.withColumn("__size", size).withColumn("__pct", pct + extra)
     stated = standard.select(F.col("household").alias("__size"), F.col("pct").alias("__pct"), F.col("amount").alias("__stated"))
     base = standard.filter("pct = 100").select(F.col("household").alias("__size"), F.col("amount").alias("__base"))
-    joined = rows.join(F.broadcast(stated), ["__size", "__pct"], "left").join(F.broadcast(base), "__size", "left")
+    joined = rows.join(small(stated), ["__size", "__pct"], "left").join(small(base), "__size", "left")
     limit = F.coalesce("__stated", F.floor(F.col("__base") * F.col("__pct") / 100 + 0.5).cast("long"))
     return joined.withColumn("income_limit", limit).drop("__size", "__pct", "__stated", "__base")
 
@@ -80,9 +80,9 @@ def standing(rank: Column, score: Column, cut_rank: Column, cut_score: Column) -
 def first_fitting(profiles: DataFrame, ranks: DataFrame, key: str, fits: Column, order: str) -> DataFrame:
     """The first rank row, by ``order``, that each profile satisfies; profiles without one are absent.
 
-    ``ranks`` is a rule table of a few rows and is sent to every task.
+    ``ranks`` is a rule table, which is sent to every task once its size has been checked.
     """
-    pairs = profiles.join(F.broadcast(ranks), fits)
+    pairs = profiles.join(small(ranks), fits)
     return distinct_on(pairs, [key], [F.col(order)])
 
 

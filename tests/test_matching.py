@@ -131,3 +131,11 @@ def test_lone_near_counts_what_is_within_reach(spark):
 def test_children_are_kept_whole_where_none_passes(spark):
     rows = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 3, False), (2, 4, None), (None, 5, False)], "p int, c int, good boolean")
     assert sorted(r.c for r in linking.keep_all_if_none(rows, "p", F.col("good")).collect()) == [1, 3, 4, 5]
+
+
+def test_only_small_tables_are_sent_to_every_task(spark):
+    from noticelake.operators.relational import small
+
+    assert small(spark.range(5), 5).count() == 5
+    with pytest.raises(ValueError, match="more than 5 rows"):
+        small(spark.range(6), 5)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -22,28 +23,36 @@ def shared_key_edges(df: DataFrame, node: str, key: Column) -> DataFrame:
 def clusters(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     """node and cluster, the smallest node reached; isolated nodes are their own cluster.
 
-    Smallest labels spread along the edges and are written down after each round until none changes.
+    Large and small stars in turn, written down after each round, until no edge changes: first every larger neighbour of a node, then
+    the node and its smaller ones, are linked to the smallest of them. Long chains shrink to stars in few rounds.
     """
-    both = edges.union(edges.select("b", "a")).toDF("a", "b").distinct()
-    labels = nodes.select(F.col(node).alias("a"), F.col(node).alias("cluster"))
-    linked = _saved(both)
-    labels = _saved(labels)
+    known = edges.toDF("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    linked, before = _saved(known.distinct()), None
     while True:
-        heard = linked.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("cluster").alias("heard"))
-        stepped = labels.join(heard, "a", "left").select("a", F.least("cluster", "heard").alias("cluster"), F.col("cluster").alias("was"))
-        # the label of one's label, so that long chains take few rounds
-        hop = labels.select(F.col("a").alias("cluster"), F.col("cluster").alias("hop"))
-        moved = stepped.join(hop, "cluster", "left").select("a", F.least("cluster", "hop").alias("cluster"), "was")
-        moved = _saved(moved)
-        labels = moved.select("a", "cluster")
-        if moved.filter("cluster <> was").isEmpty():
-            return labels.withColumnRenamed("a", node)
+        now = linked.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+        both = linked.union(linked.select("b", "a"))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low.hint("merge"), "a").select("m", F.explode(F.array("a", "b")).alias("a")).select("a", F.col("m").alias("b"))
+        linked = _saved(small.filter("a <> b").distinct())
+    roots = linked.groupBy(F.col("a").alias(node)).agg(F.min("b").alias("cluster"))
+    return nodes.select(node).join(roots.hint("merge"), node, "left").withColumn("cluster", F.coalesce("cluster", node))
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """Cut from its lineage in the folder of spark.checkpoint.dir, or a local one where Spark runs locally and that is unset."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written to and read from the folder of spark.checkpoint.dir, or a local one where Spark runs locally and that is unset.
+
+    A checkpoint keeps the estimated size of its plan, a product over all joins, whose number of digits triples with each round until the
+    driver can't hold it; files have their own size.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/linking-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def canonical_pick(df: DataFrame, cluster: str, order: Sequence[Column], node: str) -> DataFrame:

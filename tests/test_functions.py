@@ -80,6 +80,19 @@ def test_clusters_are_the_components(spark):
     assert got == {**{i: 0 for i in range(8)}, 8: 8, 9: 8, 10: 10, 11: 11}
 
 
+def test_clusters_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    order = [(i * 37) % 101 for i in range(101)]
+    nodes = spark.createDataFrame([(i,) for i in order], "n long")
+    edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+    rounds, saved = [], linking._saved
+    monkeypatch.setattr(linking, "_saved", lambda df: rounds.append(saved(df)) or rounds[-1])
+    got = linking.clusters(nodes, edges, "n")
+    assert {r.n: r.cluster for r in got.collect()} == dict.fromkeys(range(101), 0)
+    assert len(rounds) < 12
+    sizes = [int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in rounds]
+    assert max(sizes) < 10**9  # a product over the joins of all rounds had a number of digits that tripled each time
+
+
 def test_quarantine_names_the_reasons(spark):
     df = spark.createDataFrame([(1,), (0,), (None,)], "x int")
     good, bad = quality.quarantine(df, {"zero": F.col("x") == 0})

@@ -139,3 +139,14 @@ def test_only_small_tables_are_sent_to_every_task(spark):
     assert small(spark.range(5), 5).count() == 5
     with pytest.raises(ValueError, match="more than 5 rows"):
         small(spark.range(6), 5)
+
+
+def test_rows_without_a_link_stay_out_of_the_join(spark, monkeypatch):
+    from noticelake.plans.joining import canonical_self_join
+
+    frame, asked = type(spark.range(0)), []
+    join = frame.join
+    monkeypatch.setattr(frame, "join", lambda self, *a, **b: asked.append(self) or join(self, *a, **b))
+    rows = canonical_self_join(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert all(df.filter("canonical_id IS NULL").isEmpty() for df in asked)

@@ -10,6 +10,8 @@ parents_homeless, disabled_self, disabled_family, homeless.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -266,20 +268,27 @@ def prior_for_estate(results: DataFrame, asked: DataFrame, key: str) -> DataFram
     kind, class, rank and priority. Happy homes look at the applicant's class alone, at the bracket that the profile is in, and say
     nothing where the class has no rows; other kinds at the bracket of the rank. Subtotals are what all applied for. Lines without units
     or applicants do not count. Profiles without any are absent.
+
+    Results are summed up by what is compared, and each kind of profile is asked once, so no profile meets single rows.
     """
-    pairs = asked.join(results, ["notice", key])
+    compared = ["kind", "class", "rank", "priority"]
+    counted = results.filter("units > 0 AND applicants IS NOT NULL").groupBy("notice", key, "bracket", "tenant_class").agg(F.sum("units").alias("units"), F.sum("applicants").alias("applicants"))
+    known = asked.dropna(subset=["notice", key])
+    pairs = known.select("notice", key, *compared).distinct().join(counted, ["notice", key])
     happy = (F.col("kind") == "happy") & F.col("class").isNotNull()
     of_class = F.coalesce(class_key(F.col("tenant_class")) == class_key(F.col("class")), F.lit(False)) & F.col("tenant_class").isNotNull()
     bracket = F.regexp_replace("bracket", r"\s", "")
     subtotal = F.col("bracket") == "소계"
     mine_happy = F.col("bracket") == F.when(F.col("priority"), "우선").otherwise("일반")
     mine_ranked = F.coalesce(bracket.endswith(F.concat(F.col("rank").cast("string"), F.lit("순위"))), F.lit(False)) & ~subtotal & (F.col("kind") != "happy")
-    kept = pairs.filter(~happy | of_class).filter("units > 0 AND applicants IS NOT NULL")
+    kept = pairs.filter(~happy | of_class)
     mine = F.when(happy, mine_happy).otherwise(mine_ranked)
 
     def sums(which: Column, name: str) -> list[Column]:
         return [F.sum(F.when(which, F.col(c))).alias(f"{name}_{c}") for c in ("units", "applicants")]
 
-    out = kept.groupBy("id").agg(*sums(mine, "mine"), *sums(subtotal, "all")).filter("mine_units IS NOT NULL OR all_units IS NOT NULL")
+    found = kept.groupBy("notice", key, *compared).agg(*sums(mine, "mine"), *sums(subtotal, "all")).filter("mine_units IS NOT NULL OR all_units IS NOT NULL")
+    same = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ["notice", key, *compared]])
+    out = known.alias("a").join(found.alias("f"), same).groupBy("a.id").agg(*[F.sum(f"f.{w}_{c}").alias(f"{w}_{c}") for w in ("mine", "all") for c in ("units", "applicants")])
     ratios = [(F.floor(F.col(f"{n}_applicants") / F.col(f"{n}_units") * 10 + 0.5) / 10).alias(f"{n}_ratio") for n in ("mine", "all")]
     return out.select("*", *ratios)

@@ -132,3 +132,14 @@ def test_posts_read_again_and_matches_by_address(spark):
     cache = spark.createDataFrame([("x", 9.0, 9.0, "dong"), ("y", 3.0, 3.0, "road")], "address string, lon double, lat double, precision string")
     now, kept = merge.write_matches(places, cache, found)
     assert {r.place: r.lon for r in now.collect()} == {1: 1.0, 2: 5.0, 3: 1.0} and {r.address: (r.lon, r.precision) for r in kept.collect()} == {"x": (1.0, "road"), "y": (3.0, "road")}
+
+
+def test_earlier_results_are_summed_before_profiles_meet_them(spark, monkeypatch):
+    results = spark.createDataFrame([(1, "e", ("소계", "1순위")[i % 2], None, 2, i) for i in range(400)], "notice int, estate string, bracket string, tenant_class string, units long, applicants long")
+    asked = spark.createDataFrame([(i, 1, "e", "youth", None, 1, False) for i in range(300)], "id long, notice int, estate string, kind string, class string, rank long, priority boolean")
+    frame, joins = type(asked), []
+    join = frame.join
+    monkeypatch.setattr(frame, "join", lambda self, *a, **b: joins.append(join(self, *a, **b)) or joins[-1])
+    rows = fitting.prior_for_estate(results, asked, "estate").collect()
+    assert len(rows) == 300 and {tuple(r)[1:] for r in rows} == {(400, 40000, 400, 39800, 100.0, 99.5)}
+    assert max(j.count() for j in joins) <= 300

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.operators.relational import distinct_on
+from noticelake.operators.relational import distinct_on, tasks_for
 
 
 def upsert(
@@ -130,8 +130,11 @@ def replace_by_post(children: DataFrame, ledger: DataFrame, batch: DataFrame, po
     parsed_at and note; the first of ``keys`` is the post.
     """
     post = keys[0]
-    own = first_wins(batch.join(posts.select(post).distinct(), post, "left_semi"), keys, order)
-    after = replace_children(children, own, posts, post)
+    # all are dealt by post into the same tasks, as many as the rows need, so that what a task sorts doesn't grow with the tables
+    tasks = tasks_for(batch, posts)
+    again = posts.select(post).repartition(tasks, post).distinct()
+    own = first_wins(batch.repartition(tasks, post).join(again, post, "left_semi"), keys, order)
+    after = replace_children(children.repartition(tasks, post), own, again, post)
     counts = batch.groupBy(F.col(post).alias("__post")).agg(F.count("*").alias("__n"))
     read = posts.select(F.col(post).alias("__post")).distinct().join(counts, "__post", "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
     joined = ledger.join(read, F.col(post) == F.col("__post"), "left")

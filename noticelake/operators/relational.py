@@ -33,6 +33,15 @@ def small(df: DataFrame, most: int = MOST_SMALL) -> DataFrame:
     return F.broadcast(df)
 
 
+#: Rows of a task, about, where it has to sort them.
+MOST_DEALT = 500_000
+
+
+def tasks_for(*frames: DataFrame, most: int = MOST_DEALT) -> int:
+    """Into how many tasks the rows of ``frames`` are dealt so that each gets about ``most``; they are counted for that."""
+    return 1 + sum(df.count() for df in frames) // most
+
+
 def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given order."""
     return top_k_per_group(df, keys, order, 1)

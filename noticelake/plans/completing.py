@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.functions import money, text
-from noticelake.operators import glyphs, merge, profiles, quality, rulebooks, rules
+from noticelake.operators import glyphs, merge, profiles, quality, relational, rulebooks, rules
 from noticelake.plans.base import line_items
 from noticelake.plans.fitting import pick, sql_pick
 from noticelake.registry import query
@@ -170,7 +170,8 @@ posts AS (SELECT o_orderkey AS post FROM orders WHERE o_orderkey % 3 = 0), batch
 def posts_read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     li = line_items(spark, sf_dir)
     key = [F.col("l_orderkey").alias("post"), F.col("l_linenumber").alias("row_no")]
-    old = li.filter("l_orderkey % 2 = 0").groupBy(*key).agg(F.min("l_quantity").cast("long").alias("units"))
+    lines = li.filter("l_orderkey % 2 = 0").select(*key, "l_quantity")
+    old = lines.repartition(relational.tasks_for(lines), "post").groupBy("post", "row_no").agg(F.min("l_quantity").cast("long").alias("units"))
     batch = li.filter("l_orderkey % 3 = 0 AND l_orderkey % 5 <> 0").select(*key, (F.col("l_quantity").cast("long") + 100).alias("units"), (F.col("l_partkey") * 100 + F.col("l_quantity")).alias("place"))
     o = read_table(spark, sf_dir, "orders")
     ledger = o.select(F.col("o_orderkey").alias("post"), F.lit(-1).cast("long").alias("row_count"), F.lit(None).cast("date").alias("parsed_at"), F.lit("old").alias("note"))

@@ -84,8 +84,8 @@ def test_clusters_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     order = [(i * 37) % 101 for i in range(101)]
     nodes = spark.createDataFrame([(i,) for i in order], "n long")
     edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
-    rounds, saved = [], linking._saved
-    monkeypatch.setattr(linking, "_saved", lambda df: rounds.append(saved(df)) or rounds[-1])
+    rounds, saved = [], linking.saved
+    monkeypatch.setattr(linking, "saved", lambda df: rounds.append(saved(df)) or rounds[-1])
     got = linking.clusters(nodes, edges, "n")
     assert {r.n: r.cluster for r in got.collect()} == dict.fromkeys(range(101), 0)
     assert len(rounds) < 12
@@ -182,3 +182,24 @@ def test_sitemap_keeps_first_positions(spark):
     pages = spark.createDataFrame([(0, "<loc>u1</loc><loc>u2</loc>"), (1, "<loc> u1 </loc><loc>u3</loc>")], "page int, xml string")
     got = {r.url: tuple(r.pos) for r in landed.sitemap_urls(pages).collect()}
     assert got == {"u1": (0, 0), "u2": (0, 1), "u3": (1, 1)}
+
+
+def test_posts_read_again_are_dealt_by_their_number(spark, monkeypatch):
+    children = spark.createDataFrame([(p, 1, 5) for p in range(60)], "post long, row_no int, units int")
+    batch = spark.createDataFrame([(p, r % 2, p + r, r) for p in range(0, 60, 2) for r in range(4)], "post long, row_no int, units int, place int")
+    posts = spark.createDataFrame([(p,) for p in range(0, 60, 3)], "post long")
+    ledger = posts.selectExpr("post", "-1L AS row_count", "CAST(NULL AS DATE) AS parsed_at", "'old' AS note")
+    monkeypatch.setattr(merge, "tasks_for", lambda *frames: 6)
+    plain = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    try:
+        after, _ = merge.replace_by_post(children, ledger, batch, posts, ["post", "row_no"], "place", F.lit("2026-01-01").cast("date"), "none")
+        tasks = after.select("*", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = [(p, 1, 5) for p in range(60) if p % 3] + [(p, r, p + r) for p in range(0, 60, 6) for r in (0, 1)]
+    assert sorted((r.post, r.row_no, r.units) for r in tasks) == sorted(want)
+    assert len({r.task for r in tasks if r.post % 3 == 0}) > 1 and len({r.task for r in tasks if r.post % 3}) > 1

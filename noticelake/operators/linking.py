@@ -27,7 +27,7 @@ def clusters(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     the node and its smaller ones, are linked to the smallest of them. Long chains shrink to stars in few rounds.
     """
     known = edges.toDF("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    linked, before = _saved(known.distinct()), None
+    linked, before = saved(known.distinct()), None
     while True:
         now = linked.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -38,19 +38,19 @@ def clusters(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
         large = both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low.hint("merge"), "a").select("m", F.explode(F.array("a", "b")).alias("a")).select("a", F.col("m").alias("b"))
-        linked = _saved(small.filter("a <> b").distinct())
+        linked = saved(small.filter("a <> b").distinct())
     roots = linked.groupBy(F.col("a").alias(node)).agg(F.min("b").alias("cluster"))
     return nodes.select(node).join(roots.hint("merge"), node, "left").withColumn("cluster", F.coalesce("cluster", node))
 
 
-def _saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame) -> DataFrame:
     """Written to and read from the folder of spark.checkpoint.dir, or a local one where Spark runs locally and that is unset.
 
     A checkpoint keeps the estimated size of its plan, a product over all joins, whose number of digits triples with each round until the
     driver can't hold it; files have their own size.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/linking-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -187,3 +187,18 @@ def test_sliding_windows_count_a_visitor_once_in_each(spark, tmp_path):
     assert {(r.start - t).total_seconds() / 60: r.visitors for r in got} == {-4: 1, -3: 1, -2: 1, -1: 2, 0: 2, 1: 1, 2: 1, 3: 1}
     close = online_visitors(spark.createDataFrame(rows, "visitor_id string, path string, created_at timestamp"))
     assert sorted(map(tuple, close.collect())) == sorted(map(tuple, got))
+
+
+def test_pages_are_read_many_at_a_time_and_once(spark, monkeypatch):
+    cells = spark.range(200).selectExpr("'d' AS doc_id", "CAST(id AS INT) AS page", "10.0D AS l", "CAST(id AS DOUBLE) AS t", "6.0D AS w", "10.0D AS h", "800.0D AS page_h", "'x' AS ch")
+    rows = spark.range(200).selectExpr("id AS page", "1 AS y", "id AS note")
+    labels = spark.range(200).selectExpr("id AS page", "1 AS at", "concat('b', id) AS label")
+    blocks = glyphs.block_labels(rows, labels, ["page"], "y", "at", "label")
+    assert all(r.label == f"b{r.note}" for r in blocks.collect())
+    read = glyphs.page_cells(cells)
+    for df in (blocks, read):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMap" not in plan and "MapGroups" not in plan  # a call for each page took longer than the page
+    kept, saved = [], glyphs.saved
+    monkeypatch.setattr(glyphs, "saved", lambda df: kept.append(df) or saved(df))
+    assert glyphs.under_header(read, ["x"]).count() == 0 and len(kept) == 1

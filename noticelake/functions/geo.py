@@ -63,8 +63,10 @@ def double_bits(x: Column) -> Column:
     power = guess + F.when(over, -1).when(under, 1).otherwise(0)
     mantissa = ((size / F.pow(F.lit(2.0), power) - 1) * 2.0**52).cast("long")
     bits = F.shiftleft((power + 1023).cast("long"), 52).bitwiseOR(mantissa)
-    sign = F.when(x < 0, F.lit(-(2**63))).otherwise(F.lit(0).cast("long"))
-    return F.when(size == 0, F.lit(0).cast("long")).otherwise(bits.bitwiseOR(sign))
+    # zero has a sign too, which only its text shows
+    below = (x < 0) | ((size == 0) & x.cast("string").startswith("-"))
+    sign = F.when(below, F.lit(-(2**63))).otherwise(F.lit(0).cast("long"))
+    return F.when(size == 0, F.lit(0).cast("long")).otherwise(bits).bitwiseOR(sign)
 
 
 def bits_double(bits: Column) -> Column:
@@ -72,7 +74,8 @@ def bits_double(bits: Column) -> Column:
     power = F.shiftrightunsigned(bits, 52).bitwiseAND(F.lit(2047).cast("long"))
     mantissa = bits.bitwiseAND(F.lit(2**52 - 1))
     size = (1 + mantissa.cast("double") / 2.0**52) * F.pow(F.lit(2.0), power - 1023)
-    return F.when(bits.bitwiseAND(F.lit(2**63 - 1)) == 0, F.lit(0.0)).otherwise(F.when(bits < 0, -size).otherwise(size))
+    size = F.when(bits.bitwiseAND(F.lit(2**63 - 1)) == 0, F.lit(0.0)).otherwise(size)
+    return F.when(bits < 0, -size).otherwise(size)
 
 
 def turned(digits: Column) -> Column:

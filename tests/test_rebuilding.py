@@ -159,6 +159,14 @@ def test_points_are_the_bytes_of_their_coordinates(spark):
     assert {r.x for r in odd.select(geo.coordinate(F.col("p"), 0).alias("x")).collect()} == {None}
 
 
+def test_a_zero_keeps_its_sign(spark):
+    frame = spark.createDataFrame([(-0.0, 0.0), (0.0, -0.0)], "x double, y double")
+    points = frame.select(geo.point(F.col("x"), F.col("y"), 4326).alias("p"))
+    for (x, y), r in zip([(-0.0, 0.0), (0.0, -0.0)], points.select("p", geo.coordinate(F.col("p"), 0).alias("x"), geo.coordinate(F.col("p"), 1).alias("y")).collect(), strict=True):
+        assert bytes(r.p) == struct.pack("<BIIdd", 1, 0x20000001, 4326, x, y)
+        assert (str(r.x), str(r.y)) == (str(x), str(y))
+
+
 def batches(spark, tmp_path, build, files, mode):
     """Each of ``files`` is read as a batch of its own; returns what the sink got in each batch."""
     seen, schema = [], "visitor_id string, path string, created_at timestamp"

@@ -210,3 +210,10 @@ def test_pages_are_read_many_at_a_time_and_once(spark, monkeypatch):
     kept, saved = [], glyphs.saved
     monkeypatch.setattr(glyphs, "saved", lambda df: kept.append(df) or saved(df))
     assert glyphs.under_header(read, ["x"]).count() == 0 and len(kept) == 1
+
+
+def test_cells_are_not_sent_through_the_driver(spark):
+    frame = cells(spark, [(r, 10.0, 40.0, t) for r, t in enumerate(("name", "a", "b"))] + [(r, 100.0, 140.0, t) for r, t in enumerate(("size", "1", "2"))])
+    got = glyphs.under_header(frame, ["name", "size"])
+    assert sorted((r.name, r.size) for r in got.select("name", F.col("size").alias("size")).collect()) == [("a", "1"), ("b", "2")]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()

@@ -217,3 +217,21 @@ def test_cells_are_not_sent_through_the_driver(spark):
     got = glyphs.under_header(frame, ["name", "size"])
     assert sorted((r.name, r.size) for r in got.select("name", F.col("size").alias("size")).collect()) == [("a", "1"), ("b", "2")]
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_read_together_are_those_read_one_by_one(spark):
+    rng, rows, want = random.Random(5), [], []
+    for page in range(60):
+        own = []
+        for _ in range(rng.choice((1, 5, 40, 120))):
+            w, h = rng.choice(((12.0, 6.0), (12.0, 6.0), (0.0, 5.0)) if page % 4 == 1 else ((6.0, 10.0), (0.0, 10.0), (6.0, 9.0), (5.5, 0.0), (-3.0 if page % 4 == 2 else 6.0, 10.0)))
+            left, top = rng.choice((6.0 * rng.randrange(50), rng.uniform(0, 300))), rng.choice((20.0 * rng.randrange(10), rng.uniform(0, 200)))
+            own.append((top, left, w, h, rng.choice((800.0, 801.0)) if page % 4 == 3 else 800.0, rng.choice(("a", "b", " ", "가", "　", "fi", ""))))
+        own.sort(key=lambda g: (*g[:5], g[5].encode()))
+        t, left, w, h, page_h, ch = map(list, zip(*own, strict=True))
+        want += [("d", page, *cell) for cell in glyphs.cells_on(page_h[0], left, t, w, h, ch)]
+        rows += [("d", page, page_h[i], left[i], t[i], w[i], h[i], ch[i]) for i in range(len(own))]
+    rng.shuffle(rows)
+    read = glyphs.page_cells(spark.createDataFrame(rows, "doc_id string, page int, page_h double, l double, t double, w double, h double, ch string"))
+    assert sorted(map(tuple, read.collect())) == sorted(want) and len(want) > 500
+    assert read.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # merged by their bytes, few tasks had all the work
